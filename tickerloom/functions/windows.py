@@ -7,7 +7,7 @@ window partition by the number of calendar days, however skewed the raw input is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -67,18 +67,17 @@ class TrailingMoments:
     rounding error there is about ``history / n`` ulps.
     """
 
-    def __init__(self, df: DataFrame, terms: dict[str, Column], w: WindowSpec, prefix="_m_"):
-        self.w = w
-        self.prefix = prefix
-        frame = running(w)
+    def __init__(self, terms: dict[str, Column], w: WindowSpec, prefix: str = "_m_"):
+        self.terms, self.w, self.prefix = terms, w, prefix
+
+    def running_totals(self) -> dict[str, Column]:
+        """Window columns to add to the frame before ``total`` is used."""
         zero = F.lit(0.0)
-        self.df = df.withColumns(
-            {prefix + k: F.sum(F.coalesce(v, zero)).over(frame) for k, v in terms.items()}
-        )
+        return {
+            self.prefix + k: F.sum(F.coalesce(v, zero)).over(running(self.w))
+            for k, v in self.terms.items()
+        }
 
     def total(self, name: str, n: int) -> Column:
         c = F.col(self.prefix + name)
         return c - F.coalesce(F.lag(c, n).over(self.w), F.lit(0.0))
-
-    def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[c for c in df.columns if c.startswith(self.prefix)])

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "domain_tables",
+    "q_indicators",
 )
 
 
