@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "domain_tables",
     "q_indicators",
+    "q_fundamentals",
 )
 
 

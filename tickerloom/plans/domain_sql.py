@@ -206,5 +206,5 @@ def finished(sql: str, doubles: tuple[str, ...]) -> str:
     inner = with_ctes(sql)
     if not doubles:
         return inner
-    rounded = ", ".join(f'round("{c}" + 1e-9, 6) + 0e0 AS "{c}"' for c in doubles)
+    rounded = ", ".join(f'round("{c}" * 1e6 + 1e-3) / 1e6 + 0e0 AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({rounded}) FROM (\n{inner}\n) AS result"

@@ -37,14 +37,14 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
 def present(df: DataFrame) -> DataFrame:
     """Round doubles to 6 decimals, remove negative zero, widen ints.
 
-    The nudge of 1e-9 keeps exact half cases from depending on an engine's rounding mode.
+    The nudge keeps exact half cases from depending on an engine's rounding mode.
     """
     cols = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         kind = field.dataType.typeName()
         if kind == "double":
-            c = (F.round(c + F.lit(1e-9), 6) + F.lit(0.0)).alias(field.name)
+            c = (F.rint(c * F.lit(1e6) + F.lit(1e-3)) / F.lit(1e6) + F.lit(0.0)).alias(field.name)
         elif kind == "integer":
             c = c.cast("bigint").alias(field.name)
         cols.append(c)
