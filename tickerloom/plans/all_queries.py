@@ -8,6 +8,7 @@ MODULES = (
     "domain_tables",
     "q_indicators",
     "q_fundamentals",
+    "q_relational",
 )
 
 
