@@ -9,6 +9,8 @@ MODULES = (
     "q_indicators",
     "q_fundamentals",
     "q_relational",
+    "q_portfolio",
+    "q_scalars",
 )
 
 
