@@ -6,7 +6,8 @@ shuffle by ticker and one sort. All values are lagged one row by default (no loo
 
 Conventions where the literature varies: exponential means start at the first value and
 are shown from row ``n``; RSI averages 14 simple changes (``rsi_method="wilder"`` smooths
-with 1/14 instead); ATR is Wilder-smoothed.
+with 1/14 instead); ATR is Wilder-smoothed. Windows holding a NULL give NULL; exponential
+means need bars without NULL closes (drop them first, as the pipeline does).
 """
 
 from __future__ import annotations
@@ -151,15 +152,18 @@ def indicators(
     df = df.withColumns(_steps(c, F.col("_prev")))
 
     # stage 2: running totals and block-local sums
+    known = lambda x: x.isNotNull().cast("double")
     terms: dict[str, Column] = {}
+    if families & {"sma", "std", "bands"}:
+        terms["n_c"] = known(c)
     if "sma" in families:
         terms["c"] = c
     if "volume" in families:
-        terms["v"] = F.col("trade_Volume").cast("double")
+        terms |= {"v": F.col("trade_Volume").cast("double"), "n_v": known(F.col("trade_Volume"))}
     if "rsi" in families and rsi_method == "mean":
         terms |= {"up": F.col("_up"), "down": F.col("_down")}
     if "volatility" in families:
-        terms |= {"r": F.col("_ret"), "rr": F.col("_ret") * F.col("_ret")}
+        terms |= {"r": F.col("_ret"), "rr": F.col("_ret") * F.col("_ret"), "n_r": known(F.col("_ret"))}
     moments = TrailingMoments(terms, w)
     second = moments.running_totals() | blocked.local_sums(decays)
     if "obv" in families:
@@ -176,13 +180,19 @@ def indicators(
     def full(n: int, value: Column, extra: int = 0) -> Column:
         return F.when(F.col("_rn") >= n + extra, value)
 
+    def whole(name: str, n: int, value: Column) -> Column:
+        """NULL unless the trailing ``n`` rows all have the value counted by ``name``."""
+        return F.when(moments.total(name, n) == n, value)
+
     raw: dict[str, Column] = {}
     if "returns" in families:
         raw |= {k: F.try_divide(c, F.col(f"_ret_{k}")) - F.lit(1.0) for k in RETURN_PERIODS}
     if "sma" in families:
-        raw |= {f"sma_{n}": full(n, moments.total("c", n) / F.lit(float(n))) for n in MA_WINDOWS}
-    if "std" in families:
-        raw |= {f"std_Div_{n}": full(n, F.col(f"_std_{n}")) for n in MA_WINDOWS}
+        raw |= {
+            f"sma_{n}": whole("n_c", n, moments.total("c", n) / F.lit(float(n))) for n in MA_WINDOWS
+        }
+    if families & {"std", "bands"}:
+        raw |= {f"std_Div_{n}": whole("n_c", n, F.col(f"_std_{n}")) for n in MA_WINDOWS}
     if "rsi" in families:
         n = RSI_ROWS
         if rsi_method == "mean":
@@ -194,7 +204,7 @@ def indicators(
         raw["macd"] = F.col("_fast") - F.col("_slow")
     if "volume" in families:
         n = VOLUME_ROWS
-        raw["volume_sma_20"] = full(n, moments.total("v", n) / F.lit(float(n)))
+        raw["volume_sma_20"] = whole("n_v", n, moments.total("v", n) / F.lit(float(n)))
     if "vwap" in families:
         raw["vwap"] = F.try_divide(F.col("_cv"), F.col("_cumv"))
     if "momentum" in families:
@@ -202,7 +212,7 @@ def indicators(
         raw["momentum"] = (F.col("_dir") * length).cast("double")
     if "volatility" in families:
         for name, n in VOLATILITY_WINDOWS.items():
-            value = full(n, _std_from(moments.total("r", n), moments.total("rr", n), n), 1)
+            value = whole("n_r", n, _std_from(moments.total("r", n), moments.total("rr", n), n))
             raw[name] = F.when(~index_flag, value) if index_flag is not None else value
     df = df.withColumns(raw)
 
@@ -232,8 +242,7 @@ def indicators(
     for name in _columns(families):
         if name.startswith("bollinger_Band_"):
             n = int(name.split("_")[2])
-            width = F.when(F.col("_rn") >= n, F.col(f"_std_{n}")) * F.lit(4.0)
-            out.append(shift(width, bollinger_lag).alias(name))
+            out.append(shift(F.col(f"std_Div_{n}") * F.lit(4.0), bollinger_lag).alias(name))
         else:
             out.append(shift(F.col(name), lag).alias(name))
     return df.select(*keep, *out)

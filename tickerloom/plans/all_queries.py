@@ -11,6 +11,7 @@ MODULES = (
     "q_relational",
     "q_portfolio",
     "q_scalars",
+    "q_quality",
 )
 
 
