@@ -12,6 +12,8 @@ MODULES = (
     "q_portfolio",
     "q_scalars",
     "q_quality",
+    "q_ml",
+    "q_streaming",
 )
 
 

@@ -51,9 +51,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df):
-    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "lineage"))
-    return df.checkpoint()
+def materialised(df, name: str = "table"):
+    """``df`` written once to the shared folder and read back.
+
+    Cuts the lineage with storage that survives lost executors; used before algorithms
+    that pass over the same data many times.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
