@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.session import materialised
+
 
 def keep_latest(df: DataFrame, keys, precedence) -> DataFrame:
     """One row per key: the one greatest in ``precedence``.
@@ -90,9 +92,12 @@ def complete_dates(prices: DataFrame, selected: DataFrame, min_rows: int) -> Dat
     """Long price matrix over the dates on which every kept ticker has a close.
 
     Tickers of ``selected`` with fewer than ``min_rows`` closes are dropped first. Counts
-    are aggregated per date and joined back, so no date is gathered in one task.
+    are aggregated per date and joined back, so no date is gathered in one task. The rows
+    of the selection are written once, as three passes follow.
     """
-    usable = prices.where(F.col("close_Price").isNotNull()).join(selected, "ticker", "left_semi")
+    usable = materialised(
+        prices.where(F.col("close_Price").isNotNull()).join(selected, "ticker", "left_semi"), "selection"
+    )
     kept = usable.groupBy("ticker").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
     chosen = usable.join(kept.select("ticker"), "ticker", "left_semi")
     full_days = (

@@ -4,6 +4,7 @@ Spark's exact ``percentile`` keeps a group's distinct values in one task. Here a
 approximate quantile sketch (bounded memory, merged map-side) first brackets each wanted
 order statistic; the second pass counts what lies below the bracket and only keeps the
 distinct values inside it, so the data gathered per group shrinks by the sketch accuracy.
+The keys and values are written once, as three passes read them.
 The result is the linearly interpolated percentile, as NumPy and SQL ``quantile_cont``
 define it.
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.session import materialised
+
 ACCURACY = 10_000
 
 
@@ -20,7 +23,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
                       accuracy: int = ACCURACY) -> DataFrame:
     """One row per key with a column per entry of ``probs``."""
     slack = 2.0 / accuracy
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rows = materialised(
+        df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()),
+        "percentile",
+    )
     grid = [
         F.percentile_approx("_v", F.array(
             *[F.lit(min(1.0, max(0.0, q))) for q in (p - slack, p + slack)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import clip
 from tickerloom.operators.joins import complete_dates, keep_latest
+from tickerloom.session import materialised
 
 # Fixed values
 MAX_NAMES = 50
@@ -139,7 +140,8 @@ def positions(selected: DataFrame, n: int) -> DataFrame:
     if n > MAX_NAMES:
         raise ValueError(f"a portfolio holds at most {MAX_NAMES} names")
     top = selected.select("ticker").distinct().orderBy("ticker").limit(n)
-    return top.withColumn("pos", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
+    numbered = top.withColumn("pos", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
+    return materialised(numbered, "names")
 
 
 def return_matrix(prices: DataFrame, names: DataFrame, n: int, min_rows: int = 504) -> DataFrame:
@@ -155,17 +157,19 @@ def covariance(matrix: DataFrame, names: DataFrame, n: int) -> DataFrame:
 
     Each date is expanded to one row per name carrying the whole (bounded) array, so the
     work is names x dates rows with map-side combination; no pair rows, no self-join.
-    Names without returns or variance drop out.
+    Names without returns or variance drop out. The result (at most ``MAX_NAMES`` rows) is
+    written once, because every portfolio figure reads it several times.
     """
     year = F.lit(float(TRADING_DAYS))
     rows = matrix.select(F.posexplode("x").alias("pos", "xi"), "x")
     cov = F.array(*[F.covar_samp("xi", F.get("x", F.lit(j))) * year for j in range(n)])
     stats = rows.groupBy("pos").agg((F.avg("xi") * year).alias("mu"), cov.alias("cov"))
-    return (
+    valid = (
         stats.join(names, "pos")
         .where(F.col("mu").isNotNull() & (F.get("cov", F.col("pos")) > 0))
         .select("ticker", "pos", "mu", "cov")
     )
+    return materialised(valid, "moments")
 
 
 def covariance_long(stats: DataFrame) -> DataFrame:

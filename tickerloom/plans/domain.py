@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickerloom.session import shared_folder
+
 HORIZONS = (30, 60, 90, 252)
 BLACKLIST_REASONS = ("delisted", "invalid", "no_data", "manual", "error", "suspended")
 ERROR_MESSAGES = (
@@ -26,13 +28,29 @@ def ticker_of(key: Column, prefix: str = "S", width: int = 5) -> Column:
     return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Domain:
-    """Lazy domain tables over one folder of base parquet files."""
+    """Domain tables over one folder of base parquet files.
+
+    Bars and statement sums stand for stored tables: the first use in an application
+    aggregates the base table once and writes the (far smaller) result to the shared
+    folder; every later use scans that. Everything else is a lazy view on them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = shared_folder(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -59,6 +77,9 @@ class Domain:
 
     @cached_property
     def bars_keyed(self) -> DataFrame:
+        return self.stored("bars", self._build_bars)
+
+    def _build_bars(self) -> DataFrame:
         daily = (
             self.raw("lineitem")
             .select(
@@ -78,6 +99,9 @@ class Domain:
 
     @cached_property
     def bars_nation(self) -> DataFrame:
+        return self.stored("bars_nation", self._build_bars_nation)
+
+    def _build_bars_nation(self) -> DataFrame:
         supplier = self.raw("supplier").select("s_suppkey", "s_nationkey")
         daily = (
             self.raw("lineitem")
@@ -191,12 +215,12 @@ class Domain:
     @cached_property
     def quarter_sums(self) -> DataFrame:
         end = F.last_day(F.add_months(F.trunc(F.col("l_shipdate").cast("date"), "quarter"), 2))
-        return self._sums(end, "fiscal_quarter_end")
+        return self.stored("quarter_sums", lambda: self._sums(end, "fiscal_quarter_end"))
 
     @cached_property
     def year_sums(self) -> DataFrame:
         end = F.make_date(F.year("l_shipdate"), F.lit(12), F.lit(31))
-        return self._sums(end, "financial_Statement_Date")
+        return self.stored("year_sums", lambda: self._sums(end, "financial_Statement_Date"))
 
     @staticmethod
     def _income(rev, ext, ret):
@@ -339,8 +363,7 @@ class Domain:
     @cached_property
     def last_bar_date(self) -> Column:
         """The newest bar date, as a scalar subquery."""
-        raw = self.raw("lineitem")
-        return raw.agg(F.max("l_shipdate").cast("date").alias("as_of")).scalar()
+        return self.bars_keyed.agg(F.max("date").alias("as_of")).scalar()
 
     @cached_property
     def model_registry(self) -> DataFrame:
