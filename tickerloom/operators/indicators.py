@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.windows import TrailingMoments, running, trailing
+from tickerloom.functions.windows import TrailingDeviation, TrailingMoments, running
 from tickerloom.operators.recurrence import Decay, Series
 
 # Column names and their row counts.
@@ -137,62 +137,77 @@ def indicators(
     df, w = blocked.df, blocked.window
     keep = list(bars.columns)
 
-    # stage 1: neighbours of the row, frames over stored columns
+    # stage 1: neighbours of the row, running values of stored columns
     first = {"_prev": F.lag(c).over(w)}
     if "returns" in families:
-        first |= {f"_ret_{k}": F.lag(c, n).over(w) for k, n in RETURN_PERIODS.items()}
+        first |= {k: F.try_divide(c, F.lag(c, n).over(w)) - F.lit(1.0) for k, n in RETURN_PERIODS.items()}
     if "momentum" in families:
         first["_prev2"] = F.lag(c, 2).over(w)
-    if families & {"std", "bands"}:
-        first |= {f"_std_{n}": F.stddev_samp(c).over(trailing(n, w)) for n in MA_WINDOWS}
     if "vwap" in families:
-        first["_cv"] = F.sum(c * F.col("trade_Volume")).over(running(w))
-        first["_cumv"] = F.sum(F.col("trade_Volume").cast("double")).over(running(w))
+        volume = F.sum(F.col("trade_Volume").cast("double")).over(running(w))
+        first["vwap"] = F.try_divide(F.sum(c * F.col("trade_Volume")).over(running(w)), volume)
+    deviation = TrailingDeviation(c, w) if families & {"std", "bands"} else None
+    if deviation:
+        first |= deviation.anchors()
     df = df.withColumns(first)
     df = df.withColumns(_steps(c, F.col("_prev")))
 
-    # stage 2: running totals and block-local sums
-    known = lambda x: x.isNotNull().cast("double")
+    # stage 2: running totals, rows since the last NULL, block-local sums
     terms: dict[str, Column] = {}
+    complete: dict[str, Column] = {}
     if families & {"sma", "std", "bands"}:
-        terms["n_c"] = known(c)
+        complete["c"] = c
     if "sma" in families:
         terms["c"] = c
     if "volume" in families:
-        terms |= {"v": F.col("trade_Volume").cast("double"), "n_v": known(F.col("trade_Volume"))}
+        terms["v"] = F.col("trade_Volume").cast("double")
+        complete["v"] = F.col("trade_Volume")
     if "rsi" in families and rsi_method == "mean":
         terms |= {"up": F.col("_up"), "down": F.col("_down")}
     if "volatility" in families:
-        terms |= {"r": F.col("_ret"), "rr": F.col("_ret") * F.col("_ret"), "n_r": known(F.col("_ret"))}
+        terms |= {"r": F.col("_ret"), "rr": F.col("_ret") * F.col("_ret")}
+        complete["r"] = F.col("_ret")
     moments = TrailingMoments(terms, w)
     second = moments.running_totals() | blocked.local_sums(decays)
+    for name, x in complete.items():
+        last_null = F.max(F.when(x.isNull(), F.col("_rn"))).over(running(w))
+        second[f"_run_{name}"] = F.col("_rn") - F.coalesce(last_null, F.lit(0))
+    if deviation:
+        second |= deviation.totals()
     if "obv" in families:
         second["obv"] = F.sum("_flow").over(running(w))
     if "momentum" in families:
-        second["_turn"] = F.last(_turning(c), True).over(running(w))
+        length = F.col("_rn") - F.last(_turning(c), True).over(running(w)) + 1
+        second["momentum"] = (F.col("_dir") * length).cast("double")
     df = df.withColumns(second) if second else df
-    for step in range(1, blocked.max_depth(decays) + 1):
-        df = df.withColumns(blocked.carries(decays, step))
-    if decays:
-        df = df.withColumns(blocked.values(decays))
 
-    # stage 3: raw values of the row
+    # stage 3: raw values of the row, in two projections small enough to be JIT-compiled
     def full(n: int, value: Column, extra: int = 0) -> Column:
         return F.when(F.col("_rn") >= n + extra, value)
 
     def whole(name: str, n: int, value: Column) -> Column:
-        """NULL unless the trailing ``n`` rows all have the value counted by ``name``."""
-        return F.when(moments.total(name, n) == n, value)
+        """NULL unless the trailing ``n`` rows all hold a value."""
+        return F.when(F.col(f"_run_{name}") >= n, value)
+
+    for step in range(1, max(1, blocked.max_depth(decays)) + 1):
+        third = blocked.carries(decays, step)
+        if deviation and step == 1:
+            third |= deviation.marks(MA_WINDOWS)
+        df = df.withColumns(third) if third else df
+    values = blocked.values(decays, masked=False)
+    if deviation:
+        values |= {f"std_Div_{n}": deviation.std(n) for n in MA_WINDOWS}
+    df = df.withColumns(values) if values else df
+    if "macd" in families:
+        df = blocked.smooth(df.withColumn("macd", F.col("_fast") - F.col("_slow")), signal)
 
-    raw: dict[str, Column] = {}
-    if "returns" in families:
-        raw |= {k: F.try_divide(c, F.col(f"_ret_{k}")) - F.lit(1.0) for k in RETURN_PERIODS}
+    raw: dict[str, Column] = {
+        name: full(d.warmup, F.col(name)) for name, d in decays.items() if d.warmup > 1
+    }
+    if deviation:
+        raw |= {f"std_Div_{n}": whole("c", n, F.col(f"std_Div_{n}")) for n in MA_WINDOWS}
     if "sma" in families:
-        raw |= {
-            f"sma_{n}": whole("n_c", n, moments.total("c", n) / F.lit(float(n))) for n in MA_WINDOWS
-        }
-    if families & {"std", "bands"}:
-        raw |= {f"std_Div_{n}": whole("n_c", n, F.col(f"_std_{n}")) for n in MA_WINDOWS}
+        raw |= {f"sma_{n}": whole("c", n, moments.total("c", n) / F.lit(float(n))) for n in MA_WINDOWS}
     if "rsi" in families:
         n = RSI_ROWS
         if rsi_method == "mean":
@@ -200,25 +215,17 @@ def indicators(
         else:
             up, down = full(n, F.col("_smooth_up"), 1), full(n, F.col("_smooth_down"), 1)
         raw["_rsi_up"], raw["_rsi_down"] = up, down
-    if "macd" in families:
-        raw["macd"] = F.col("_fast") - F.col("_slow")
     if "volume" in families:
         n = VOLUME_ROWS
-        raw["volume_sma_20"] = whole("n_v", n, moments.total("v", n) / F.lit(float(n)))
-    if "vwap" in families:
-        raw["vwap"] = F.try_divide(F.col("_cv"), F.col("_cumv"))
-    if "momentum" in families:
-        length = F.col("_rn") - F.col("_turn") + 1
-        raw["momentum"] = (F.col("_dir") * length).cast("double")
+        raw["volume_sma_20"] = whole("v", n, moments.total("v", n) / F.lit(float(n)))
     if "volatility" in families:
         for name, n in VOLATILITY_WINDOWS.items():
-            value = whole("n_r", n, _std_from(moments.total("r", n), moments.total("rr", n), n))
+            value = whole("r", n, _std_from(moments.total("r", n), moments.total("rr", n), n))
             raw[name] = F.when(~index_flag, value) if index_flag is not None else value
-    df = df.withColumns(raw)
+    df = df.withColumns(raw) if raw else df
 
     # stage 4: values built from raw values
     if "macd" in families:
-        df = blocked.smooth(df, signal)
         shown = MACD_SLOW + MACD_SIGNAL - 1
         df = df.withColumns(
             {

@@ -81,6 +81,8 @@ class Series:
             df.withColumn("_rn", rn)
             .withColumn("_blk", F.floor(pos / F.lit(BLOCK)).cast("int"))
             .withColumn("_sub", F.floor((pos % F.lit(BLOCK)) / F.lit(self.sub)).cast("int"))
+            .withColumn("_q", (pos % F.lit(BLOCK)).cast("double"))
+            .withColumn("_p", (pos % F.lit(self.sub)).cast("double"))
         )
 
     @property
@@ -89,19 +91,18 @@ class Series:
         return Window.partitionBy(self.key).orderBy("_blk", "_sub", self.order)
 
     def _level(self, d: Decay):
-        pos = F.col("_rn") - 1
         if d.fast:
             w = Window.partitionBy(self.key, "_blk", "_sub").orderBy(self.order)
-            return w, pos % F.lit(self.sub), self.sub
+            return w, F.col("_p"), self.sub
         w = Window.partitionBy(self.key, "_blk").orderBy("_sub", self.order)
-        return w, pos % F.lit(BLOCK), BLOCK
+        return w, F.col("_q"), BLOCK
 
     def local_sums(self, decays: dict[str, Decay]) -> dict[str, Column]:
         """First step: the block-local parts, as window columns to add."""
         out = {}
         for name, d in decays.items():
             w, q, _ = self._level(d)
-            a, q = F.lit(d.retention), q.cast("double")
+            a = F.lit(d.retention)
             x = as_col(d.source)
             inflow = F.when(F.col("_rn") == 1, x).otherwise(F.lit(1.0 - d.retention) * x)
             total = F.sum(inflow * F.pow(a, -q)).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -133,11 +134,11 @@ class Series:
         for name, d in decays.items():
             _, q, size = self._level(d)
             a = d.retention
-            state = F.lit(0.0)
-            for step in range(1, self.depth(d) + 1):
+            state = F.coalesce(F.col(f"_c1_{name}"), F.lit(0.0))
+            for step in range(2, self.depth(d) + 1):
                 weight = F.lit(a ** (size * (step - 1)))
                 state = state + weight * F.coalesce(F.col(f"_c{step}_{name}"), F.lit(0.0))
-            value = F.col(f"_l_{name}") + F.pow(F.lit(a), q.cast("double") + F.lit(1.0)) * state
+            value = F.col(f"_l_{name}") + F.pow(F.lit(a), q + F.lit(1.0)) * state
             out[name] = F.when(F.col("_rn") >= d.warmup, value) if masked and d.warmup > 1 else value
         return out
 

@@ -13,6 +13,7 @@ from tickerloom.functions.scalar import cagr
 from tickerloom.operators.joins import keep_latest
 from tickerloom.operators.percentiles import exact_percentiles
 from tickerloom.operators.portfolio import TRADING_DAYS, Market, dot, log_returns
+from tickerloom.session import materialised
 
 # Standard normal quantiles and the 5 % point of chi-square(2).
 Z = {"percentile_5": -1.6448536, "percentile_16": -0.9944579,
@@ -115,10 +116,11 @@ def final_returns(paths: DataFrame) -> DataFrame:
     ends = paths.groupBy("path_id").agg(
         F.min_by("value", "day").alias("first"), F.max_by("value", "day").alias("last")
     )
-    rows = ends.select(F.lit(1).alias("g"), (F.try_divide(F.col("last"), F.col("first")) - F.lit(1.0)).alias("r"))
+    r = F.try_divide(F.col("last"), F.col("first")) - F.lit(1.0)
+    rows = materialised(ends.select(F.lit("all").alias("scope"), r.alias("r")), "returns")
     probs = {"return_percentile_5": 0.05, "return_percentile_95": 0.95}
-    means = rows.groupBy("g").agg(F.avg("r").alias("return_mean"))
-    return exact_percentiles(rows, ["g"], "r", probs).join(means, "g").drop("g")
+    means = rows.groupBy("scope").agg(F.avg("r").alias("return_mean"))
+    return exact_percentiles(rows, ["scope"], "r", probs).join(means, "scope").drop("scope")
 
 
 def historical_tail(prices: DataFrame, level: float = 0.05) -> DataFrame:
