@@ -1,7 +1,7 @@
 """Window building blocks shared by every time-series operator.
 
 A bar table has one row per (ticker, date); that key contract (checked by
-``quality.duplicate_keys`` and enforced by ``joins.keep_latest``) bounds a ticker's
+``quality.duplicate_rows`` and enforced by ``joins.keep_latest``) bounds a ticker's
 window partition by the number of calendar days, however skewed the raw input is.
 """
 
@@ -60,9 +60,11 @@ def forward_fill(x, w: WindowSpec | None = None) -> Column:
     return F.last(as_col(x), ignorenulls=True).over(running(w))
 
 
-def backward_fill(x, w: WindowSpec | None = None) -> Column:
-    ahead = (w or series()).rowsBetween(0, Window.unboundedFollowing)
-    return F.first(as_col(x), ignorenulls=True).over(ahead)
+def backward_fill(x, keys=("ticker",), order=("date",)) -> Column:
+    """Next known value. Runs over the reversed order: a frame reaching to the end of the
+    partition would rescan the rest of it for every row."""
+    reversed_order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return F.last(as_col(x), ignorenulls=True).over(running(reversed_order))
 
 
 class TrailingMoments:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import safe_divide, safe_ratio
+from tickerloom.functions.windows import backward_fill
 from tickerloom.operators.joins import as_of, keep_first
 from tickerloom.operators.statements import QUARTER, YEAR
 
@@ -218,14 +219,13 @@ def model_dataset(bars: DataFrame, market: DataFrame, reports: DataFrame, ratios
     Rows before a ticker's first report take that first report's values.
     """
     w = Window.partitionBy("ticker").orderBy("date")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
     behind = w.rowsBetween(Window.unboundedPreceding, 0)
     values = [c for c in reports.columns if c not in ("ticker", YEAR)]
     base = bars.join(market, "date", "left").withColumn(
         "market_close", F.last("market_close", True).over(behind)
     )
     j = as_of(base, reports, right_on=YEAR, values=values)
-    j = j.withColumns({c: F.first(c, True).over(ahead) for c in values})
+    j = j.withColumns({c: backward_fill(c) for c in values})
     return j.join(ratios.select("date", "ticker", *RATIOS), ["date", "ticker"], "left")
 
 
