@@ -220,13 +220,13 @@ def unit_uniform(seed: Column, position: Column) -> Column:
 def random_weights(ids: DataFrame, stats: DataFrame, id_col: str = "portfolio_id") -> DataFrame:
     """One candidate per id: a random weight per name, normalised to sum 1."""
     count = stats.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    # sequence(0, -1) would count down, hence the guard for an empty selection
-    slots = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1))
+    slots = F.sequence(F.lit(0), F.col("_n") - 1)
     raw = F.transform(slots, lambda i: unit_uniform(F.col(id_col), i))
     total = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x)
     return (
         ids.select(id_col)
         .withColumn("_n", count)
+        .where(F.col("_n") > 0)  # an empty selection has no portfolios
         .withColumn("_raw", raw)
         .withColumn("_t", total)
         .select(id_col, F.transform("_raw", lambda x: x / F.col("_t")).alias("w"))
