@@ -89,7 +89,7 @@ class TrailingMoments:
 
     def total(self, name: str, n: int) -> Column:
         c = F.col(self.prefix + name)
-        return c - F.coalesce(F.lag(c, n).over(self.w), F.lit(0.0))
+        return c - F.lag(c, n, 0.0).over(self.w)
 
 
 class TrailingDeviation:
@@ -131,8 +131,8 @@ class TrailingDeviation:
             self.p + "before": self._at_start(self._c("pa")),
         }
         for n in windows:
-            out[f"{self.p}s{n}"] = F.coalesce(F.lag(self._c("s"), n).over(self.w), F.lit(0.0))
-            out[f"{self.p}q{n}"] = F.coalesce(F.lag(self._c("q"), n).over(self.w), F.lit(0.0))
+            out[f"{self.p}s{n}"] = F.lag(self._c("s"), n, 0.0).over(self.w)
+            out[f"{self.p}q{n}"] = F.lag(self._c("q"), n, 0.0).over(self.w)
         return out
 
     def std(self, n: int) -> Column:
@@ -143,5 +143,5 @@ class TrailingDeviation:
         shift = F.when(outside > 0, self._c("before") - self._c("a")).otherwise(F.lit(0.0))
         s = self._c("s") - s0 + outside * shift
         q = self._c("q") - q0 + shift * (F.lit(2.0) * (self._c("sb") - s0) + outside * shift)
-        size = F.lit(float(n))
-        return F.sqrt(F.greatest(q - s * s / size, F.lit(0.0)) / F.lit(float(n - 1)))
+        # rounding may leave a variance of zero slightly negative
+        return F.sqrt(F.abs(q - s * s * F.lit(1.0 / n)) * F.lit(1.0 / (n - 1)))
