@@ -15,6 +15,7 @@ bound ends the search. A pattern is applied as often as its lengths allow at onc
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from tickerloom.llm.frames import ids_and_texts, materialised, sub_batches, text
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 LONGEST_KEPT = 48
 
 Pattern = tuple[int, ...]
@@ -51,28 +52,19 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self[""] = b""
 
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def learn(self, texts: list[str]) -> None:
-        """Tokenizes the chunks of ``texts`` that are not known yet, all at once."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
-        self[""] = b""
-        new: set[str] = set()
-        for text in texts:
-            new.update(text.replace("\n", " ").split(" "))
-        new.difference_update(self)
-        new = [x for x in new if len(x) <= LONGEST_KEPT]
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+                self[""] = b""
+            self[chunk] = ids
+        return ids
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -101,11 +93,9 @@ def pieces(
         seen = np.zeros(capacity + 1, np.int64)
         stop = np.array([end_id], "<u4").tobytes()
         for batch in sub_batches(batches):
-            texts = texts_of(batch.column("text"))
-            words.learn(texts)
             row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                data = words.of(text) + stop
+            for i, data in enumerate(map(words.of, texts_of(batch.column("text")))):
+                data += stop
                 total = len(data) // 4
                 for k, at in enumerate(range(0, total, capacity)):
                     own = data[4 * at : 4 * (at + capacity)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickerloom.llm import decontaminate, exact_dedup, packing
+from tickerloom.llm import (
+    decontaminate, exact_dedup, language_id, packing, token_counts, toxicity,
+)
 from tickerloom.llm.frames import docs_of
 
 
@@ -12,6 +14,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs_of(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(docs_of(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(docs_of(spark, sf_dir))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
@@ -22,7 +36,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op7_decontamination, op9_exact_dedup)
+    for f in (
+        op1_best_fit_packing, op2_language_id, op3_token_counts, op5_toxicity,
+        op7_decontamination, op9_exact_dedup,
+    )
 }
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
