@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.llm import (
-    decontaminate, exact_dedup, language_id, packing, token_counts, toxicity,
+    decontaminate, exact_dedup, html_text, language_id, packing, personal_data, token_counts,
+    toxicity,
 )
 from tickerloom.llm.frames import docs_of
 
@@ -30,15 +31,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(docs_of(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(docs_of(spark, sf_dir), digest=True)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(docs_of(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_token_counts, op5_toxicity,
-        op7_decontamination, op9_exact_dedup,
+        op7_decontamination, op8_html_text, op9_exact_dedup, op10_personal_data,
     )
 }
 
