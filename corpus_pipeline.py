@@ -1,16 +1,58 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``, the last
+one the packed pieces. Stages are written as Parquet and read again, so a lost executor costs
+a stage at most. The defaults of the operators hold: five-word shingles at a similarity of 0.8
+for near-duplicates, windows of ten words against the benchmark, 2048 tokens a sequence.
+"""
 
 from __future__ import annotations
 
-from tickerloom.llm import decontaminate, exact_dedup, packing
+from pyspark.sql import DataFrame, SparkSession
+
+from tickerloom.llm import decontaminate, exact_dedup, minhash, packing, toxicity
 from tickerloom.llm.frames import docs_of, materialised
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, docs_of(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id stays."""
+    return minhash.near_dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.clean_documents(docs, docs_of(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in the sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL cannot score toxicity or pack bins; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = docs_of(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = materialised(stage(spark, docs, sf_dir), name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.llm import (
-    decontaminate, exact_dedup, html_text, language_id, packing, personal_data, token_counts,
-    toxicity,
+    decontaminate, exact_dedup, html_text, language_id, minhash, packing, personal_data,
+    pseudo_likelihood, token_counts, toxicity,
 )
 from tickerloom.llm.frames import docs_of
 
@@ -23,10 +23,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs_of(spark, sf_dir))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.masked_pseudo_likelihood(docs_of(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(docs_of(spark, sf_dir), shingle=2)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs_of(spark, sf_dir), docs_of(spark, sf_dir, "benchmark"))
 
@@ -46,8 +54,9 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_language_id, op3_token_counts, op5_toxicity,
-        op7_decontamination, op8_html_text, op9_exact_dedup, op10_personal_data,
+        op1_best_fit_packing, op2_language_id, op3_token_counts, op4_pseudo_likelihood,
+        op5_toxicity, op6_near_dedup, op7_decontamination, op8_html_text, op9_exact_dedup,
+        op10_personal_data,
     )
 }
 
