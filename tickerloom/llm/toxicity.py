@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.frames import sub_batches, texts_of
-from tickerloom.llm.sampling import fold_of, sample_per_label
+from tickerloom.llm.sampling import fold_of
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 LONGEST = 50_000
@@ -269,15 +269,9 @@ class ToxicityModel:
         return score
 
 
-def train(
-    labelled: DataFrame, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC), longest: int = LONGEST
-) -> ToxicityModel:
-    """Fits on columns text and toxic of at most ``most[label]`` distinct texts of each label."""
-    rows = []
-    for label in (0, 1):
-        own = labelled.where(F.col("toxic") == label)
-        rows += sample_per_label(own, "toxic", most[label], longest).collect()
-    rows = sorted((r.text, int(r.toxic)) for r in rows)
+def train(sample: DataFrame) -> ToxicityModel:
+    """Fits on a bounded sample of columns text and toxic (``labelled_sample``)."""
+    rows = sorted((r.text, int(r.toxic)) for r in sample.collect())
     toxic = np.array([y for _, y in rows])
     if not len(rows) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(rows) else 0.0
@@ -332,11 +326,25 @@ def scores(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC),
+    longest: int = LONGEST,
+) -> DataFrame:
+    """text, toxic of at most ``most[label]`` distinct texts of each label outside the held-out fold.
+
+    Only keys and hashes meet the labels; the chosen keys are a broadcast of bounded size that
+    fetches the texts, so no text is shuffled but those of the sample.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    return rows.join(known, "doc_id").select("text", "toxic")
+    rows = rows.where(F.char_length("text") <= longest).withColumn("_h", F.xxhash64("text"))
+    hashes = rows.select("doc_id", "_h").join(known, "doc_id").groupBy("toxic", "_h").agg(F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("toxic").orderBy("_h")
+    limit = F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])
+    chosen = hashes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(most)).where(F.col("_r") <= limit)
+    found = rows.join(F.broadcast(chosen.drop("_r")), ["doc_id", "_h"])
+    return found.groupBy("toxic", "_h").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
 def toxicity(
@@ -351,7 +359,7 @@ def toxicity(
     text gets the same score. Repeated rows are scored one by one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(_labelled(rows, labels, folds, held_out), most)
+    model = train(labelled_sample(rows, labels, folds, held_out, most))
     found = scores(rows, model, threshold)
     return found.select(
         "doc_id", (fold_of(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "predicted"
@@ -365,7 +373,7 @@ def without_toxic(
 ) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; columns stay."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(_labelled(rows, labels, folds, held_out), most)
+    model = train(labelled_sample(rows, labels, folds, held_out, most))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
