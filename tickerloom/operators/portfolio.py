@@ -1,7 +1,7 @@
 """Ranking, return moments, candidate portfolios and holdings.
 
-A portfolio holds a bounded number of names (``MAX_NAMES``); moments and weights are kept
-as arrays in position order, so nothing here grows with the number of pairs of tickers.
+A selection may hold any number of names; its moments are arrays in ticker order. The
+covariance is aggregated in blocks of ``BLOCK`` names, so plans do not grow with the names.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import clip
 from tickerloom.operators.joins import complete_dates, keep_latest
-from tickerloom.session import materialised
 
 # Fixed values
-MAX_NAMES = 50
 TRADING_DAYS = 252
 STRATEGIES = ("balanced", "dividend", "growth", "value", "garp", "quality", "momentum")
 VOLATILITY_CAPS = {"low": 0.15, "medium": 0.25, "high": 0.40}
 MIN_HOLDING = 0.001
 SCORE_BLEND = (0.7, 0.3)
 
+#: Names per covariance block (columns of one aggregate).
+BLOCK = 32
+
 
 # ---- scores ----------------------------------------------------------------------------
 def _components() -> dict[str, list[Column]]:
@@ -113,8 +114,6 @@ def scored(best: DataFrame, fundamentals: DataFrame, risk: str, strategy: str) -
 
 def ranked_top(scores: DataFrame, n: int) -> DataFrame:
     """Best ``n`` tickers with their rank; only the kept rows are numbered."""
-    if n > MAX_NAMES:
-        raise ValueError(f"a portfolio holds at most {MAX_NAMES} names")
     top = scores.orderBy(F.col("score").desc(), "ticker").limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "ticker")))
 
@@ -135,52 +134,54 @@ def log_returns(prices: DataFrame) -> DataFrame:
     return prices.select("date", "ticker", F.when(step > 0, F.ln(step)).alias("r")).where("r IS NOT NULL")
 
 
-def positions(selected: DataFrame, n: int) -> DataFrame:
-    """Number up to ``n`` selected names 0, 1, ... in ticker order."""
-    if n > MAX_NAMES:
-        raise ValueError(f"a portfolio holds at most {MAX_NAMES} names")
-    top = selected.select("ticker").distinct().orderBy("ticker").limit(n)
-    numbered = top.withColumn("pos", (F.row_number().over(Window.orderBy("ticker")) - 1).cast("int"))
-    return materialised(numbered, "names")
-
+def return_matrix(prices: DataFrame, selected: DataFrame, min_rows: int = 504) -> DataFrame:
+    """One row per common date: the kept names and their log returns, both in ticker order.
 
-def return_matrix(prices: DataFrame, names: DataFrame, n: int, min_rows: int = 504) -> DataFrame:
-    """One row per common date: an array of the names' log returns in position order."""
-    full = complete_dates(prices.select("date", "ticker", "close_Price"), names, min_rows)
-    r = log_returns(full).join(names, "ticker")
-    slots = [F.max(F.when(F.col("pos") == i, F.col("r"))) for i in range(n)]
-    return r.groupBy("date").agg(F.array(*slots).alias("x"))
+    Every kept name has a close on every common date, so all rows hold the same names; a
+    return is NULL where one of its closes is not positive.
+    """
+    full = complete_dates(prices.select("date", "ticker", "close_Price"), selected.select("ticker"), min_rows)
+    w = Window.partitionBy("ticker").orderBy("date")
+    c = F.col("close_Price")
+    step = F.try_divide(c, F.lag(c).over(w))
+    rows = full.select("date", "ticker", F.when(step > 0, F.ln(step)).alias("r"), F.row_number().over(w).alias("_rn"))
+    cells = F.array_sort(F.collect_list(F.struct("ticker", "r")))  # one cell per name
+    by_date = rows.where("_rn > 1").groupBy("date").agg(cells.alias("c"))
+    return by_date.select(
+        "date", F.transform("c", lambda x: x["ticker"]).alias("names"), F.transform("c", lambda x: x["r"]).alias("x")
+    )
 
 
-def covariance(matrix: DataFrame, names: DataFrame, n: int) -> DataFrame:
-    """Annualised mean, and covariance as one array row per name.
+def covariance(matrix: DataFrame) -> DataFrame:
+    """Annualised mean of each name, and its covariances as an array in ticker order.
 
-    Each date is expanded to one row per name carrying the whole (bounded) array, so the
-    work is names x dates rows with map-side combination; no pair rows, no self-join.
-    Names without returns or variance drop out. The result (at most ``MAX_NAMES`` rows) is
-    written once, because every portfolio figure reads it several times.
+    Each date is expanded to one row per (name, block of ``BLOCK`` names) and combined map-side;
+    the aggregate has ``BLOCK`` columns whatever the number of names. Names without returns or
+    variance drop out of the result; ``pos`` is the place in the arrays.
     """
     year = F.lit(float(TRADING_DAYS))
-    rows = matrix.select(F.posexplode("x").alias("pos", "xi"), "x")
-    cov = F.array(*[F.covar_samp("xi", F.get("x", F.lit(j))) * year for j in range(n)])
-    stats = rows.groupBy("pos").agg((F.avg("xi") * year).alias("mu"), cov.alias("cov"))
-    valid = (
-        stats.join(names, "pos")
-        .where(F.col("mu").isNotNull() & (F.get("cov", F.col("pos")) > 0))
-        .select("ticker", "pos", "mu", "cov")
-    )
-    return materialised(valid, "moments")
+    own = matrix.select(F.posexplode(F.arrays_zip("names", "x")).alias("pos", "n"), "x")
+    own = own.select("pos", F.col("n.names").alias("ticker"), F.col("n.x").alias("xi"), "x")
+    starts = F.sequence(F.lit(0), F.size("x") - 1, F.lit(BLOCK))
+    rows = own.select("pos", "ticker", "xi", "x", F.explode(starts).alias("at"))
+    rows = rows.select("pos", "ticker", "xi", "at", F.slice("x", F.col("at") + 1, F.lit(BLOCK)).alias("xb"))
+    cov = F.array(*[F.covar_samp("xi", F.get("xb", F.lit(j))) * year for j in range(BLOCK)])
+    blocks = rows.groupBy("pos", "ticker", "at").agg((F.avg("xi") * year).alias("mu"), cov.alias("cov"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "cov")))  # names / BLOCK cells
+    stats = blocks.groupBy("pos", "ticker").agg(F.first("mu").alias("mu"), parts.alias("p"))
+    stats = stats.withColumn("cov", F.flatten(F.transform("p", lambda x: x["cov"])))
+    return stats.where(F.col("mu").isNotNull() & (F.get("cov", F.col("pos")) > 0)).select("ticker", "pos", "mu", "cov")
 
 
 def covariance_long(stats: DataFrame) -> DataFrame:
-    """(ticker, other, covariance) rows of the bounded matrix."""
+    """(ticker, other, covariance) rows of the matrix."""
     other = stats.select(F.col("ticker").alias("other"), F.col("pos").alias("_p"))
     cells = stats.select("ticker", F.posexplode("cov").alias("_p", "covariance"))
     return cells.join(other, "_p").select("ticker", "other", "covariance")
 
 
 class Market:
-    """Bounded moment arrays of a selection as scalar subqueries."""
+    """Moment arrays of a selection as scalar subqueries (names squared numbers)."""
 
     def __init__(self, stats: DataFrame):
         ordered = F.array_sort(F.collect_list(F.struct("pos", "ticker", "mu", "cov")))
@@ -197,24 +198,34 @@ def dot(a: Column, b: Column) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the optimizer copies the column."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def performance(portfolios: DataFrame, stats: DataFrame, risk_free: float = 0.04) -> DataFrame:
     """Return, volatility and Sharpe ratio of weight arrays ``w`` in position order."""
     market = Market(stats)
     base = portfolios.withColumns({"_mu": market.mu, "_cov": market.cov})
-    spread = F.transform("_cov", lambda row: dot(row, F.col("w")))
-    out = base.withColumns(
-        {"ret": dot(F.col("w"), F.col("_mu")), "vol": F.sqrt(dot(F.col("w"), spread))}
-    ).drop("_mu", "_cov")
+    def figures(s: Column) -> Column:
+        spread = F.transform(s["cov"], lambda row: dot(row, s["w"]))
+        return F.struct(dot(s["w"], s["mu"]).alias("ret"), F.sqrt(dot(s["w"], spread)).alias("vol"))
+
+    inputs = F.struct(F.col("w"), F.col("_mu").alias("mu"), F.col("_cov").alias("cov"))
+    out = base.withColumn("_p", bound(inputs, figures)).withColumns({"ret": F.col("_p.ret"), "vol": F.col("_p.vol")})
+    out = out.drop("_mu", "_cov", "_p")
     sharpe = F.when(F.col("vol") > 0, (F.col("ret") - F.lit(risk_free)) / F.col("vol")).otherwise(F.lit(0.0))
     return out.withColumn("sharpe", sharpe)
 
 
 def unit_uniform(seed: Column, position: Column) -> Column:
-    """Reproducible number in (0, 1) from two integers (two multiplicative hash rounds)."""
-    prime = F.lit(2147483647)
-    h = F.pmod(seed * 48271 + position * 16807 + 12345, prime)
-    h = F.pmod(h * 48271 + position * 69621, prime)
-    return (h + F.lit(1)) / F.lit(2147483648.0)
+    """Reproducible number in (0, 1) from two integers, for any 64-bit seed.
+
+    Ten decimal digits' worth of the md5 of both, which other engines have too.
+    """
+    digest = F.md5(F.concat_ws(":", seed.cast("string"), position.cast("string")))
+    value = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return (value + F.lit(0.5)) / F.lit(4294967296.0)
 
 
 def random_weights(ids: DataFrame, stats: DataFrame, id_col: str = "portfolio_id") -> DataFrame:
@@ -222,14 +233,16 @@ def random_weights(ids: DataFrame, stats: DataFrame, id_col: str = "portfolio_id
     count = stats.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
     slots = F.sequence(F.lit(0), F.col("_n") - 1)
     raw = F.transform(slots, lambda i: unit_uniform(F.col(id_col), i))
-    total = F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x)
+
+    def share(r: Column) -> Column:
+        total = F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)
+        return bound(total, lambda t: F.transform(r, lambda x: x / t))
+
     return (
         ids.select(id_col)
         .withColumn("_n", count)
         .where(F.col("_n") > 0)  # an empty selection has no portfolios
-        .withColumn("_raw", raw)
-        .withColumn("_t", total)
-        .select(id_col, F.transform("_raw", lambda x: x / F.col("_t")).alias("w"))
+        .select(id_col, bound(raw, share).alias("w"))
     )
 
 

@@ -177,13 +177,14 @@ def _(d):
 
 
 # ---- moments and candidates ------------------------------------------------------------
-NAMES = 8
-register("names", f"""
-SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS pos
-FROM (SELECT ticker FROM bars_nation GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT {NAMES})""")
+# Weekly closes: every nation trades in nearly every week, so that all of them share dates.
+register("weekly_nation", """
+SELECT CAST(date_trunc('week', date) AS DATE) AS date, ticker, arg_max(close_Price, bars_nation.date) AS close_Price
+FROM bars_nation GROUP BY 1, 2""")
+register("names", "SELECT DISTINCT ticker FROM weekly_nation")
 register("common", """
-WITH u AS (SELECT b.date, b.ticker, close_Price FROM bars_nation b JOIN names USING (ticker)),
-k AS (SELECT ticker FROM u GROUP BY 1 HAVING count(*) >= 252),
+WITH u AS (SELECT b.date, b.ticker, close_Price FROM weekly_nation b JOIN names USING (ticker)),
+k AS (SELECT ticker FROM u GROUP BY 1 HAVING count(*) >= 100),
 c AS (SELECT u.* FROM u JOIN k USING (ticker))
 SELECT * FROM c WHERE date IN (SELECT date FROM c GROUP BY date HAVING count(*) = (SELECT count(*) FROM k))""")
 register("name_returns", """
@@ -194,9 +195,9 @@ SELECT a.ticker, b.ticker AS other, covar_samp(a.r, b.r) * 252 AS covariance
 FROM name_returns a JOIN name_returns b USING (date) GROUP BY 1, 2""")
 register("mu", "SELECT ticker, avg(r) * 252 AS mu FROM name_returns GROUP BY 1")
 register("weights", """
-WITH h AS (SELECT c_custkey AS portfolio_id, ticker, pos,
-                  (c_custkey * 48271 + pos * 16807 + 12345) % 2147483647 AS h1 FROM customer, names),
-u AS (SELECT *, ((h1 * 48271 + pos * 69621) % 2147483647 + 1) / 2147483648e0 AS u FROM h)
+WITH k AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS pos FROM mu),
+u AS (SELECT c_custkey AS portfolio_id, ticker, pos,
+             (CAST('0x' || substr(md5(c_custkey || ':' || pos), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS u FROM customer, k)
 SELECT portfolio_id, ticker, pos, u / sum(u) OVER (PARTITION BY portfolio_id) AS w FROM u""")
 register("candidates", """
 WITH r AS (SELECT portfolio_id, sum(w * mu) AS ret, max(w) AS wmax FROM weights JOIN mu USING (ticker) GROUP BY 1),
@@ -205,14 +206,16 @@ v AS (SELECT a.portfolio_id, sqrt(sum(a.w * b.w * covariance)) AS vol
 SELECT portfolio_id, ret, vol, (ret - 0.04e0) / vol AS sharpe, wmax FROM r JOIN v USING (portfolio_id)""")
 
 
-def names(d):
-    top = d.bars_nation.groupBy("ticker").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "ticker").limit(NAMES)
-    return pf.positions(top, NAMES)
+def weekly(d):
+    week = F.trunc("date", "week").alias("date")
+    bars = d.bars_nation.select(week, "ticker", "close_Price", F.col("date").alias("day"))
+    return bars.groupBy("date", "ticker").agg(F.max_by("close_Price", "day").alias("close_Price"))
 
 
 def moments(d):
-    n = names(d)
-    return pf.covariance(pf.return_matrix(d.bars_nation, n, NAMES, 252), n, NAMES)
+    """Moments of all nation tickers, derived once per session and folder."""
+    prices = weekly(d)
+    return d.stored("moments", lambda: pf.covariance(pf.return_matrix(prices, prices.select("ticker").distinct(), 100)))
 
 
 def candidates(d):

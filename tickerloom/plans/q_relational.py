@@ -448,16 +448,17 @@ def _(d):
 
 
 @query("J12_complete_dates", """
-WITH sel AS (SELECT ticker FROM (SELECT DISTINCT ticker FROM bars_nation) ORDER BY ticker LIMIT 12),
-u AS (SELECT b.* FROM bars_nation b JOIN sel USING (ticker)),
-k AS (SELECT ticker FROM u GROUP BY 1 HAVING count(*) >= 252),
+WITH u AS (SELECT CAST(date_trunc('week', date) AS DATE) AS date, ticker, arg_max(close_Price, bars_nation.date) AS close_Price
+  FROM bars_nation GROUP BY 1, 2),
+k AS (SELECT ticker FROM u GROUP BY 1 HAVING count(*) >= 100),
 c AS (SELECT u.* FROM u JOIN k USING (ticker))
 SELECT date, ticker, close_Price FROM c
 WHERE date IN (SELECT date FROM c GROUP BY date HAVING count(*) = (SELECT count(*) FROM k))""", "close_Price")
 def _(d):
-    bars = d.bars_nation.select("date", "ticker", "close_Price")
-    selected = bars.select("ticker").distinct().orderBy("ticker").limit(12)
-    return joins.complete_dates(bars, selected, 252)
+    week = F.trunc("date", "week").alias("date")
+    bars = d.bars_nation.select(week, "ticker", "close_Price", F.col("date").alias("day"))
+    bars = bars.groupBy("date", "ticker").agg(F.max_by("close_Price", "day").alias("close_Price"))
+    return joins.complete_dates(bars, bars.select("ticker").distinct(), 100)
 
 
 @query("J13_aggregate_before_join", """
