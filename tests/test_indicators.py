@@ -1,5 +1,6 @@
 """Closed-form answers, invariances and agreement with direct recursions."""
 
+import datetime as dt
 import math
 import random
 
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators import indicators as ind
 from tickerloom.operators import recurrence
+from tickerloom.operators.beta import rolling_betas
+from tickerloom.operators.indicators import indicators
 from tickerloom.operators.recurrence import Decay, exponential_means
 
 
@@ -131,3 +134,36 @@ def test_bad_arguments(bars):
         ind.indicators(bars({"A": [1, 2]}), ["nope"])
     with pytest.raises(ValueError):
         Decay("close_Price", 1.0)
+
+
+@pytest.mark.parametrize("odd", [1e-6, 1e-4, 1e8, 1e12, float("nan"), float("inf"), None])
+def test_one_extreme_close_is_forgotten(spark, odd):
+    """After the last window that holds the odd row, every rolling value is that of a clean series."""
+    rng = random.Random(11)
+    closes = [100.0]
+    while len(closes) < 700:
+        closes.append(round(closes[-1] * (1 + rng.uniform(-0.01, 0.01)), 2))
+    start = dt.date(2018, 1, 1)
+
+    def table(values):
+        rows = [(start + dt.timedelta(days=i), "A", c, c, c, c, 100 + i) for i, c in enumerate(values)]
+        return spark.createDataFrame(rows, "date date, ticker string, open_Price double, high_Price double, "
+                                     "low_Price double, close_Price double, trade_Volume bigint")
+
+    spoilt = closes[:50] + [odd] + closes[51:]
+    index = table([100 + 3 * math.sin(i / 5) + i % 7 for i in range(700)]).select("date", F.col("close_Price").alias("index_close"))
+    seen = []
+    for values in (closes, spoilt):
+        full = indicators(table(values), ["sma", "std", "volatility", "rsi", "bands", "volume"]).orderBy("date").collect()
+        pairs = table(values).join(index, "date").withColumn("index_code", F.lit("I"))
+        betas = rolling_betas(pairs).orderBy("date").collect()
+        seen.append([*full[400][7:], *betas[-1][3:]])
+    assert all(a is not None and abs(a - b) <= 1e-9 * abs(a) for a, b in zip(*seen, strict=True))
+
+
+def test_exponential_means_carry_over_a_missing_close(bars):
+    rows = indicators(bars({"A": [10.0, float("nan"), 12.0, 11.0, 13.0, 12.0, 14.0]}), ["ema"], lag=0).orderBy("date").collect()
+    value = 10.0
+    for x in (10.0, 12.0, 11.0, 13.0, 12.0, 14.0):
+        value = value + (x - value) / 3
+    assert abs(rows[-1]["ema_5"] - value) < 1e-12 and rows[1]["close_Price"] is None

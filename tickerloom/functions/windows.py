@@ -65,83 +65,3 @@ def backward_fill(x, keys=("ticker",), order=("date",)) -> Column:
     partition would rescan the rest of it for every row."""
     reversed_order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return F.last(as_col(x), ignorenulls=True).over(running(reversed_order))
-
-
-class TrailingMoments:
-    """Trailing sums in O(1) per row from running totals.
-
-    ``total(name, n)`` is ``running(t) - running(t-n)``: one unbounded-preceding frame
-    whatever the number of window lengths, where a sliding frame would re-add ``n`` rows
-    per row. Meant for means and for moments of values centred near zero (returns): the
-    rounding error there is about ``history / n`` ulps.
-    """
-
-    def __init__(self, terms: dict[str, Column], w: WindowSpec, prefix: str = "_m_"):
-        self.terms, self.w, self.prefix = terms, w, prefix
-
-    def running_totals(self) -> dict[str, Column]:
-        """Window columns to add to the frame before ``total`` is used."""
-        zero = F.lit(0.0)
-        return {
-            self.prefix + k: F.sum(F.coalesce(v, zero)).over(running(self.w))
-            for k, v in self.terms.items()
-        }
-
-    def total(self, name: str, n: int) -> Column:
-        c = F.col(self.prefix + name)
-        return c - F.lag(c, n, 0.0).over(self.w)
-
-
-class TrailingDeviation:
-    """Trailing sample deviations of price-like values in O(1) per row.
-
-    Plain running totals of squares would cancel for values far from zero. Values are
-    therefore taken relative to an anchor, the value at the start of every ``ANCHOR`` rows;
-    a window reaching back into the previous anchor's rows shifts those sums to the current
-    anchor. Needs a row number column and windows of at most ``ANCHOR`` rows. Three steps,
-    each a dict of columns to add: ``anchors``, ``totals``, ``marks``; then ``std(n)``.
-    """
-
-    ANCHOR = 256
-
-    def __init__(self, x, w: WindowSpec, row_number: str = "_rn", prefix: str = "_d_"):
-        self.x, self.w, self.p = as_col(x), w, prefix
-        self.pos = (F.col(row_number) - 1) % F.lit(self.ANCHOR)
-
-    def _at_start(self, value: Column) -> Column:
-        return F.last(F.when(self.pos == 0, value), True).over(running(self.w))
-
-    def _c(self, name: str) -> Column:
-        return F.col(self.p + name)
-
-    def anchors(self) -> dict[str, Column]:
-        return {self.p + "a": F.coalesce(self._at_start(self.x), F.lit(0.0))}
-
-    def totals(self) -> dict[str, Column]:
-        d = F.coalesce(self.x - self._c("a"), F.lit(0.0))
-        return {
-            self.p + "s": F.sum(d).over(running(self.w)),
-            self.p + "q": F.sum(d * d).over(running(self.w)),
-            self.p + "pa": F.lag(self._c("a")).over(self.w),
-        }
-
-    def marks(self, windows) -> dict[str, Column]:
-        out = {
-            self.p + "sb": self._at_start(self._c("s")),
-            self.p + "before": self._at_start(self._c("pa")),
-        }
-        for n in windows:
-            out[f"{self.p}s{n}"] = F.lag(self._c("s"), n, 0.0).over(self.w)
-            out[f"{self.p}q{n}"] = F.lag(self._c("q"), n, 0.0).over(self.w)
-        return out
-
-    def std(self, n: int) -> Column:
-        if n > self.ANCHOR:
-            raise ValueError(f"windows of more than {self.ANCHOR} rows are not supported: {n}")
-        s0, q0 = self._c(f"s{n}"), self._c(f"q{n}")
-        outside = (F.lit(n - 1) - self.pos).cast("double")  # rows of the previous anchor
-        shift = F.when(outside > 0, self._c("before") - self._c("a")).otherwise(F.lit(0.0))
-        s = self._c("s") - s0 + outside * shift
-        q = self._c("q") - q0 + shift * (F.lit(2.0) * (self._c("sb") - s0) + outside * shift)
-        # rounding may leave a variance of zero slightly negative
-        return F.sqrt(F.abs(q - s * s * F.lit(1.0 / n)) * F.lit(1.0 / (n - 1)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.functions.scalar import beta_label
-from tickerloom.functions.windows import TrailingMoments
+from tickerloom.functions.scalar import beta_label, finite
+from tickerloom.functions.windows import trailing
 from tickerloom.operators.joins import keep_latest
 
 BETA_WINDOWS = (60, 120, 252)
@@ -18,11 +18,11 @@ def rolling_betas(pairs: DataFrame, keys=("ticker", "index_code"), windows=BETA_
                   lag: int = 0) -> DataFrame:
     """Betas over (date, keys, close_Price, index_close) rows of common dates.
 
-    Returns are taken between consecutive common dates. Trailing moments come from running
-    totals, so a row costs the same whatever the window length.
+    Returns are taken between consecutive common dates; NaN and infinite closes count as
+    missing. Moments come from sliding frames, which hold only their own rows.
     """
     w = Window.partitionBy(*keys).orderBy("date")
-    c, m = F.col("close_Price"), F.col("index_close")
+    c, m = finite("close_Price"), finite("index_close")
     df = pairs.withColumns(
         {
             "_x": F.try_divide(c, F.lag(c).over(w)) - F.lit(1.0),
@@ -30,22 +30,15 @@ def rolling_betas(pairs: DataFrame, keys=("ticker", "index_code"), windows=BETA_
         }
     )
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    x, y = F.when(both, F.col("_x")), F.when(both, F.col("_y"))
-    mom = TrailingMoments(
-        {"n": both.cast("double"), "x": x, "y": y, "xy": x * y, "xx": x * x, "yy": y * y}, w
-    )
-    df = df.withColumns(mom.running_totals())
-
-    # centred sums of products over the trailing n rows
-    def centred(n: int, prod: str, a: str, b: str) -> Column:
-        return mom.total(prod, n) - mom.total(a, n) * mom.total(b, n) / F.lit(float(n))
-
-    sums = {}
+    df = df.withColumns({"_x": F.when(both, F.col("_x")), "_y": F.when(both, F.col("_y"))})
+    x, y = F.col("_x"), F.col("_y")
+    sums: dict[str, Column] = {}
     for n in windows:
-        sums[f"_n{n}"] = mom.total("n", n)
-        sums[f"_xy{n}"] = centred(n, "xy", "x", "y")
-        sums[f"_yy{n}"] = centred(n, "yy", "y", "y")
-    sums[f"_xx{LONG}"] = centred(LONG, "xx", "x", "x")
+        f = trailing(n, w)
+        sums[f"_n{n}"] = F.count(x).over(f)
+        sums[f"_xy{n}"] = F.covar_samp(x, y).over(f) * F.lit(float(n - 1))
+        sums[f"_yy{n}"] = F.var_samp(y).over(f) * F.lit(float(n - 1))
+    sums[f"_xx{LONG}"] = F.var_samp(x).over(trailing(LONG, w)) * F.lit(float(LONG - 1))
     df = df.withColumns(sums)
 
     out: dict[str, Column] = {}
@@ -53,9 +46,7 @@ def rolling_betas(pairs: DataFrame, keys=("ticker", "index_code"), windows=BETA_
         ok = (F.col(f"_n{n}") == n) & (F.col(f"_yy{n}") > F.lit(1e-18))
         out[f"beta_{n}d"] = F.when(ok, F.try_divide(F.col(f"_xy{n}"), F.col(f"_yy{n}")))
     ok = (F.col(f"_n{LONG}") == LONG) & (F.col(f"_yy{LONG}") > 1e-18) & (F.col(f"_xx{LONG}") > 1e-18)
-    corr = F.when(
-        ok, F.col(f"_xy{LONG}") / F.sqrt(F.greatest(F.col(f"_xx{LONG}") * F.col(f"_yy{LONG}"), F.lit(1e-36)))
-    )
+    corr = F.when(ok, F.col(f"_xy{LONG}") / (F.sqrt(f"_xx{LONG}") * F.sqrt(f"_yy{LONG}")))
     out["correlation_252d"] = corr
     out["r_squared_252d"] = corr * corr
     df = df.withColumns(out)

@@ -6,8 +6,9 @@ shuffle by ticker and one sort. All values are lagged one row by default (no loo
 
 Conventions where the literature varies: exponential means start at the first value and
 are shown from row ``n``; RSI averages 14 simple changes (``rsi_method="wilder"`` smooths
-with 1/14 instead); ATR is Wilder-smoothed. Windows holding a NULL give NULL; exponential
-means need bars without NULL closes (drop them first, as the pipeline does).
+with 1/14 instead); ATR is Wilder-smoothed. NaN and infinite prices count as NULL. Windows
+holding a NULL give NULL; exponential means carry the last close over a NULL. Means and deviations come from sliding frames, which hold only their
+own rows: one extreme value is forgotten as soon as it leaves the window.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.windows import TrailingDeviation, TrailingMoments, running
+from tickerloom.functions.scalar import finite
+from tickerloom.functions.windows import rolling_mean, rolling_std, running
 from tickerloom.operators.recurrence import Decay, Series
 
 # Column names and their row counts.
@@ -94,11 +96,6 @@ def _strength(up: Column, down: Column) -> Column:
     )
 
 
-def _std_from(total: Column, squares: Column, n: int) -> Column:
-    spread = squares - total * total / F.lit(float(n))
-    return F.sqrt(F.greatest(spread, _zero()) / F.lit(float(n - 1)))
-
-
 def indicators(
     bars: DataFrame,
     families=FAMILIES,
@@ -116,13 +113,15 @@ def indicators(
     if unknown:
         raise ValueError(f"unknown indicator families: {sorted(unknown)}")
     c = F.col("close_Price")
+    prices = ("open_Price", "high_Price", "low_Price", "close_Price")
+    bars = bars.withColumns({p: finite(p) for p in prices if p in bars.columns})
 
     decays: dict[str, Decay] = {}
     if "ema" in families:
-        decays |= {f"ema_{n}": Decay.span("close_Price", n) for n in MA_WINDOWS}
+        decays |= {f"ema_{n}": Decay.span("_filled", n) for n in MA_WINDOWS}
     if "macd" in families:
-        decays["_fast"] = Decay.span("close_Price", MACD_FAST, warmup=1)
-        decays["_slow"] = Decay.span("close_Price", MACD_SLOW, warmup=1)
+        decays["_fast"] = Decay.span("_filled", MACD_FAST, warmup=1)
+        decays["_slow"] = Decay.span("_filled", MACD_SLOW, warmup=1)
     if "volume" in families:
         volume = F.col("trade_Volume").cast("double")
         decays["volume_ema_20"] = Decay.span(volume, VOLUME_ROWS, warmup=1)
@@ -139,6 +138,8 @@ def indicators(
 
     # stage 1: neighbours of the row, running values of stored columns
     first = {"_prev": F.lag(c).over(w)}
+    if families & {"ema", "macd"}:
+        first["_filled"] = F.last(c, ignorenulls=True).over(running(w))
     if "returns" in families:
         first |= {k: F.try_divide(c, F.lag(c, n).over(w)) - F.lit(1.0) for k, n in RETURN_PERIODS.items()}
     if "momentum" in families:
@@ -146,34 +147,23 @@ def indicators(
     if "vwap" in families:
         volume = F.sum(F.col("trade_Volume").cast("double")).over(running(w))
         first["vwap"] = F.try_divide(F.sum(c * F.col("trade_Volume")).over(running(w)), volume)
-    deviation = TrailingDeviation(c, w) if families & {"std", "bands"} else None
-    if deviation:
-        first |= deviation.anchors()
+    if families & {"std", "bands"}:
+        first |= {f"std_Div_{n}": rolling_std(c, n, w) for n in MA_WINDOWS}
+    if "sma" in families:
+        first |= {f"sma_{n}": rolling_mean(c, n, w) for n in MA_WINDOWS}
+    if "volume" in families:
+        first["volume_sma_20"] = rolling_mean(F.col("trade_Volume").cast("double"), VOLUME_ROWS, w)
     df = df.withColumns(first)
     df = df.withColumns(_steps(c, F.col("_prev")))
 
-    # stage 2: running totals, rows since the last NULL, block-local sums
-    terms: dict[str, Column] = {}
-    complete: dict[str, Column] = {}
-    if families & {"sma", "std", "bands"}:
-        complete["c"] = c
-    if "sma" in families:
-        terms["c"] = c
-    if "volume" in families:
-        terms["v"] = F.col("trade_Volume").cast("double")
-        complete["v"] = F.col("trade_Volume")
+    # stage 2: rolling values of the steps, block-local sums
+    second = blocked.local_sums(decays)
     if "rsi" in families and rsi_method == "mean":
-        terms |= {"up": F.col("_up"), "down": F.col("_down")}
+        second |= {f"_rsi{s}": rolling_mean(s, RSI_ROWS, w) for s in ("_up", "_down")}
     if "volatility" in families:
-        terms |= {"r": F.col("_ret"), "rr": F.col("_ret") * F.col("_ret")}
-        complete["r"] = F.col("_ret")
-    moments = TrailingMoments(terms, w)
-    second = moments.running_totals() | blocked.local_sums(decays)
-    for name, x in complete.items():
-        last_null = F.max(F.when(x.isNull(), F.col("_rn"))).over(running(w))
-        second[f"_run_{name}"] = F.col("_rn") - F.coalesce(last_null, F.lit(0))
-    if deviation:
-        second |= deviation.totals()
+        for name, n in VOLATILITY_WINDOWS.items():
+            value = rolling_std("_ret", n, w)
+            second[name] = F.when(~index_flag, value) if index_flag is not None else value
     if "obv" in families:
         second["obv"] = F.sum("_flow").over(running(w))
     if "momentum" in families:
@@ -185,18 +175,10 @@ def indicators(
     def full(n: int, value: Column, extra: int = 0) -> Column:
         return F.when(F.col("_rn") >= n + extra, value)
 
-    def whole(name: str, n: int, value: Column) -> Column:
-        """NULL unless the trailing ``n`` rows all hold a value."""
-        return F.when(F.col(f"_run_{name}") >= n, value)
-
     for step in range(1, max(1, blocked.max_depth(decays)) + 1):
         third = blocked.carries(decays, step)
-        if deviation and step == 1:
-            third |= deviation.marks(MA_WINDOWS)
         df = df.withColumns(third) if third else df
     values = blocked.values(decays, masked=False)
-    if deviation:
-        values |= {f"std_Div_{n}": deviation.std(n) for n in MA_WINDOWS}
     df = df.withColumns(values) if values else df
     if "macd" in families:
         df = blocked.smooth(df.withColumn("macd", F.col("_fast") - F.col("_slow")), signal)
@@ -204,24 +186,9 @@ def indicators(
     raw: dict[str, Column] = {
         name: full(d.warmup, F.col(name)) for name, d in decays.items() if d.warmup > 1
     }
-    if deviation:
-        raw |= {f"std_Div_{n}": whole("c", n, F.col(f"std_Div_{n}")) for n in MA_WINDOWS}
-    if "sma" in families:
-        raw |= {f"sma_{n}": whole("c", n, moments.total("c", n) / F.lit(float(n))) for n in MA_WINDOWS}
     if "rsi" in families:
-        n = RSI_ROWS
-        if rsi_method == "mean":
-            up, down = (full(n, moments.total(s, n) / F.lit(float(n)), 1) for s in ("up", "down"))
-        else:
-            up, down = full(n, F.col("_smooth_up"), 1), full(n, F.col("_smooth_down"), 1)
-        raw["_rsi_up"], raw["_rsi_down"] = up, down
-    if "volume" in families:
-        n = VOLUME_ROWS
-        raw["volume_sma_20"] = whole("v", n, moments.total("v", n) / F.lit(float(n)))
-    if "volatility" in families:
-        for name, n in VOLATILITY_WINDOWS.items():
-            value = whole("r", n, _std_from(moments.total("r", n), moments.total("rr", n), n))
-            raw[name] = F.when(~index_flag, value) if index_flag is not None else value
+        source = "_rsi" if rsi_method == "mean" else "_smooth"
+        raw |= {f"_rsi{s}": full(RSI_ROWS, F.col(source + s), 1) for s in ("_up", "_down")}
     df = df.withColumns(raw) if raw else df
 
     # stage 4: values built from raw values
