@@ -60,7 +60,7 @@ def log_of(spark, path, schema):
 def test_running_state_over_batches(spark, bars):
     b = bars({"A": random_walk(60), "B": random_walk(60, 4)})
     path = shared_folder(spark, "state")
-    inc.run_available(inc.running_indicators(bar_stream(spark, b, 3)), inc.log_sink(path))
+    inc.run_available(inc.running_indicators(bar_stream(spark, b, 3)), inc.log_sink(path), shared_folder(spark, "cp"))
     got = log_of(spark, path, inc.RUNNING_OUTPUT)
     assert got.select(inc.BATCH).distinct().count() == 3
     full = ind.indicators(b, ["momentum", "obv", "ema"], lag=0)
@@ -69,13 +69,33 @@ def test_running_state_over_batches(spark, bars):
     assert tuples(r(got)) == tuples(r(want))
 
 
-def test_upsert_over_batches(spark, bars):
-    b = bars({"A": random_walk(400), "B": random_walk(300, 4)})
-    path = shared_folder(spark, "upsert")
-    inc.run_available(bar_stream(spark, b, 3), inc.upserting_sink(path))
+def test_upsert_keeps_stored_bars_and_the_newest_version(spark, bars):
+    b = bars({"A": random_walk(40), "B": random_walk(30, 4)}).withColumn("version", F.lit(2))
+    rows = b.orderBy("date", "ticker").collect()
+    old = [r.asDict() | {"version": 1, "close_Price": -1.0} for r in rows[::3]]
+    folder, path, checkpoint = (shared_folder(spark, x) for x in ("files", "upsert", "cp"))
+    batches = [rows[10:30], [rows[0], *rows[50:]], [*old, *rows[30:50]], rows[1:10]]
+    for k, chunk in enumerate(batches):
+        spark.createDataFrame(chunk, b.schema).coalesce(1).write.mode("append").parquet(folder)
+        if k in (1, 3):  # two runs over one checkpoint
+            inc.run_available(inc.stream_table(spark, folder, b.schema, files_per_batch=1),
+                              inc.upserting_sink(path, "version"), checkpoint)
     assert tuples(spark.read.parquet(path).select(*b.columns)) == tuples(b)
 
 
+def test_compacted_log_resolves_to_the_same_rows(spark):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())])
+    path = shared_folder(spark, "log")
+    sink = inc.deduplicating_sink(path, ["k"], ["v"])
+    for i in range(5):
+        sink(spark.createDataFrame([(k, (k * 7 + i * 3) % 11) for k in range(6)], schema), i)
+    full = T.StructType([*schema.fields, T.StructField(inc.BATCH, T.LongType())])
+    want = tuples(inc.newest_per_key(inc.read_log(spark, path, full), ["k"], ["v"]))
+    inc.compact_log(spark, path, full, ["k"], ["v"])
+    log = inc.read_log(spark, path, full)
+    assert log.count() == 12 and tuples(inc.newest_per_key(log, ["k"], ["v"])) == want
+
+
 def test_daily_bars_and_newest_over_batches(spark):
     import datetime as dt
 
@@ -89,11 +109,11 @@ def test_daily_bars_and_newest_over_batches(spark):
         spark.createDataFrame(rows[30 * i : 30 * i + 30], schema).coalesce(1).write.mode("append").parquet(folder)
     stream = lambda: inc.stream_table(spark, folder, schema, files_per_batch=1)
     path = shared_folder(spark, "daily")
-    inc.run_available(inc.daily_bars(stream()), inc.log_sink(path), "update")
+    inc.run_available(inc.daily_bars(stream()), inc.log_sink(path), shared_folder(spark, "cp"), "update")
     batch = inc.daily_bars(ticks)
     assert tuples(inc.newest_version(log_of(spark, path, batch.schema), ["ticker", "date"])) == tuples(batch)
 
     path = shared_folder(spark, "newest")
-    inc.run_available(stream(), inc.deduplicating_sink(path, ["ticker"], ["event_id"]))
+    inc.run_available(stream(), inc.deduplicating_sink(path, ["ticker"], ["event_id"]), shared_folder(spark, "cp"))
     got = inc.newest_per_key(log_of(spark, path, schema), ["ticker"], ["event_id"])
     assert sorted(r["event_id"] for r in got.collect()) == [87, 88, 89]

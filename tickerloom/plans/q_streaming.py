@@ -13,8 +13,26 @@ from tickerloom.streaming import incremental as inc
 OHLC = "open_Price high_Price low_Price close_Price"
 
 
-def _events(d):
-    return inc.stream_table(d.spark, d.sf_dir, d.raw("events").schema, "events.parquet")
+PARTS = 4
+
+
+def _in_parts(d, rows, part, run, schema=None):
+    """Feeds ``rows`` to a stream in PARTS files, one micro-batch each, in two runs.
+
+    ``part`` numbers the file of each row. ``run(stream, checkpoint)`` is called when half of
+    the files are there and again, with the same checkpoint, when all are.
+    """
+    folder, checkpoint = shared_folder(d.spark, "arriving"), shared_folder(d.spark, "checkpoint")
+    schema = schema or rows.schema
+    for k in range(PARTS):
+        rows.where(part == k).select(*schema.names).coalesce(1).write.mode("append").parquet(folder)
+        if k in (PARTS // 2 - 1, PARTS - 1):
+            run(inc.stream_table(d.spark, folder, schema, files_per_batch=1), checkpoint)
+
+
+def _mixed(*cols):
+    """Files in which neither dates nor keys are in order."""
+    return F.pmod(F.xxhash64(*cols), F.lit(PARTS))
 
 
 def _tick_columns(e):
@@ -27,9 +45,22 @@ SELECT CAST(ts AS DATE) AS date, ticker, arg_min(price, event_id) AS open_Price,
        arg_max(price, event_id) AS close_Price, count(*) AS trade_Volume FROM ticks GROUP BY 1, 2""", OHLC)
 def _(d):
     path = shared_folder(d.spark, "bars")
-    bars = inc.daily_bars(_tick_columns(_events(d)))
-    inc.run_available(bars, inc.log_sink(path), "update")
-    schema = T.StructType([*bars.schema.fields, T.StructField(inc.BATCH, T.LongType())])
+    e = d.raw("events")
+    bars = []
+
+    def run(stream, checkpoint):
+        bars.append(inc.daily_bars(_tick_columns(stream)))
+        inc.run_available(bars[-1], inc.log_sink(path), checkpoint, "update")
+
+    span = e.agg(F.min("ts"), F.max("ts")).first()
+    width = (span[1] - span[0]) / PARTS
+    edges = [span[0] + width * k for k in range(1, PARTS)]
+    # files in the order of time; rows near an edge arrive a file late, within the lateness
+    late = F.pmod(F.xxhash64("event_id"), F.lit(24)).cast("int")
+    shifted = F.col("ts") - F.make_interval(hours=late)
+    part = sum((F.when(shifted >= F.lit(x), 1).otherwise(0) for x in edges), F.lit(0))
+    _in_parts(d, e, part, run)
+    schema = T.StructType([*bars[0].schema.fields, T.StructField(inc.BATCH, T.LongType())])
     return inc.newest_version(inc.read_log(d.spark, path, schema), ["ticker", "date"])
 
 
@@ -37,23 +68,28 @@ def _(d):
 def _(d):
     path = shared_folder(d.spark, "newest")
     keys = ["user_id", "event_type"]
-    e = _events(d).select(*keys, "event_id", "value")
-    inc.run_available(e, inc.deduplicating_sink(path, keys, ["event_id"]))
+    e = d.raw("events").select(*keys, "event_id", "value")
     schema = T.StructType([*e.schema.fields, T.StructField(inc.BATCH, T.LongType())])
-    return inc.newest_per_key(inc.read_log(d.spark, path, schema), keys, ["event_id"])
 
+    def run(stream, checkpoint):
+        inc.run_available(stream, inc.deduplicating_sink(path, keys, ["event_id"]), checkpoint)
+        inc.compact_log(d.spark, path, schema, keys, ["event_id"])
 
-def _bar_files(d, parts=1):
-    folder = shared_folder(d.spark, "barfiles")
-    d.bars.repartitionByRange(parts, "date").write.parquet(folder)
-    return folder
+    _in_parts(d, e, _mixed("event_id"), run)
+    return inc.newest_per_key(inc.read_log(d.spark, path, schema), keys, ["event_id"])
 
 
 @query("X03_upsert", "SELECT * FROM bars", OHLC)
 def _(d):
+    """Bars out of order, every third one first in a wrong older version."""
     path = shared_folder(d.spark, "table")
-    stream = inc.stream_table(d.spark, _bar_files(d), d.bars.schema)
-    inc.run_available(stream, inc.upserting_sink(path))
+    right = d.bars.withColumn("version", F.lit(2)).withColumn("part", _mixed("ticker", "date"))
+    wrong = right.where(F.pmod(F.xxhash64("date", "ticker"), F.lit(3)) == 0).withColumns(
+        {"version": F.lit(1), "close_Price": F.lit(-1.0), "part": F.pmod(F.col("part") + 1, F.lit(PARTS))})
+    rows = right.unionByName(wrong)
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "part"])
+    _in_parts(d, rows, F.col("part"),
+              lambda stream, checkpoint: inc.run_available(stream, inc.upserting_sink(path, "version"), checkpoint), schema)
     return d.spark.read.parquet(path).select(*d.bars.columns)
 
 
@@ -61,8 +97,11 @@ def _(d):
 SELECT m.date, m.ticker, momentum, o.obv, e.ema_20 AS ema FROM raw_momentum m JOIN raw_obv o USING (date, ticker) JOIN raw_ema e USING (date, ticker)""", "momentum obv ema")
 def _(d):
     path = shared_folder(d.spark, "running")
-    stream = inc.stream_table(d.spark, _bar_files(d), d.bars.schema)
-    inc.run_available(inc.running_indicators(stream), inc.log_sink(path))
+    span = d.bars.agg(F.min("date"), F.max("date")).first()
+    edges = [span[0] + (span[1] - span[0]) * k // PARTS for k in range(1, PARTS)]
+    part = sum((F.when(F.col("date") >= F.lit(x), 1).otherwise(0) for x in edges), F.lit(0))
+    _in_parts(d, d.bars, part, lambda stream, checkpoint: inc.run_available(
+        inc.running_indicators(stream), inc.log_sink(path), checkpoint))
     schema = T.StructType([*inc.RUNNING_OUTPUT.fields, T.StructField(inc.BATCH, T.LongType())])
     return inc.read_log(d.spark, path, schema).drop(inc.BATCH)
 
@@ -72,8 +111,10 @@ SELECT event_id, t.ticker, price, country FROM ticks t LEFT JOIN stock_info s ON
 WHERE t.ticker NOT IN (SELECT ticker FROM blacklist WHERE active)""", "price")
 def _(d):
     path = shared_folder(d.spark, "filtered")
-    out = inc.filtered_ticks(_tick_columns(_events(d)), d.blacklist.where("active"), d.stock_info).select(
-        "event_id", "ticker", "price", "country")
-    inc.run_available(out, inc.log_sink(path))
-    schema = T.StructType([*out.schema.fields, T.StructField(inc.BATCH, T.LongType())])
+    columns = ["event_id", "ticker", "price", "country"]
+    blocked, info = d.blacklist.where("active"), d.stock_info
+    _in_parts(d, d.raw("events"), _mixed("event_id"), lambda stream, checkpoint: inc.run_available(
+        inc.filtered_ticks(_tick_columns(stream), blocked, info).select(*columns), inc.log_sink(path), checkpoint))
+    shape = inc.filtered_ticks(_tick_columns(d.raw("events")), blocked, info).select(*columns).schema
+    schema = T.StructType([*shape.fields, T.StructField(inc.BATCH, T.LongType())])
     return inc.read_log(d.spark, path, schema).drop(inc.BATCH)

@@ -39,3 +39,10 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
 def blacklist_entries(df: DataFrame) -> DataFrame:
     """Rows -> JSON lines of the same entry structure (one object per ticker)."""
     return df.select(F.to_json(F.create_map("ticker", F.struct("reason", "active"))).alias("value"))
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table was ever written to ``path``, in any file system Spark reads."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

@@ -1,14 +1,16 @@
 """Incremental operators on Structured Streaming.
 
 Every stream can run with the ``availableNow`` trigger and then equals the batch operator
-over the same input. Sinks are idempotent: a batch that is replayed after a failure
-overwrites its own output.
+over the same input. The caller names the checkpoint folder: a later call with the same
+folder goes on where the last one ended. Sinks are idempotent: a batch that is replayed
+after a failure overwrites its own output.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom.operators.joins import keep_latest
-from tickerloom.operators.merges import replace_range
-from tickerloom.session import shared_folder
+from tickerloom.session import materialised
+from tickerloom.sources.readers import has_files
 from tickerloom.sources.writers import write_partitions
 
 BATCH = "batch_id"
@@ -34,12 +36,12 @@ def stream_table(spark: SparkSession, folder: str, schema: T.StructType, pattern
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything available now through ``write(batch, batch_id)``."""
-    spark = stream.sparkSession
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
+                  mode: str = "append") -> None:
+    """Process everything new since the last run with this ``checkpoint``."""
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", shared_folder(spark, "checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
@@ -61,6 +63,25 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{BATCH}=*")
 
 
+def compact_log(spark: SparkSession, path: str, schema: T.StructType, keys, precedence: list[str]) -> None:
+    """Resolve all batches but the newest into one: its newest row per key.
+
+    The newest batch may still be replayed and is left alone. Older folders are emptied only
+    after the resolved rows stand; in between, rows are doubled but resolve to the same ones.
+    """
+    log = read_log(spark, path, schema)
+    batches = sorted(r[0] for r in log.select(BATCH).distinct().collect())  # ids of batches since the last compaction
+    if len(batches) < 3:
+        return
+    *old, target, _ = batches
+    done = log.where(F.col(BATCH) <= target)
+    order = [*[F.col(c) for c in precedence], F.col(BATCH)]
+    resolved = materialised(keep_latest(done, list(keys), order).drop(BATCH), "compacted")
+    resolved.write.mode("overwrite").parquet(f"{path}/{BATCH}={target}")
+    for batch in old:
+        resolved.limit(0).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+
+
 # ---- X1: ticks to daily bars -----------------------------------------------------------
 def daily_bars(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     """One-day bars from (ticker, ts, event_id, price); works on streams and tables.
@@ -103,28 +124,28 @@ def newest_per_key(log: DataFrame, keys, precedence: list[str]) -> DataFrame:
     return keep_latest(log, list(keys), [*[F.col(c) for c in precedence], F.col(BATCH)]).drop(BATCH)
 
 
-# ---- X3: replace-range upsert of a stored table ----------------------------------------
-def upserting_sink(path: str, partition: str = "year") -> Callable[[DataFrame, int], None]:
-    """Merge each batch of bars into a table partitioned by ``year(date)``.
+# ---- X3: keyed upsert of a stored table ------------------------------------------------
+def upserting_sink(path: str, version: str, partition: str = "year",
+                   keys=("ticker", "date")) -> Callable[[DataFrame, int], None]:
+    """Merge each batch of bars by key into a table partitioned by ``year(date)``.
 
-    Only the years a batch touches are read and rewritten. Replaying a batch replaces the
-    same rows by themselves.
+    The larger ``version`` wins, within the batch and against the stored row; of equal ones
+    the later batch. Rows of other keys stay. Only the years a batch touches are read and
+    rewritten. Replaying a batch replaces the same rows by themselves.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = keep_latest(batch, ["ticker", "date"], [F.col("trade_Volume")])
+        fresh = keep_latest(batch, list(keys), [F.col(version)])
         years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]  # calendar years
         if not years:
             return
-        try:
+        merged = fresh.withColumn("_new", F.lit(1))
+        if has_files(spark, path):
             old = spark.read.parquet(path).where(F.col(partition).isin(*years)).drop(partition)
-        except Exception as error:  # first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = fresh.limit(0)
-        merged = replace_range(old, fresh).withColumn(partition, F.year("date"))
-        write_partitions(merged, path, partition)
+            merged = old.withColumn("_new", F.lit(0)).unionByName(merged)
+        merged = keep_latest(merged, list(keys), [F.col(version), F.col("_new")]).drop("_new")
+        write_partitions(merged.withColumn(partition, F.year("date")), path, partition)
 
     return merge
 
@@ -150,26 +171,37 @@ def running_indicators(bars: DataFrame, span: int = 20) -> DataFrame:
     """Momentum streak, OBV and exponential mean, carried across micro-batches.
 
     A micro-batch must not hold dates before those already seen of a ticker. The state is
-    five numbers per ticker, whatever the history.
+    five numbers per ticker, whatever the history; a batch is computed on whole columns.
     """
     alpha = 2.0 / (span + 1.0)
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, streak, obv, ema, rows = state.get if state.exists else (None, 0, 0.0, None, 0)
         new = pd.concat(list(frames)).sort_values("date")
-        out = []
-        for day, close, volume in zip(new["date"], new["close_Price"], new["trade_Volume"]):
-            if rows == 0:
-                ema = close
-            else:
-                up = close >= last
-                streak = max(streak, 0) + 1 if up else min(streak, 0) - 1
-                obv += volume * ((close > last) - (close < last))
-                ema = alpha * close + (1.0 - alpha) * ema
-            last, rows = close, rows + 1
-            out.append((day, key[0], float(streak), float(obv), float(ema) if rows >= span else None))
-        state.update((float(last), int(streak), float(obv), float(ema), int(rows)))
-        yield pd.DataFrame(out, columns=RUNNING_OUTPUT.names)
+        close = new["close_Price"].to_numpy(np.float64)
+        n = len(close)
+        before = np.concatenate([[close[0] if rows == 0 else last], close[:-1]])
+        change = close - before
+        way = np.where(change >= 0, 1, -1)
+        flow = new["trade_Volume"].to_numpy(np.float64) * np.sign(change)
+        if rows == 0:
+            way[0] = 0
+        # length of the run of equal signs that ends in each row; the first run may go on from the state
+        at = np.arange(n)
+        begins = np.concatenate([[True], way[1:] != way[:-1]])
+        run = at - np.maximum.accumulate(np.where(begins, at, 0)) + 1
+        carried = abs(streak) if rows and streak * way[0] > 0 else 0
+        first = np.cumsum(begins) == 1
+        streaks = way * (run + np.where(first, carried, 0))
+        volume = obv + np.cumsum(flow)
+        start = [] if rows == 0 else [ema]
+        smooth = pd.Series([*start, *close]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start):]
+        shown = np.where(rows + at + 1 >= span, smooth, np.nan)
+        state.update((float(close[-1]), int(streaks[-1]), float(volume[-1]), float(smooth[-1]), int(rows + n)))
+        out = pd.DataFrame({"date": new["date"].to_numpy(), "ticker": key[0], "momentum": streaks.astype(np.float64),
+                            "obv": volume})
+        out["ema"] = pd.Series(shown).astype(object).where(~np.isnan(shown), None)
+        yield out
 
     return bars.groupBy("ticker").applyInPandasWithState(
         advance, RUNNING_OUTPUT, RUNNING_STATE, "append", GroupStateTimeout.NoTimeout
