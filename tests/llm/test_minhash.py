@@ -70,7 +70,7 @@ def test_estimate_is_close_to_the_similarity():
         x, y = (minhash.packed(minhash.minima(grams.mix(s))).view(np.uint64) for s in (a, b))
         d = x ^ y
         agree = np.bitwise_count(~(d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()
-        got = (agree / 320 - 0.25) / 0.75
+        got = (agree / minhash.MINIMA - 0.25) / 0.75
         assert abs(got - similar) < minhash.MARGIN
 
 

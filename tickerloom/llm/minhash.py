@@ -6,10 +6,12 @@ of whole minima give candidate buckets, and the low ``BITS`` bits of the minima,
 agreement. Pairs that the estimate does not rule out are confirmed on the full sets.
 
 No pair of a bucket is emitted for its own sake. Texts with equal sets are one class. Every
-bucket first links its members to a few pseudo-random centres; confirmed links are contracted
-to components; only classes of one bucket that still lie in different components are paired
-with each other, all of them. So no link is lost, and a group of many copies costs a multiple
-of its size.
+bucket first links its members to its most central class, the one whose buckets are fullest;
+confirmed links are contracted to components. In two more rounds what still lies outside a
+bucket's largest component is held against one of its members, another one in each bucket.
+Only classes of one bucket that are in different components after that are paired with each
+other: all pairs that sizes and signatures do not rule out. So no link is lost, and a group of
+many copies costs a multiple of its size.
 """
 
 from __future__ import annotations
@@ -27,18 +29,19 @@ from tickerloom.llm.frames import byte_slices, ids_and_texts, materialised, sub_
 
 BANDS, ROWS = 56, 6
 BITS = 2
-WORDS = 10  # 64-bit words of a signature: WORDS * 64 / BITS minima
+WORDS = 20  # 64-bit words of a signature: WORDS * 64 / BITS minima, the first of them banded
+MINIMA = WORDS * 64 // BITS
 SHINGLE = 5
 SIMILAR = 80  # per cent
 #: A pair is ruled out when its estimate is this far below the threshold: about five standard
-#: errors of 320 two-bit minima at a similarity of 0.8.
-MARGIN = 0.14
-CENTRES, STAR_ROUNDS = 4, 2
+#: errors of 640 two-bit minima at a similarity of 0.8.
+MARGIN = 0.1
+STAR_ROUNDS = 3
 SALT = 512
 
 _rng = np.random.default_rng(20240229)
-_A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 _C = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
@@ -65,22 +68,22 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least value of each hash function over the set."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(x), 256):
-        values = x[start : start + 256, None] * _A + _B
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for start in range(0, len(x), 128):
+        values = x[start : start + 128, None] * _A + _B
         np.minimum(least, values.min(axis=0), out=least)
     return least
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    m = least.astype(np.uint64).reshape(BANDS, ROWS)
+    m = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
     return grams.mix((grams.mix(m) * _C).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
 def packed(least: np.ndarray) -> np.ndarray:
     """The low bits of the minima, 64 / BITS of them in a word."""
     per = 64 // BITS
-    low = (least[: WORDS * per].astype(np.uint64) >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
+    low = (least.astype(np.uint64) >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
     shifts = np.arange(per, dtype=np.uint64) * np.uint64(BITS)
     return np.bitwise_or.reduce(low.reshape(WORDS, per) << shifts, axis=1).view(np.int64)
 
@@ -194,13 +197,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return rows.mapInArrow(confirm, "a long, b long")
 
 
+def _not_ruled_out(similar: int) -> Column:
+    """On columns na, nb, sa, sb: sizes and packed signatures leave the pair possible."""
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar
+    return fits & (estimate("sa", "sb") >= similar / 100 - MARGIN)
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """Pairs that sizes and packed signatures do not rule out."""
     left = classes.select(F.col("vid").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = classes.select(F.col("vid").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
-    rows = pairs.join(left, "a").join(right, "b")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar
-    return rows.where(fits).where(estimate("sa", "sb") >= similar / 100 - MARGIN).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_not_ruled_out(similar)).select("a", "b")
 
 
 def near_duplicates(
@@ -222,35 +229,46 @@ def near_duplicates(
     classes = materialised(classes.withColumn("vid", F.monotonically_increasing_id()), "mh-classes")
     linkable = classes.where("first_id IS NOT NULL")
     rows = linkable.select("vid", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialised(rows.join(crowded, "key"), "mh-buckets")
-    wanted = linkable.join(buckets.select("vid").distinct(), "vid", "left_semi")
-    wanted = materialised(wanted.drop("bands"), "mh-wanted")
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = rows.join(crowded, "key")
+    buckets = materialised(buckets, "mh-buckets")
+    full = buckets.groupBy("vid").agg(F.sum("n").alias("fullness"))
+    wanted = materialised(linkable.drop("bands").join(full, "vid"), "mh-wanted")
     sets = materialised(_sets_of(docs, wanted, shingle, id_col, text_col), "mh-sets")
 
     labels: DataFrame | None = None
     links: DataFrame | None = None
     for k in range(STAR_ROUNDS + 1):
-        placed = buckets
-        if labels is not None:
-            placed = placed.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
+        placed = buckets.select("key", "vid").join(wanted.select("vid", "fullness"), "vid")
+        if labels is None:
+            placed = placed.withColumns({"comp": F.col("vid"), "size": F.lit(1)})
+        else:
+            sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
+            known = labels.join(sizes, "comp")
+            placed = placed.join(known, "vid", "left").withColumns(
+                {"comp": F.coalesce("comp", "vid"), "size": F.coalesce("size", F.lit(1))}
+            )
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             placed = placed.join(mixed.where("lo != hi").select("key"), "key")
-        else:
-            placed = placed.withColumn("comp", F.col("vid"))
-        placed = materialised(placed, "mh-placed")
         if k < STAR_ROUNDS:
-            order = F.xxhash64("vid", F.pmod("key", F.lit(CENTRES)), F.lit(k))
-            centre = placed.groupBy("key").agg(F.min_by(F.struct("vid", "comp"), order).alias("c"))
+            placed = materialised(placed, "mh-placed")
+            first = F.col("fullness") if k == 0 else F.xxhash64("vid", "key", F.lit(k))
+            order = F.struct("size", first.alias("first"), "vid")
+            centre = placed.groupBy("key").agg(F.max_by(F.struct("vid", "comp"), order).alias("c"))
             pairs = placed.join(centre, "key").where("c.comp != comp").select(
                 F.col("c.vid").alias("a"), F.col("vid").alias("b")
             ).distinct()
+            pairs = _promising(pairs, wanted, similar)
         else:
-            one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"))
-            two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"))
+            placed = materialised(placed.join(wanted.select("vid", "n_shingles", "sketch"), "vid"), "mh-placed")
+            one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"),
+                                F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+            two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"),
+                                F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
             # only what the components leave open, from each open pair of one bucket
-            pairs = one.join(two, "key").where("ca < cb").select("a", "b").distinct()
-        pairs = materialised(_promising(pairs, wanted, similar), "mh-pairs")
+            pairs = one.join(two, "key").where((F.col("ca") < F.col("cb")) & _not_ruled_out(similar))
+            pairs = pairs.select("a", "b").distinct()
+        pairs = materialised(pairs, "mh-pairs")
         found = materialised(_confirmed(pairs, sets, similar), "mh-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links, labels)
