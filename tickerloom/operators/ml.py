@@ -114,13 +114,18 @@ def forest_importance(rows: DataFrame, features, k: int, target: str = "y", tree
     return table.orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def principal_components(rows: DataFrame, features, n: int) -> tuple[DataFrame, list[float]]:
-    """Rows with ``n`` component columns, and the explained variance shares."""
-    data = materialised(assemble(rows, features).select("date", "ticker", "features"), "components")
-    model = PCA(k=n, inputCol="features", outputCol="pc").fit(data)
+def principal_components(rows: DataFrame, features, n: int, fit: Column | None = None) -> tuple[DataFrame, list[float]]:
+    """Rows with ``n`` component columns, and the explained variance shares.
+
+    The components are fitted on the rows where ``fit`` holds (the training rows; all rows
+    without it) and applied to every row.
+    """
+    keep = [c for c in ("date", "ticker", "split") if c in rows.columns]
+    data = materialised(assemble(rows, features).select(*keep, "features"), "components")
+    model = PCA(k=n, inputCol="features", outputCol="pc").fit(data if fit is None else data.where(fit))
     out = model.transform(data).withColumn("pc", vector_to_array("pc"))
     cols = [F.col("pc")[i].alias(f"pc{i + 1}") for i in range(n)]
-    return out.select("date", "ticker", *cols), [float(v) for v in model.explainedVariance.toArray()]
+    return out.select(*keep, *cols), [float(v) for v in model.explainedVariance.toArray()]
 
 
 # ---- models ----------------------------------------------------------------------------

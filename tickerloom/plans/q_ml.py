@@ -87,7 +87,21 @@ def _corrs() -> str:
 query("M05_k_best_signed", f"SELECT * FROM ({_corrs()}) ORDER BY corr DESC LIMIT 3", "corr")(lambda d: ml.k_best(dataset(d), FEATURES, 3))
 query("M05_k_best_abs", f"SELECT * FROM ({_corrs()}) ORDER BY abs(corr) DESC LIMIT 3", "corr")(lambda d: ml.k_best(dataset(d), FEATURES, 3, mode="abs"))
 query("M06_forest_importance")(lambda d: ml.forest_importance(_scaled(d).where(_TRAIN()), FEATURES, 4, trees=10, depth=4))
-query("M07_principal_components")(lambda d: ml.principal_components(_scaled(d), FEATURES, 3)[0])
+query("M07_principal_components")(
+    lambda d: ml.principal_components(_scaled(d), FEATURES, 3, _TRAIN())[0].drop("split"))
+
+
+@query("M07_component_variance", f"""
+WITH s AS (SELECT {', '.join(f'{_SC(c)} AS {c}' for c in FEATURES)} FROM dataset JOIN minmax USING (ticker) WHERE split = 'train')
+SELECT count(*) AS n, {' + '.join(f'var_samp({c})' for c in FEATURES)} AS total_variance, 0e0 AS correlation FROM s""", "total_variance correlation")
+def _(d):
+    """All components of the training rows: they keep the total variance and are uncorrelated."""
+    k = len(FEATURES)
+    pcs = ml.principal_components(_scaled(d), FEATURES, k, _TRAIN())[0].where(_TRAIN())
+    names = [f"pc{i + 1}" for i in range(k)]
+    total = sum((F.var_samp(c) for c in names), F.lit(0.0))
+    pairs = [F.abs(F.covar_samp(a, b)) for i, a in enumerate(names) for b in names[:i]]
+    return pcs.agg(F.count("*").alias("n"), total.alias("total_variance"), F.greatest(*pairs).alias("correlation"))
 
 
 def _scaled(d):
@@ -114,7 +128,7 @@ def _(d):
 @query("M10_boosted_trees")
 def _(d):
     rows = _scaled(d)
-    model = ml.tuned([ml.boosted(5, 3)], rows, FEATURES)
+    model = ml.tuned([ml.boosted(5, depth) for depth in (2, 3)], rows, FEATURES)
     return ml.split_metrics(ml.predict(model, rows, FEATURES, "xgb"), ["model", "split"])
 
 
@@ -217,15 +231,25 @@ query("M18_horizon_labels", "SELECT date, ticker, " + ", ".join(
     lambda d: ml.horizon_labels(d.bars))
 
 
+HORIZONS = (30, 60, 90, 252)
+
+
 @query("M18_direct_forecast")
 def _(d):
-    labels = ml.horizon_labels(d.bars, (30,)).withColumnRenamed("label_30", "y")
-    rows = dataset(d).drop("y").join(labels, ["date", "ticker"])
-    scaled = ml.minmax_apply(rows, ml.minmax_fit(rows, FEATURES, _TRAIN()), FEATURES)
-    known = scaled.where("y IS NOT NULL")
-    model = ml.tuned([ml.forest(10, 4)], known, FEATURES)
-    latest = joins.keep_latest(scaled, ["ticker"], [F.col("date")]).withColumn("y", F.coalesce("y", F.lit(0.0)))
-    return ml.predict(model, latest, FEATURES, "rf").select("ticker", "date", F.col("p").alias("predicted_return_30"))
+    """One model per horizon, each tuned on the rows whose label is known and split by time;
+    the newest row of every ticker is forecast, without a value where no label is known."""
+    rows = dataset(d).drop("y", "split").join(ml.horizon_labels(d.bars, HORIZONS), ["date", "ticker"])
+    latest = joins.keep_latest(rows, ["ticker"], [F.col("date")])
+    out = latest.select("ticker", "date")
+    for h in HORIZONS:
+        known = tables.chronological_parts(rows.withColumn("y", F.col(f"label_{h}")).where("y IS NOT NULL"))
+        scaler = ml.minmax_fit(known, FEATURES, _TRAIN())
+        known = ml.minmax_apply(known, scaler, FEATURES)
+        model = ml.tuned([ml.forest(10, depth) for depth in (3, 4)], known, FEATURES)
+        newest = ml.minmax_apply(latest, scaler, FEATURES).withColumns({"y": F.lit(0.0), "split": F.lit("predict")})
+        one = ml.predict(model, newest, FEATURES, "rf").select("ticker", "date", F.col("p").alias(f"predicted_return_{h}"))
+        out = out.join(one, ["ticker", "date"], "left")
+    return out
 
 
 _CELLS = " UNION ALL ".join(f"SELECT ticker, '{c}' AS feature, {c} AS raw, {_SC(c)} AS scaled FROM latest JOIN minmax USING (ticker)" for c in FEATURES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators import indicators as ind
@@ -82,8 +83,13 @@ SQL["Q11_ratio_issues"] = _rules("ratio_stats", dq.RATIO, [("all_ratios_null", "
         (f"mostly_null_{r}", "HIGH", f"n_{r} * 1e2 / n", f"NOT ({_EVERY}) AND n_{r} * 1e2 / n > 50"),
         (f"extreme_high_{r}", "MEDIUM", f"hi_{r}", f"hi_{r} > 10000"), (f"extreme_low_{r}", "MEDIUM", f"lo_{r}", f"lo_{r} < -1000"))]
     + [("null_financial_date", "MEDIUM", "nd", "nd > 0")])
-register("ttm_nulls", "SELECT ticker, count(*) AS n, greatest(0, count(*) FILTER (revenue_ttm IS NULL) - least(3, count(*))) AS x FROM income_tolerant GROUP BY 1")
-register("cash_quarters", "SELECT ticker, count(*) AS n FROM cashflow_quarterly GROUP BY 1")
+# a seventh of the tickers has only its first three quarters, another its revenues lost
+_SHORT = f"SELECT * FROM {{}} QUALIFY CAST(substr(ticker, 2) AS BIGINT) % 7 <> 2 OR row_number() OVER (PARTITION BY ticker ORDER BY {Q}) <= 3"
+register("short_income", "SELECT ticker, CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 7 <> 4 THEN revenue_ttm END AS revenue_ttm FROM ("
+         + _SHORT.format("income_tolerant") + ")")
+register("short_cash", _SHORT.format("cashflow_quarterly"))
+register("ttm_nulls", "SELECT ticker, count(*) AS n, greatest(0, count(*) FILTER (revenue_ttm IS NULL) - least(3, count(*))) AS x FROM short_income GROUP BY 1")
+register("cash_quarters", "SELECT ticker, count(*) AS n FROM short_cash GROUP BY 1")
 SQL["Q12_quarterly_issues"] = _rules("ttm_nulls", dq.INCOME_Q, [("few_quarters", "MEDIUM", "n", "n < 4"), ("unexpected_null_revenue_ttm", "HIGH", "x", "x > 0")]) + \
     " UNION ALL " + _rules("cash_quarters", dq.CASH_Q, [("few_quarters", "MEDIUM", "n", "n < 4")])
 # ratios that stop when a ticker is no longer followed
@@ -110,6 +116,19 @@ def _absent(d):
     return dq.absent_tickers(d.stock_info.where("industry <> 'Index'"), named)
 
 
+def _number():
+    return F.substring("ticker", 2, 12).cast("bigint")
+
+
+def _short(rows):
+    w = Window.partitionBy("ticker").orderBy(Q)
+    return rows.withColumn("_r", F.row_number().over(w)).where((_number() % 7 != 2) | (F.col("_r") <= 3)).drop("_r")
+
+
+def _lost(rows):
+    return rows.withColumn("revenue_ttm", F.when(_number() % 7 != 4, F.col("revenue_ttm")))
+
+
 CHECKS = {
     "Q01_missing_info": lambda d: dq.missing_info(d.stock_info),
     "Q02_absent_tickers": _absent,
@@ -122,7 +141,7 @@ CHECKS = {
     "Q09_date_gaps": lambda d: dq.date_gaps(d.bars_dirty),
     "Q10_statement_nulls": lambda d: dq.statement_nulls(fu.income_metrics(d), fu.balance_metrics(d), fu.cash_metrics(d)),
     "Q11_ratio_issues": lambda d: dq.ratio_issues(fu.ratio_ttm(d)),
-    "Q12_quarterly_issues": lambda d: dq.quarterly_issues(st.ttm_tolerant(d.income_quarterly), d.cashflow_quarterly),
+    "Q12_quarterly_issues": lambda d: dq.quarterly_issues(_lost(_short(st.ttm_tolerant(d.income_quarterly))), _short(d.cashflow_quarterly)),
     "Q13_ratio_lag": lambda d: dq.ratio_lag(_lagging(d), d.bars_dirty),
     "Q14_period_mismatch": lambda d: dq.period_mismatch(d.income_quarterly, d.balance_quarterly, d.cashflow_quarterly, Q),
 }
@@ -238,10 +257,18 @@ query("Q24_data_health", _rules("health", "dataset", [
     ("few_samples_per_feature", "HIGH", "per", "per < 10"), ("unusual_validation_size", "MEDIUM", "val", "val < 0.1e0 OR val > 0.4e0"),
     ("variance_mismatch", "MEDIUM", "spread", "spread > 10"), ("tiny_target", "LOW", "scale", "scale < 1e-6")]), "value")(
     lambda d: dq.data_health(split_returns(d), 50))
+
+
+def _disturbed(rows):
+    """Bands that were stored wrongly on the fifteenth of every month."""
+    band = "bollinger_Band_20_2STD"
+    return rows.withColumn(band, F.when(F.dayofmonth("date") == 15, F.col(band) + 0.01).otherwise(F.col(band)))
+
+
 query("Q25_indicator_consistency", """
-SELECT ticker, count(*) AS rows, count(sma_20) AS with_sma, count(*) FILTER (abs(sma_20 - close_Price) > close_Price * 0.5e0) AS far_from_price, 0 AS band_mismatch
-FROM bars JOIN raw_sma USING (ticker, date) GROUP BY 1""")(
-    lambda d: dq.indicator_consistency(ind.indicators(d.bars, ["sma", "std", "bands"], lag=0, bollinger_lag=0)))
+SELECT ticker, count(*) AS rows, count(sma_20) AS with_sma, count(*) FILTER (abs(sma_20 - close_Price) > close_Price * 0.5e0) AS far_from_price, count(*) FILTER (std_Div_20 IS NOT NULL AND day(date) = 15) AS band_mismatch
+FROM bars JOIN raw_sma USING (ticker, date) JOIN raw_std USING (ticker, date) GROUP BY 1""")(
+    lambda d: dq.indicator_consistency(_disturbed(ind.indicators(d.bars, ["sma", "std", "bands"], lag=0, bollinger_lag=0))))
 _RANGES = {"stock_price_data": ("bars_dirty", "date"), dq.INCOME_Q: ("income_quarterly", Q), dq.BALANCE_Q: ("balance_quarterly", Q)}
 query("Q26_pipeline_diagnosis", " UNION ALL ".join(
     f"SELECT ticker, '{n}' AS \"table\", count(*) AS rows, min({c}) AS first, max({c}) AS last FROM {t} GROUP BY 1" for n, (t, c) in _RANGES.items()))(

@@ -104,14 +104,15 @@ def _(d):
         path, header=True)
 
 
-@query("S08_json_map_source", "SELECT ticker, reason, active FROM blacklist")
+@query("S08_json_map_source", """
+SELECT ticker, reason, 'seen at ' || ticker AS details, '2024-01-' || lpad(CAST(length(reason) AS VARCHAR), 2, '0') AS date_added, active
+FROM blacklist""")
 def _(d):
     path = shared_folder(d.spark, "blacklist")
-    readers.blacklist_entries(d.blacklist).write.text(path)
-    entry = "map<string, struct<reason: string, active: boolean>>"
-    lines = d.spark.read.text(path)
-    return lines.select(F.explode(F.from_json("value", entry)).alias("ticker", "e")).select(
-        "ticker", "e.reason", "e.active")
+    day = F.concat(F.lit("2024-01-"), F.lpad(F.length("reason").cast("string"), 2, "0"))
+    rows = d.blacklist.withColumns({"details": F.concat(F.lit("seen at "), F.col("ticker")), "date_added": day})
+    readers.blacklist_object(rows).write.text(path)
+    return readers.read_blacklist(d.spark, path)
 
 
 @query("S09_json_sink", "SELECT reason, count(*) AS n FROM blacklist WHERE active GROUP BY reason")
@@ -218,12 +219,16 @@ def _(d):
     return merges.append(d.blacklist, new)
 
 
-register("cut_dates", "SELECT ticker, last_quarter_end AS from_date FROM quarterly_metadata WHERE last_quarter_end IS NOT NULL")
+# cut dates inside the history: ninety days before a ticker's newest bar
+register("cut_dates", """
+SELECT ticker, max(date) - 90 AS from_date FROM bars
+WHERE ticker IN (SELECT ticker FROM quarterly_metadata WHERE last_quarter_end IS NOT NULL) GROUP BY 1""")
 
 
 def _cuts(d):
-    return d.quarterly_metadata.where("last_quarter_end IS NOT NULL").select(
-        "ticker", F.col("last_quarter_end").alias("from_date"))
+    known = d.quarterly_metadata.where("last_quarter_end IS NOT NULL").select("ticker")
+    newest = d.bars.join(known, "ticker", "left_semi").groupBy("ticker").agg(F.max("date").alias("_last"))
+    return newest.select("ticker", F.date_sub("_last", 90).alias("from_date"))
 
 
 @query("S16_delete_suffix", "SELECT b.* FROM bars b LEFT JOIN cut_dates c USING (ticker) WHERE from_date IS NULL OR date < from_date", OHLC)
@@ -236,13 +241,14 @@ def _(d):
     return merges.delete_from(d.bars, _cuts(d))[1]
 
 
-@query("S17_cascade_delete", """
-SELECT 'bars' AS "table", count(*) AS deleted FROM bars WHERE ticker IN (SELECT ticker FROM blacklist)
-UNION ALL SELECT 'income_quarterly', count(*) FROM income_quarterly WHERE ticker IN (SELECT ticker FROM blacklist)
-UNION ALL SELECT 'predictions', count(*) FROM predictions WHERE ticker IN (SELECT ticker FROM blacklist)
-UNION ALL SELECT 'stock_info', count(*) FROM stock_info WHERE ticker IN (SELECT ticker FROM blacklist)""")
+_CASCADE = ("bars", "income_quarterly", "balance_quarterly", "cashflow_quarterly", "predictions", "stock_info",
+            "index_membership")
+
+
+@query("S17_cascade_delete", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS deleted FROM {t} WHERE ticker IN (SELECT ticker FROM blacklist)" for t in _CASCADE))
 def _(d):
-    named = {n: getattr(d, n) for n in ("bars", "income_quarterly", "predictions", "stock_info")}
+    named = {n: getattr(d, n) for n in _CASCADE}
     return merges.cascade_delete(named, d.blacklist)[1]
 
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -34,21 +32,23 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
-@lru_cache(maxsize=1)
-def _local_fallback() -> str:
-    return tempfile.mkdtemp(prefix="tickerloom-")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+    """A fresh sub-folder of the cluster's shared checkpoint folder, gone when the session ends.
 
-    ``spark.checkpoint.dir`` names storage every executor can reach. Only where the
-    session leaves it unset (local tests) one temporary folder per process is used.
+    ``spark.checkpoint.dir`` (or ``SparkContext.setCheckpointDir``) names storage every executor
+    can reach. Only a ``local`` master, where driver and executors are one process, may leave
+    both unset; its JVM's temporary folder serves then. Anywhere else that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = _local_fallback()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = context._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def materialised(df, name: str = "table"):

@@ -36,9 +36,11 @@ def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def blacklist_entries(df: DataFrame) -> DataFrame:
-    """Rows -> JSON lines of the same entry structure (one object per ticker)."""
-    return df.select(F.to_json(F.create_map("ticker", F.struct("reason", "active"))).alias("value"))
+def blacklist_object(df: DataFrame) -> DataFrame:
+    """Blacklist rows -> the one JSON object of the file, keyed by ticker (one file's worth)."""
+    entry = F.struct("reason", "details", "date_added", "active")
+    cells = F.array_sort(F.collect_list(F.struct("ticker", entry.alias("e"))))
+    return df.agg(F.to_json(F.map_from_entries(cells)).alias("value"))
 
 
 def has_files(spark: SparkSession, path: str) -> bool:
