@@ -121,8 +121,3 @@ def coverage(universe: DataFrame, tables: dict[str, DataFrame], key="ticker") ->
         key,
         F.array_sort(F.array_except(required, F.coalesce("_found", none))).alias("missing"),
     )
-
-
-def scalar_of(df: DataFrame, expr: Column) -> Column:
-    """A one-row aggregate as a scalar subquery column."""
-    return df.agg(expr.alias("value")).scalar()

@@ -2,9 +2,10 @@
 
 Spark's exact ``percentile`` keeps a group's distinct values in one task. Here an
 approximate quantile sketch (bounded memory, merged map-side) first brackets each wanted
-order statistic; the second pass counts what lies below the bracket and only keeps the
-distinct values inside it, so the data gathered per group shrinks by the sketch accuracy.
-The keys and values are written once, as three passes read them.
+order statistic; the second pass counts what lies below the bracket, and the third only
+shuffles the values inside it, counted map-side, so the data gathered per group shrinks by
+the sketch accuracy. The brackets (one row per key) meet the rows in an equi-join, which
+Spark broadcasts while they are small and splits where a key is hot.
 The result is the linearly interpolated percentile, as NumPy and SQL ``quantile_cont``
 define it.
 """
@@ -14,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.session import materialised
-
 ACCURACY = 10_000
 
 
@@ -23,10 +22,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
                       accuracy: int = ACCURACY) -> DataFrame:
     """One row per key with a column per entry of ``probs``."""
     slack = 2.0 / accuracy
-    rows = materialised(
-        df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()),
-        "percentile",
-    )
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     grid = [
         F.percentile_approx("_v", F.array(
             *[F.lit(min(1.0, max(0.0, q))) for q in (p - slack, p + slack)]
@@ -74,8 +70,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         F.when(fits, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
     )
     inside = (
-        rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).join(plan, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        rows.join(plan, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        .groupBy(*keys, "_i", "_pos", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
     w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_end", F.col("_below") + F.sum("_c").over(w))

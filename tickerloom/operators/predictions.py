@@ -133,7 +133,6 @@ def prediction_summary(predictions: DataFrame, as_of: Column, max_age: int) -> D
     """Per ticker: fresh predictions' date and price, return range, longest horizon."""
     fresh = predictions.where(F.datediff(as_of, F.col("prediction_date")) <= max_age)
     h = F.col("prediction_horizon_days")
-    newest = F.struct("prediction_date", h)
     return fresh.groupBy("ticker").agg(
         F.max("prediction_date").alias("prediction_date"),
         F.max_by("current_price", "prediction_date").alias("current_price"),

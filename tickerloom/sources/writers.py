@@ -28,14 +28,6 @@ def write_partitions(df: DataFrame, path: str, partition: str) -> None:
     )
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Replace a whole table, staged like ``write_partitions``."""
-    spark = df.sparkSession
-    stage = shared_folder(spark, "stage")
-    df.write.parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").parquet(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -44,12 +36,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "ticker",
-                   order: str = "date") -> None:
-    """Table bucketed and sorted by ticker: later windows and joins need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, order).saveAsTable(table)
-
-
 def write_blacklist(spark: SparkSession, path: str, rows: dict[str, dict]) -> None:
     """The blacklist file: one JSON object keyed by ticker."""
     text = json.dumps(rows, sort_keys=True)
