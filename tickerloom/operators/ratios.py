@@ -147,11 +147,25 @@ def refresh_plan(bars: DataFrame, stored: DataFrame, reports: DataFrame) -> Data
     )
 
 
+def bars_to_refresh(bars: DataFrame, plan: DataFrame) -> DataFrame:
+    """The bars a refresh reads: from each start date on, and the one bar before it.
+
+    Tickers without bars from their start date on have nothing to do and drop out.
+    """
+    start = plan.select("ticker", "recalculate_from")
+    late = F.col("date") >= F.col("recalculate_from")
+    edges = bars.select("ticker", "date").join(start, "ticker").groupBy("ticker").agg(
+        F.max(F.when(~late, F.col("date"))).alias("_before"), F.max(F.when(late, F.col("recalculate_from"))).alias("_from")
+    ).where("_from IS NOT NULL")
+    first = edges.select("ticker", F.coalesce("_before", "_from").alias("_first"))
+    return bars.join(first, "ticker").where(F.col("date") >= F.col("_first")).drop("_first")
+
+
 def refreshed_ratios(stored: DataFrame, plan: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Stored ratios before each ticker's start date, recomputed ones from it on.
 
     ``recomputed`` must carry the bar before the start date in its inputs, so that the
-    first refreshed row keeps its lagged value; ``ratios_*`` over whole series does.
+    first refreshed row keeps its lagged value; ``ratios_*`` over ``bars_to_refresh`` does.
     """
     start = plan.select("ticker", "recalculate_from")
     kept = (

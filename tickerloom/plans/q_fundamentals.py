@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickerloom.operators import joins, ratios, statements as st
 from tickerloom.plans.domain_sql import register
 from tickerloom.plans.registry import query
+from tickerloom.session import materialised
 from tickerloom.plans.sql_text import div, growth, lag, sdiv, sratio
 
 Q, Y = st.QUARTER, st.YEAR
@@ -335,11 +336,16 @@ def ratio_data(d):
 
 
 def stock_ratio_data(d):
-    return ratios.drop_empty(ratio_data(d))
+    """The stored ratio table: derived once per session and folder, like the bars."""
+    return d.stored("stock_ratio_data", lambda: ratios.drop_empty(ratio_data(d)))
+
+
+def stored_ratio_ttm(d):
+    return d.stored("ratio_ttm", lambda: ratio_ttm(d))
 
 
 query("V04_annual_fallback", "SELECT * FROM ratio_data", _RATIOS)(ratio_data)
-query("P12_drop_all_null_rows", "SELECT * FROM stock_ratio_data", _RATIOS)(stock_ratio_data)
+query("P12_drop_all_null_rows", "SELECT * FROM stock_ratio_data", _RATIOS)(lambda d: ratios.drop_empty(ratio_data(d)))
 
 
 @query("V05_financial_date_used", f"""
@@ -362,10 +368,10 @@ def _stored_before(d, days: int):
 
 @query("V06_ratio_refresh", f"SELECT * FROM ratio_ttm WHERE {' OR '.join(f'{r} IS NOT NULL' for r in ratios.RATIOS)}", _RATIOS)
 def _(d):
-    stored = _stored_before(d, 200)
+    stored = d.stored("ratios_before", lambda: _stored_before(d, 200))
     reports = quarter_ratios(d).select("ticker", F.col(Q).alias("date"))
-    plan = ratios.refresh_plan(d.bars, stored, reports)
-    return ratios.refreshed_ratios(stored, plan, ratio_ttm(d))
+    plan = materialised(ratios.refresh_plan(d.bars, stored, reports), "refresh-plan")
+    return ratios.refreshed_ratios(stored, plan, ratio_ttm(d, ratios.bars_to_refresh(d.bars, plan)))
 
 
 @query("V06_refresh_plan", f"""

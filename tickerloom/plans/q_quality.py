@@ -140,7 +140,7 @@ CHECKS = {
     "Q08_price_spikes": lambda d: dq.price_spikes(d.bars_dirty),
     "Q09_date_gaps": lambda d: dq.date_gaps(d.bars_dirty),
     "Q10_statement_nulls": lambda d: dq.statement_nulls(fu.income_metrics(d), fu.balance_metrics(d), fu.cash_metrics(d)),
-    "Q11_ratio_issues": lambda d: dq.ratio_issues(fu.ratio_ttm(d)),
+    "Q11_ratio_issues": lambda d: dq.ratio_issues(fu.stored_ratio_ttm(d)),
     "Q12_quarterly_issues": lambda d: dq.quarterly_issues(_lost(_short(st.ttm_tolerant(d.income_quarterly))), _short(d.cashflow_quarterly)),
     "Q13_ratio_lag": lambda d: dq.ratio_lag(_lagging(d), d.bars_dirty),
     "Q14_period_mismatch": lambda d: dq.period_mismatch(d.income_quarterly, d.balance_quarterly, d.cashflow_quarterly, Q),
@@ -174,7 +174,7 @@ UNION ALL SELECT 'null_ratio_tickers', count(*) FROM ratio_stats WHERE n_p_e * 1
 UNION ALL SELECT 'null_date_used_tickers', count(DISTINCT ticker) FROM ratio_ttm WHERE financial_date_used IS NULL""")
 def _(d):
     stocks = d.stock_info.where("industry <> 'Index'")
-    ratios, raw = fu.stock_ratio_data(d), fu.ratio_ttm(d)
+    ratios, raw = fu.stock_ratio_data(d), fu.stored_ratio_ttm(d)
     extreme = tables.any_of([F.abs(r) > 10000 for r in RATIOS])
     shares = raw.groupBy("ticker").agg(*[(dq.nulls(r) * F.lit(100.0) / F.count("*")).alias(r) for r in RATIOS])
     parts = {
@@ -195,7 +195,7 @@ def _(d):
 
 query("Q18_null_share_warnings", _rules("ratio_stats", dq.RATIO, [
     (f"null_{r}", "MEDIUM", f"n_{r} * 1e2 / n", f"n_{r} * 1e2 / n > 20") for r in RATIOS]), "value")(
-    lambda d: dq.null_share_warnings(fu.ratio_ttm(d), 20.0))
+    lambda d: dq.null_share_warnings(fu.stored_ratio_ttm(d), 20.0))
 register("doubled", "SELECT date, ticker, close_Price, 0 AS src FROM bars UNION ALL SELECT date, ticker, close_Price, 1 FROM fresh_bars")
 
 
@@ -232,7 +232,7 @@ def _(d):
 @query("Q23_ratio_recommendations", _rules("(SELECT s.ticker, r.* EXCLUDE (ticker) FROM stock_info s LEFT JOIN ratio_stats r ON s.ticker = r.ticker)", dq.RATIO,
        [("no_ratio_data", "HIGH", "1", "n IS NULL")] + [(f"mostly_null_{r}", "MEDIUM", f"n_{r} * 1e0 / n", f"n_{r} * 1e0 / n > 0.5e0") for r in RATIOS]), "value")
 def _(d):
-    return dq.ratio_recommendations(d.stock_info, fu.ratio_ttm(d))
+    return dq.ratio_recommendations(d.stock_info, fu.stored_ratio_ttm(d))
 
 
 register("split_returns", """
