@@ -151,3 +151,24 @@ def test_split_is_chronological(bars):
     assert counts["predict"] == 5 and counts["train"] in (65, 66) and sum(counts.values()) == 100
     bounds = {r["split"]: (r[1], r[2]) for r in parts.groupBy("split").agg(F.min("date"), F.max("date")).collect()}
     assert bounds["train"][1] < bounds["val"][0] <= bounds["val"][1] < bounds["test"][0] <= bounds["test"][1] < bounds["predict"][0]
+
+
+def test_portfolios_of_many_names_lose_none(spark, bars):
+    """120 names: every one has moments, weights and holdings, equal to a direct computation."""
+    import numpy as np
+
+    from tests.test_indicators import random_walk
+
+    names = [f"T{i:03d}" for i in range(120)]
+    b = bars({t: random_walk(40, 3 + i) for i, t in enumerate(names)})
+    stats = pf.covariance(pf.return_matrix(b, b.select("ticker").distinct(), 30))
+    rows = stats.orderBy("pos").collect()
+    assert [r["ticker"] for r in rows] == names
+    prices = {t: [] for t in names}
+    for r in b.orderBy("date").collect():
+        prices[r["ticker"]].append(r["close_Price"])
+    x = np.diff(np.log(np.array([prices[t] for t in names])), axis=1)
+    assert np.allclose(np.array([r["cov"][:120] for r in rows]), np.cov(x) * 252)
+    ids = spark.createDataFrame([(1,), (2**62,), (-5,)], "portfolio_id long")
+    w = pf.random_weights(ids, stats).collect()
+    assert all(len(r["w"]) == 120 and abs(sum(r["w"]) - 1) < 1e-9 and min(r["w"]) > 0 for r in w)

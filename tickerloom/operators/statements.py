@@ -206,6 +206,21 @@ def annual_income(income: DataFrame) -> DataFrame:
     return with_growth(base, INCOME_GROWTH)
 
 
+# Phrases that mark an industry of the financial sector.
+FINANCIAL_PHRASES = (
+    "banks", "insurance", "capital markets", "financial services",
+    "asset management", "diversified financial", "specialty finance",
+    "investment banking", "brokerage", "credit services",
+    "financial data", "financial exchange",
+)
+
+
+def financial_sector(industry: Column | str) -> Column:
+    """The industry's name holds one of the phrases, in any case; NULL is no financial industry."""
+    name = F.lower(F.col(industry) if isinstance(industry, str) else industry)
+    return F.coalesce(name.rlike("|".join(FINANCIAL_PHRASES)), F.lit(False))
+
+
 def annual_balance(balance: DataFrame, income: DataFrame, financial: Column | None = None) -> DataFrame:
     """Balance metrics; ``financial`` marks tickers whose cash replaces current assets."""
     keys = ["ticker", YEAR]

@@ -185,14 +185,23 @@ query("B02_annual_balance", "SELECT * FROM balance_metrics", _BMG)(balance_metri
 query("B03_annual_cash_flow", "SELECT * FROM cash_metrics", _CMG)(cash_metrics)
 
 
+_INDUSTRIES = ("Banks - Regional", "Semiconductors", "INSURANCE - LIFE", "Software", "Credit Services & Cards", "Oil",
+               "Financial Data & Stock Exchanges", "Bank notes")
+_LIKE = " OR ".join(f"lower(name) LIKE '%{x}%'" for x in st.FINANCIAL_PHRASES)
+
+
 @query("B02_financial_sector", f"""
-SELECT b.ticker, b.{Y}, CASE WHEN industry IN ('NATION_1', 'NATION_2') THEN cash_And_Cash_Equivalents
-       ELSE current_Assets END / current_liabilities AS current_Ratio
-FROM balance_annual b JOIN stock_info USING (ticker)""", "current_Ratio")
+WITH s AS (SELECT ticker, list_extract([{', '.join(f"'{x}'" for x in _INDUSTRIES)}], CAST(hash_of % {len(_INDUSTRIES)} AS INTEGER) + 1) AS name
+           FROM (SELECT ticker, CAST(substr(ticker, 2) AS BIGINT) AS hash_of FROM stock_info WHERE ticker LIKE 'S%'))
+SELECT b.ticker, b.{Y}, CASE WHEN {_LIKE} THEN cash_And_Cash_Equivalents ELSE current_Assets END / current_liabilities AS current_Ratio
+FROM balance_annual b JOIN s USING (ticker)""", "current_Ratio")
 def _(d):
-    financial = F.col("industry").isin("NATION_1", "NATION_2")
-    balance = d.balance_annual.join(d.stock_info.select("ticker", "industry"), "ticker")
-    return st.annual_balance(balance, d.income_annual, financial).select("ticker", Y, "current_Ratio")
+    names = F.array(*[F.lit(x) for x in _INDUSTRIES])
+    number = F.substring("ticker", 2, 12).cast("bigint") % len(_INDUSTRIES)
+    info = d.stock_info.where(F.col("ticker").startswith("S")).select(
+        "ticker", F.element_at(names, number.cast("int") + 1).alias("name"))
+    balance = d.balance_annual.join(info, "ticker")
+    return st.annual_balance(balance, d.income_annual, st.financial_sector("name")).select("ticker", Y, "current_Ratio")
 
 
 register("annual_assembled", f"""
