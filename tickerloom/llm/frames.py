@@ -35,7 +35,7 @@ def fold(text: Column) -> Column:
 
 
 def sub_batches(
-    batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20, column: str = "text"
+    batches: Iterator[pa.RecordBatch], max_bytes: int = 1 << 20, column: str = "text"
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``max_bytes`` of text; a longer text stands alone."""
     for batch in batches:
@@ -49,6 +49,7 @@ def sub_batches(
                 start, held = i, 0
             held += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # workers live on; what this task held need not
 
 
 def byte_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,17 +26,20 @@ ALPHANUMERIC[0x30:0x3A] = True
 ALPHANUMERIC[0x61:0x7B] = True
 ALPHANUMERIC[0x80:] = True
 
+#: Powers are kept for streams of usual length; a very long text has its own.
+KEPT_POWERS = 3 << 19
+
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power(way: str, n: int) -> np.ndarray:
     held = _powers[way]
     if len(held) < n:
-        size = max(n, 1 << 16, min(2 * len(held), 4 << 20))
+        size = max(n, 1 << 16)
         step = np.full(size, BASE if way == "up" else INVERSE, np.uint64)
         step[0] = 1
         held = np.cumprod(step, dtype=np.uint64)
-        if size <= 4 << 20:
+        if size <= KEPT_POWERS:
             _powers[way] = held
     return held[:n]
 

@@ -29,7 +29,7 @@ from tickerloom.llm.frames import ids_and_texts, materialised, sub_batches, text
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 350_000
 LONGEST_KEPT = 48
 
 Pattern = tuple[int, ...]
@@ -54,17 +54,26 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self[""] = b""
 
-    def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; chunks that are not known yet are tokenized all at once."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self[""] = b""
+        parts = [text.replace("\n", " ").split(" ") for text in texts]
+        found = [list(map(self.get, own)) for own in parts]
+        new = {
+            w for own, ids in zip(parts, found, strict=True) if None in ids
+            for w, x in zip(own, ids, strict=True) if x is None and len(w) <= LONGEST_KEPT
+        }
+        if new:
+            names = list(new)
+            encoded = self.tokenizer.encode_batch_fast(names, add_special_tokens=False)
+            self.update(zip(names, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+        for own, ids in zip(parts, found, strict=True):
+            yield b"".join(map(self.__getitem__, own)) if None in ids else b"".join(ids)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-                self[""] = b""
-            self[chunk] = ids
-        return ids
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -94,7 +103,7 @@ def pieces(
         stop = np.array([end_id], "<u4").tobytes()
         for batch in sub_batches(batches):
             row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for i, data in enumerate(map(words.of, texts_of(batch.column("text")))):
+            for i, data in enumerate(words.of(texts_of(batch.column("text")))):
                 data += stop
                 total = len(data) // 4
                 for k, at in enumerate(range(0, total, capacity)):

@@ -254,7 +254,7 @@ class ToxicityModel:
                 own = known.get(word)
                 if own is None:
                     own = tuple(f for f in features_of_word(word) if f in weights)
-                    if len(known) > 300_000:
+                    if len(known) > 150_000:
                         known.clear()
                     if len(word) <= 48:
                         known[word] = own
