@@ -250,8 +250,10 @@ def near_duplicates(
             )
             mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             placed = placed.join(mixed.where("lo != hi").select("key"), "key")
+        placed = materialised(placed, "mh-placed")
+        if placed.isEmpty():
+            break  # every bucket lies in one component
         if k < STAR_ROUNDS:
-            placed = materialised(placed, "mh-placed")
             first = F.col("fullness") if k == 0 else F.xxhash64("vid", "key", F.lit(k))
             order = F.struct("size", first.alias("first"), "vid")
             centre = placed.groupBy("key").agg(F.max_by(F.struct("vid", "comp"), order).alias("c"))
@@ -260,7 +262,7 @@ def near_duplicates(
             ).distinct()
             pairs = _promising(pairs, wanted, similar)
         else:
-            placed = materialised(placed.join(wanted.select("vid", "n_shingles", "sketch"), "vid"), "mh-placed")
+            placed = placed.join(wanted.select("vid", "n_shingles", "sketch"), "vid")
             one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"),
                                 F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
             two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"),
@@ -270,10 +272,15 @@ def near_duplicates(
             pairs = pairs.select("a", "b").distinct()
         pairs = materialised(pairs, "mh-pairs")
         found = materialised(_confirmed(pairs, sets, similar), "mh-links")
+        if labels is not None and found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
         labels = components(links, labels)
-    tops = classes.select("vid", *SET_KEY, "first_id").join(labels, "vid", "left")
-    tops = tops.withColumn("comp", F.coalesce("comp", "vid"))
+    tops = classes.select("vid", *SET_KEY, "first_id")
+    if labels is None:
+        tops = tops.withColumn("comp", F.col("vid"))
+    else:
+        tops = tops.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid"))
     least = tops.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     tops = materialised(tops.join(least, "comp").select(*SET_KEY, "component_id"), "mh-components")
     full = signed.select("doc_id", *SET_KEY).where("n_shingles > 0").join(tops, SET_KEY).select(
