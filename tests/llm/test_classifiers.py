@@ -130,3 +130,20 @@ def test_pseudo_likelihood_prefers_the_order_it_has_seen(spark):
     assert twice[0] == twice[1]
     assert abs(by_id[1000].log_likelihood - by_id[1000].n_tokens * by_id[1000].mean_log_likelihood) < 1e-6
     assert pseudo_likelihood.masked_pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_every_word_has_its_own_chance_and_frequent_words_their_own_entry(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(40))) for i in range(100)]
+    rows += [(100 + i, "a b koring d e") for i in range(4)] + [(200, "a b boring d e"), (201, "a b xoring d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_id = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.masked_pseudo_likelihood(docs, vocabulary=2).collect()}
+    assert abs(by_id[100] - by_id[200] - np.log(4)) < 1e-4 and abs(by_id[200] - by_id[201]) < 1e-4
+    counts = pseudo_likelihood.word_counts(docs)
+    lexicon = pseudo_likelihood.build_lexicon(counts, 2)
+    assert list("abcde") == sorted(lexicon.number)  # more than the 2 asked for: all that are frequent
+    chance = np.zeros(pseudo_likelihood.CLASSES)
+    for word, n in counts.collect():
+        entry = lexicon.reader()[word]
+        chance[lexicon.classes[entry]] += np.exp(lexicon.own[entry]) * (1 if word in lexicon.number else n)
+    assert np.allclose(chance[chance > 0], 1.0)

@@ -6,6 +6,12 @@ embeddings of the words left and right, a hidden layer, and a softmax over word
 
     log p(w | window) = log p(class(w) | window) + log p(w | class(w))
 
+p(w | class) is the word's own count over that of its class, for every word of the corpus: the
+counts stay a Spark table, and the words without an embedding meet it in a join. Embedded are
+the ``VOCABULARY`` most frequent words and all others that come ``sqrt(tokens) / RARE`` times
+(at least ``LEAST``), so the embedded words grow with the corpus, about as the root of its
+size; only what the rest look like as context and their class is shared, by their last letters.
+
 It is trained on all documents by parameter mixing: in each round every partition of texts
 starts from the shared parameters, masks every ``MASKED``-th token of every document (another
 one each round) and makes one pass of AdaGrad over these windows; the results are averaged by
@@ -17,28 +23,33 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.frames import ids_and_texts, materialised, sub_batches, texts_of
 
 WINDOW = 2
 DIM, HIDDEN = 12, 24
-#: Words with an embedding and a class entry of their own, in the order of their counts; the
-#: rest share entries by their last letters.
+#: Words with an embedding and a class entry of their own, in the order of their counts: so many
+#: at least, and all of at least LEAST and sqrt(tokens) / RARE; the rest share entries by their
+#: last letters.
 VOCABULARY = 4096
+LEAST, RARE = 5, 100
 ENDINGS = 256
 CLASSES = 64
 ROUNDS = 2
 MASKED = 8
-SLICES = 64
+SLICE = 1024
 GROUPS = 256
+#: Logarithms of counts are summed as whole numbers of this fraction, so in any order.
+UNIT = 1 << 30
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -53,12 +64,12 @@ def ending(word: str) -> int:
 
 @dataclass
 class Lexicon:
-    """Entry of each word, class of each entry, log p(word | class)."""
+    """Entry of each embedded word, class of each entry, log p(word | class)."""
 
     number: dict[str, int]
     classes: np.ndarray  # of entries; the entry after the last is the page's edge
-    own: np.ndarray  # log p(word | class) of vocabulary words; of the rest, log of the entry's
-    # mean share per distinct word
+    own: np.ndarray  # log p(word | class) of embedded words; of the rest without log(count)
+    least: tuple[int, str] | None  # count and text of the last embedded word
 
     @property
     def edge(self) -> int:
@@ -67,6 +78,11 @@ class Lexicon:
     def reader(self) -> Entries:
         return Entries(self)
 
+    def embedded(self) -> Column:
+        """On columns word, n: the word has an entry of its own."""
+        n, word = self.least or (1 << 62, "")
+        return (F.col("n") > n) | ((F.col("n") == n) & (F.col("word") <= word))
+
 
 class Entries(dict):
     """Entries of words; those outside the vocabulary are found by ending and remembered."""
@@ -81,17 +97,17 @@ class Entries(dict):
             self[word] = k
         return k
 
-    def of(self, text: str) -> np.ndarray:
-        """Entries of all tokens of the whole text."""
-        return np.array(list(map(self.__getitem__, TOKEN.findall(text.lower()))), np.int32)
+    def of(self, text: str) -> tuple[np.ndarray, Counter]:
+        """Entries of all tokens of the whole text; its words without an embedding, counted."""
+        words = TOKEN.findall(text.lower())
+        entries = np.array(list(map(self.__getitem__, words)), np.int32)
+        return entries, Counter(words[k] for k in np.flatnonzero(entries >= self.size).tolist())
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all documents; words are counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         held: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -112,40 +128,67 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(counts: DataFrame, vocabulary: int = VOCABULARY) -> Lexicon:
-    """The ``vocabulary`` most frequent words, and what all other words amount to by ending."""
-    counts = materialised(counts, "lm-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    number = {r.word: k for k, r in enumerate(top)}
-    totals = np.array([r.n for r in top], np.float64)
-    shared, kinds = np.zeros(ENDINGS), np.ones(ENDINGS)
-    least = top[-1] if top else None
+    """Entries of the frequent words, and what all other words amount to by ending."""
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    often = max(LEAST, int(np.sqrt(tokens) / RARE))
+    most = counts.orderBy(F.desc("n"), "word").limit(vocabulary)
+    rank = most if (most.agg(F.min("n")).first()[0] or 0) < often else counts.where(F.col("n") >= often)
+    top = rank.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words = top.column("word").to_pylist()
+    number = {w: k for k, w in enumerate(words)}
+    totals = top.column("n").to_numpy().astype(np.float64)
+    shared = np.zeros(ENDINGS)
+    lexicon = Lexicon(number, np.zeros(0), np.zeros(0), (int(totals[-1]), words[-1]) if words else None)
 
     def endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass, words = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+        mass = np.zeros(ENDINGS, np.int64)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = ending(word)
-                mass[k] += n
-                words[k] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(ENDINGS)), pa.array(mass), pa.array(words)], names=["k", "n", "words"]
-        )
+                mass[ending(word)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(mass)], names=["k", "n"])
 
-    if least is not None:
-        rest = counts.where((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("word") > least.word)))
-        rows = rest.mapInArrow(endings, "k long, n long, words long").groupBy("k").agg(
-            F.sum("n").alias("n"), F.sum("words").alias("words")
-        )
-        for r in rows.collect():
-            shared[r.k], kinds[r.k] = r.n, max(1, r.words)
-    mass = np.concatenate([totals, shared]) + 0.5
+    rest = counts.where(~lexicon.embedded()).select("word", "n")
+    for r in rest.mapInArrow(endings, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        shared[r.k] = r.n
+    mass = np.concatenate([totals, shared])
     # classes of about equal mass in the order of the entries: frequent words stand alone
-    share = np.cumsum(mass) / mass.sum()
-    classes = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
-    per_class = np.bincount(classes, weights=mass, minlength=CLASSES)
-    own = np.log(mass / per_class[classes])
-    own[len(number) :] -= np.log(kinds + 1.0)
-    return Lexicon(number, classes, own)
+    share = np.cumsum(mass) / max(1.0, mass.sum())
+    lexicon.classes = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
+    per_class = np.bincount(lexicon.classes, weights=mass, minlength=CLASSES)
+    lexicon.own = -np.log(np.maximum(per_class, 1.0))[lexicon.classes]
+    lexicon.own[: len(number)] += np.log(totals)
+    return lexicon
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """row, doc_id, entries (32-bit numbers as bytes) of every text; rare and times: its words
+    without an embedding and how often each comes. ``row`` numbers the rows."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = known.value.reader()
+        row = TaskContext.get().partitionId() << 33
+        for batch in sub_batches(batches, 1 << 20):
+            found = [read.of(t) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(row, row + len(found)), pa.int64()), batch.column("doc_id"),
+                    pa.array([e.tobytes() for e, _ in found], pa.binary()),
+                    pa.array([list(r) for _, r in found], pa.list_(pa.string())),
+                    pa.array([list(r.values()) for _, r in found], pa.list_(pa.int64())),
+                ],
+                names=["row", "doc_id", "entries", "rare", "times"],
+            )
+            row += len(found)
+
+    return docs.mapInArrow(
+        encode, f"row long, doc_id {kind}, entries binary, rare array<string>, times array<long>"
+    )
+
+
+def entries_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
 
 
 @dataclass
@@ -210,92 +253,117 @@ def train_pass(net: Network, squares: list[np.ndarray], context: np.ndarray, lab
     gw1, gb1 = x.T @ dh, dh.sum(axis=0)
     dx = (dh @ net.w1.T).reshape(-1, DIM)
     flat = context.ravel()
-    ge = np.zeros_like(net.e)
     order = np.argsort(flat, kind="stable")
-    met, first = np.unique(flat[order], return_index=True)
-    ge[met] = np.add.reduceat(dx[order], first, axis=0)
-    for part, square, g in zip(net.parts(), squares, (ge, gw1, gb1, gw2, gb2), strict=True):
+    ranked = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    met, ge = ranked[first], np.add.reduceat(dx[order], first, axis=0)
+    # only the embeddings met move, however many there are
+    square = squares[0][met] + ge * ge
+    squares[0][met] = square
+    net.e[met] -= rate * ge / (np.sqrt(square) + 1e-6)
+    for part, square, g in zip(net.parts()[1:], squares[1:], (gw1, gb1, gw2, gb2), strict=True):
         square += g * g
         part -= rate * g / (np.sqrt(square) + 1e-6)
     return loss
 
 
-def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float = 0.05, batch_size: int = 4096) -> Network:
-    """Parameter mixing over all documents: each task's pass, averaged by its windows.
+def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sum of the rows of each."""
+    order = np.argsort(ids, kind="stable")
+    ranked = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return ranked[first], np.add.reduceat(rows[order], first, axis=0)
+
 
-    A task sends one set of parameters, of a size that does not depend on the data, in one
-    of SLICES slices; slices are averaged in parallel, so nothing grows in the driver.
+def sheet(net: Network) -> np.ndarray:
+    """All parameters in rows of DIM: the embeddings, then the layers, padded."""
+    dense = np.concatenate([p.ravel() for p in net.parts()[1:]])
+    padded = np.zeros(-(-len(dense) // DIM) * DIM, np.float32)
+    padded[: len(dense)] = dense
+    return np.concatenate([net.e, padded.reshape(-1, DIM)])
+
+
+def train(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float = 0.05, batch_size: int = 4096) -> Network:
+    """Parameter mixing over all ``encoded`` texts: each task's pass, averaged by its windows.
+
+    A task sends the layers and the embeddings that it has met, each with its weight (windows,
+    and places in windows), in slices of SLICE rows; slices are averaged in parallel, and the
+    driver holds one set of parameters.
     """
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     net = Network.start(lexicon.edge + 1)
-    known = spark.sparkContext.broadcast(lexicon)
+    known = spark.sparkContext.broadcast(lexicon.classes)
+    edge = lexicon.edge
+    shape = "slice int, ids binary, data binary"
+
+    def packed(slices: list[int], part: list[int], ids: list[np.ndarray], data: list[np.ndarray]) -> dict:
+        return {
+            "slice": pa.array(slices, pa.int32()), "part": pa.array(part, pa.int32()),
+            "ids": pa.array([x.astype(np.int32).tobytes() for x in ids], pa.binary()),
+            "data": pa.array([x.astype(np.float64).tobytes() for x in data], pa.binary()),
+        }
+
     for k in range(rounds):
         current = spark.sparkContext.broadcast(net)
 
         def fit(batches: Iterator[pa.RecordBatch], current=current, k=k) -> Iterator[pa.RecordBatch]:
-            own = pickle.loads(pickle.dumps(current.value))
-            lex: Lexicon = known.value
+            own: Network = pickle.loads(pickle.dumps(current.value))
+            classes = known.value
             squares = [np.full(p.shape, 1e-4, np.float32) for p in own.parts()]
-            read = lex.reader()
+            places = np.zeros(len(own.e), np.int64)
             seen, contexts, labels, held = 0, [], [], 0
             step = rate / (1 + k)
 
             def learn() -> None:
                 context, label = np.concatenate(contexts), np.concatenate(labels)
+                np.add(places, np.bincount(context.ravel(), minlength=len(places)), out=places)
                 rng = np.random.default_rng(len(label))
                 mixed = rng.permutation(len(label))
                 for at in range(0, len(mixed), batch_size):
                     some = mixed[at : at + batch_size]
                     train_pass(own, squares, context[some], label[some], step)
 
-            for batch in sub_batches(batches, 1 << 20):
-                for text in texts_of(batch.column("text")):
-                    entries = read.of(text)
+            for batch in batches:
+                for entries in entries_of(batch.column("entries")):
                     first = (len(entries) + 3 * k) % MASKED
-                    label = lex.classes[entries[first::MASKED]]
+                    label = classes[entries[first::MASKED]]
                     if len(label):
-                        contexts.append(windows(entries, lex.edge, MASKED, first))
+                        contexts.append(windows(entries, edge, MASKED, first))
                         labels.append(label)
                         held += len(label)
                         seen += len(label)
-                if held > 50_000:
-                    learn()
-                    contexts, labels, held = [], [], 0
+                    if held > 50_000:
+                        learn()
+                        contexts, labels, held = [], [], 0
             if held:
                 learn()
             if seen:
-                flat = np.concatenate([p.ravel() for p in own.parts()]).astype(np.float64) * seen
-                cuts = np.array_split(flat, SLICES)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(range(SLICES), pa.int32()),
-                        pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()),
-                        pa.array([seen] * SLICES, pa.int64()),
-                        pa.array([c.tobytes() for c in cuts], pa.binary()),
-                    ],
-                    names=["slice", "part", "n", "data"],
-                )
+                rows = sheet(own)
+                weight = np.concatenate([places, np.full(len(rows) - len(places), seen)])
+                met = np.flatnonzero(weight)
+                data = np.concatenate([rows[met] * weight[met, None].astype(np.float64), weight[met, None]], axis=1)
+                slices, at = np.unique(met // SLICE, return_index=True)
+                part = [TaskContext.get().partitionId()] * len(slices)
+                yield pa.RecordBatch.from_pydict(packed(
+                    slices.tolist(), part, np.split(met, at[1:]), np.split(data, at[1:])
+                ))
 
         def add(key, table):
-            total = np.sum([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("data")], axis=0)
-            n = int(np.sum(table.column("n").to_numpy()))
-            return pa.table({
-                "slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()),
-                "data": pa.array([total.tobytes()], pa.binary()),
-            })
-
-        texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        sent = texts.mapInArrow(fit, "slice int, part int, n long, data binary")
+            ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table.column("ids")])
+            data = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in table.column("data")])
+            ids, data = summed(ids, data.reshape(len(ids), DIM + 1))
+            return pa.table(packed([key[0].as_py()], [0], [ids], [data])).drop_columns(["part"])
+
+        sent = texts.select("entries").mapInArrow(fit, "slice int, part int, ids binary, data binary")
         sent = materialised(sent, "lm-parameters")
         # sums of GROUPS groups of tasks first, so that no sum reads more rows than a group has
-        shape = "slice int, n long, data binary"
         sums = sent.groupBy("slice", F.pmod("part", F.lit(GROUPS)).alias("g")).applyInArrow(add, shape)
-        sums = sums.groupBy("slice").applyInArrow(add, shape).collect()
-        if not sums:
-            return net
-        flat = np.concatenate([
-            np.frombuffer(bytes(r.data), np.float64) / r.n for r in sorted(sums, key=lambda r: r.slice)
-        ]).astype(np.float32)
+        rows = sheet(net)
+        for r in sums.groupBy("slice").applyInArrow(add, shape).collect():
+            ids = np.frombuffer(bytes(r.ids), np.int32)
+            data = np.frombuffer(bytes(r.data), np.float64).reshape(len(ids), DIM + 1)
+            rows[ids] = data[:, :-1] / data[:, -1:]
+        flat = rows.ravel()
         parts, at = [], 0
         for p in net.parts():
             parts.append(flat[at : at + p.size].reshape(p.shape).copy())
@@ -304,35 +372,61 @@ def train(docs: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float =
     return net
 
 
-def scores(docs: DataFrame, lexicon: Lexicon, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (sum) and mean_log_likelihood of every whole text."""
-    rows = ids_and_texts(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, net))
+def scores(texts: DataFrame, counts: DataFrame, lexicon: Lexicon, net: Network) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (sum) and mean_log_likelihood of every ``encoded`` text.
+
+    A word without an embedding is rarer than all that have one, so no key of the join with
+    the counts is a hot one.
+    """
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast((lexicon.classes, lexicon.own, lexicon.edge, net))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, own = shared.value
-        read = lex.reader()
-        for batch in sub_batches(batches, 1 << 20):
-            all_entries = [read.of(t) for t in texts_of(batch.column("text"))]
+        classes, log_own, edge, own = shared.value
+
+        def values(all_entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             sizes = np.array([len(e) for e in all_entries])
-            sums = np.zeros(len(sizes))
-            if sizes.sum():
-                context = np.concatenate([windows(e, lex.edge) for e in all_entries if len(e)])
-                entry = np.concatenate(all_entries)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                value = np.empty(len(entry))
-                for at in range(0, len(entry), 4096):
-                    e = entry[at : at + 4096]
-                    value[at : at + 4096] = own.log_class(context[at : at + 4096], lex.classes[e]) + lex.own[e]
-                sums = np.bincount(doc, weights=value, minlength=len(sizes))
-            mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())],
-                names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-            )
+            if not sizes.sum():
+                return sizes, np.zeros(len(sizes))
+            context = np.concatenate([windows(e, edge) for e in all_entries if len(e)])
+            entry = np.concatenate(all_entries)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            value = np.empty(len(entry))
+            for at in range(0, len(entry), 4096):
+                e = entry[at : at + 4096]
+                value[at : at + 4096] = own.log_class(context[at : at + 4096], classes[e]) + log_own[e]
+            return sizes, np.bincount(doc, weights=value, minlength=len(sizes))
+
+        for batch in batches:
+            sizes, sums, some, held = [], [], [], 0
+            for entries in [*entries_of(batch.column("entries")), None]:
+                if some and (entries is None or held + len(entries) > 200_000):
+                    n, total = values(some)
+                    sizes.append(n)
+                    sums.append(total)
+                    some, held = [], 0
+                if entries is not None:
+                    some.append(entries)
+                    held += len(entries)
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("doc_id"), pa.array(np.concatenate(sizes), pa.int64()),
+                     pa.array(np.concatenate(sums), pa.float64())],
+                    names=["row", "doc_id", "n_tokens", "base"],
+                )
 
-    return rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    base = texts.select("row", "doc_id", "entries").mapInArrow(
+        score, f"row long, doc_id {kind}, n_tokens long, base double"
+    )
+    log_n = F.round(F.log("n") * UNIT).cast("long")
+    rest = counts.where(~lexicon.embedded()).select("word", log_n.alias("log_n"))
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+    rare = rare.select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rare = rare.join(rest, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
+    total = F.col("base") + F.coalesce("more", F.lit(0)) / UNIT
+    return base.join(rare, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood")).withColumn(
+        "mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    )
 
 
 def masked_pseudo_likelihood(
@@ -345,6 +439,8 @@ def masked_pseudo_likelihood(
     an empty table gives an empty result.
     """
     rows = ids_and_texts(docs, id_col, text_col)
-    lexicon = build_lexicon(word_counts(rows), vocabulary)
-    net = train(rows, lexicon, rounds)
-    return scores(rows, lexicon, net)
+    counts = materialised(word_counts(rows), "lm-counts")
+    lexicon = build_lexicon(counts, vocabulary)
+    texts = materialised(encoded(rows, lexicon), "lm-entries")
+    net = train(texts, lexicon, rounds)
+    return scores(texts, counts, lexicon, net)
