@@ -147,3 +147,16 @@ def test_every_word_has_its_own_chance_and_frequent_words_their_own_entry(spark)
         entry = lexicon.reader()[word]
         chance[lexicon.classes[entry]] += np.exp(lexicon.own[entry]) * (1 if word in lexicon.number else n)
     assert np.allclose(chance[chance > 0], 1.0)
+
+
+def test_every_token_of_short_texts_is_a_training_target(spark):
+    rows = [(i, "up down" if i % 2 else "left") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = pseudo_likelihood.word_counts(docs)
+    lexicon = pseudo_likelihood.build_lexicon(counts)
+    texts = pseudo_likelihood.encoded(docs, lexicon)
+    start, net = pseudo_likelihood.Network.start(lexicon.edge + 1), pseudo_likelihood.train(texts, lexicon)
+    edge, up, down = lexicon.edge, lexicon.number["up"], lexicon.number["down"]
+    context = np.array([[edge, edge, down, edge], [edge, up, edge, edge], [edge, edge, edge, edge]])
+    label = lexicon.classes[[up, down, lexicon.number["left"]]]
+    assert all(net.log_class(context, label) > start.log_class(context, label) + 0.1)

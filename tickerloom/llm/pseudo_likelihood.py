@@ -13,9 +13,9 @@ the ``VOCABULARY`` most frequent words and all others that come ``sqrt(tokens) /
 size; only what the rest look like as context and their class is shared, by their last letters.
 
 It is trained on all documents by parameter mixing: in each round every partition of texts
-starts from the shared parameters, masks every ``MASKED``-th token of every document (another
-one each round) and makes one pass of AdaGrad over these windows; the results are averaged by
-the number of windows. A document's score is the sum of the conditional log-probabilities of
+starts from the shared parameters, masks every ``rounds``-th token of every document (another
+one each round, so every token of every document is a target once) and makes one pass of
+AdaGrad over these windows; the results are averaged by the number of windows. A document's score is the sum of the conditional log-probabilities of
 all its tokens, none of which is predicted from itself.
 """
 
@@ -45,7 +45,6 @@ LEAST, RARE = 5, 100
 ENDINGS = 256
 CLASSES = 64
 ROUNDS = 2
-MASKED = 8
 SLICE = 1024
 GROUPS = 256
 #: Logarithms of counts are summed as whole numbers of this fraction, so in any order.
@@ -325,10 +324,9 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float
 
             for batch in batches:
                 for entries in entries_of(batch.column("entries")):
-                    first = (len(entries) + 3 * k) % MASKED
-                    label = classes[entries[first::MASKED]]
+                    label = classes[entries[k::rounds]]
                     if len(label):
-                        contexts.append(windows(entries, edge, MASKED, first))
+                        contexts.append(windows(entries, edge, rounds, k))
                         labels.append(label)
                         held += len(label)
                         seen += len(label)
