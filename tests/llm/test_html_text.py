@@ -52,3 +52,19 @@ def test_table(spark):
     assert by_id[61].text.count("\n") == 19_999 and by_id[61].n_chars == len(by_id[61].text)
     assert main_texts(pages.limit(0)).count() == 0
     assert main_text("", Field()) == ""
+
+
+def test_text_of_embedded_elements_is_left_to_the_field():
+    page = (
+        "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <svg><path d='M0'/></svg>here.</p>"
+        "<p>Then <object><p>a film</p></object> and <canvas>a chart</canvas>more.<noscript>No script &amp; text</noscript></p>"
+        "<template><p>later</p></template><iframe>frame</iframe><style>p{}</style><svg><text>drawn</text></svg></article>"
+    )
+    got = {b.text: [t for t, _ in b.path] for b in blocks_of(page)}
+    assert list(got) == [
+        "So x=2 holds here.", "Then", "a film", "and", "a chart", "more.", "No script & text", "later", "frame", "drawn"
+    ]
+    assert got["Then"] == ["article", "p"] and got["a film"] == ["article", "p", "object", "p"] and "canvas" in got["a chart"]
+    assert "noscript" in got["No script & text"] and got["drawn"] == ["article", "svg"]
+    for name in ("object", "canvas", "math", "svg", "noscript", "template", "iframe"):
+        assert [b.text for b in blocks_of(f"<p>before<{name}><p>after</p><div>end</div>")] == ["before", "after", "end"]

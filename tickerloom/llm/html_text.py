@@ -30,7 +30,10 @@ LONGEST_SAMPLED = 60_000
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset("script style template noscript iframe svg math object canvas".split())
+RAW = frozenset("script style".split())  # text that is no text of the page; unclosed, it ends with it
+#: Their text is fallback or drawing: a block of its own with the element above it, for the field
+#: to label. Empty ones (icons) do not split the paragraph they stand in; math is part of it.
+EMBEDDED = frozenset("template noscript iframe svg object canvas".split())
 BLOCK = frozenset(
     """address article aside blockquote body button center dd details dialog dir div dl dt
     fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html
@@ -74,14 +77,17 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     linked = [0]
+    opened: list[int] = []  # where an embedded element stands that opened within these parts
 
     def flush() -> None:
         if parts:
+            above = stack[: opened[0]] if opened else stack
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, tuple((t, n) for t, n, _ in stack), linked[0], any(m for *_, m in stack)))
+                out.append(Block(text, tuple((t, n) for t, n, _ in above), linked[0], any(m for *_, m in above)))
             parts.clear()
+        opened.clear()
         linked[0] = 0
 
     def close(k: int) -> None:
@@ -95,6 +101,8 @@ def blocks_of(page: str) -> list[Block]:
         end = m.start() if m else n
         if end > at:
             chunk = page[at:end]
+            if opened and not chunk.isspace():
+                flush()
             parts.append(chunk)
             if depth_a:
                 linked[0] += len(chunk.strip())
@@ -109,16 +117,17 @@ def blocks_of(page: str) -> list[Block]:
             if name == "a":
                 depth_a = 0
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if name in BLOCK:
+            if name in BLOCK or (name in EMBEDDED and k >= 0 and not opened):
                 flush()
             if k >= 0:
                 close(k)
+                if opened and opened[0] >= k:
+                    opened.clear()
             continue
         if name in RAW:
             # dropped with all it holds; an unclosed one ends with the page
             found = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            if not m.group(3).rstrip().endswith("/") or name in ("script", "style"):
-                at = found.end() if found else n
+            at = found.end() if found else n
             continue
         if name == "br":
             parts.append(" ")
@@ -132,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] in kinds:
                     close(k)
                     break
-                if stack[k][0] in fences or (name not in CLOSES and stack[k][0] in BLOCK):
+                if stack[k][0] in fences or stack[k][0] in EMBEDDED or (name not in CLOSES and stack[k][0] in BLOCK):
                     break
         if name in VOID:
             continue
@@ -148,6 +157,8 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             depth_a = 1
         if not attributes.rstrip().endswith("/"):
+            if name in EMBEDDED and parts and not opened:
+                opened.append(len(stack))
             stack.append((name, names, main))
     flush()
     return out
@@ -358,7 +369,8 @@ def main_texts(
     """page_id, url, text, n_chars of every row; text is empty where nothing is main text.
 
     Null html is the empty page; null keys and repeated rows stay as they are; an empty table
-    gives an empty result. Whole pages are read; nothing is dropped but what is not main text.
+    gives an empty result. Whole pages are read; nothing is dropped but
+    what is not main text, scripts and styles.
     """
     model = model or train(pages, html_col)
     rows = pages.select(
