@@ -1,5 +1,5 @@
 from tickerloom.llm.html_text import (
-    LAYOUTS, Field, blocks_of, fit_field, labelled_pages, main_text, main_texts, page_features, relaid,
+    LAYOUTS, Field, blocks_of, fit_field, labelled_pages, main_text, main_texts, page_features, relaid, train,
 )
 
 PAGE = (
@@ -68,3 +68,12 @@ def test_text_of_embedded_elements_is_left_to_the_field():
     assert "noscript" in got["No script & text"] and got["drawn"] == ["article", "svg"]
     for name in ("object", "canvas", "math", "svg", "noscript", "template", "iframe"):
         assert [b.text for b in blocks_of(f"<p>before<{name}><p>after</p><div>end</div>")] == ["before", "after", "end"]
+
+
+def test_sample_is_of_distinct_pages_and_of_long_ones_where_none_is_short(spark):
+    rows = [(PAGE.format(k=k),) for k in range(12) for _ in range(1 + 40 * (k % 2))]
+    pages = spark.createDataFrame([*rows, (None,)], "html string").repartition(3)
+    distinct = spark.createDataFrame([(PAGE.format(k=k),) for k in range(12)], "html string")
+    assert train(pages, sample=12) == train(distinct, sample=12)
+    model = train(pages, longest=100)
+    assert main_text(PAGE.format(k=99), model) == MAIN.format(k=99)

@@ -347,12 +347,25 @@ def fit_field(
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES,
           longest: int = LONGEST_SAMPLED) -> Field:
-    """Fits on ``sample`` pages in the order of a hash of the html, of at most ``longest`` characters."""
-    rows = pages.select(F.col(html_col).alias("html")).where(
-        F.col("html").isNotNull() & (F.char_length("html") <= longest)
-    )
-    rows = rows.select("html", F.xxhash64("html").alias("_h")).orderBy("_h", "html").limit(sample).collect()
-    labelled = labelled_pages(sorted({r.html for r in rows}))
+    """Fits on ``sample`` distinct pages in the order of a hash of the html.
+
+    They have at most ``longest`` characters; where no page has, the shortest are taken, as many
+    as have no more characters together.
+    """
+    rows = pages.select(F.col(html_col).alias("html")).where("html IS NOT NULL")
+    rows = rows.select("html", F.xxhash64("html").alias("_h"), F.char_length("html").alias("_n"))
+    kinds = rows.select("_h", "_n").distinct()
+    chosen = kinds.where(F.col("_n") <= longest).orderBy("_h", "_n").limit(sample).collect()
+    if not chosen:
+        room = sample * longest
+        for r in kinds.orderBy("_n", "_h").limit(sample).collect():
+            room -= r._n
+            if chosen and room < 0:
+                break
+            chosen.append(r)
+    found = rows.where(F.col("_h").isin([r._h for r in chosen])).groupBy("_h", "_n").agg(F.min("html").alias("html"))
+    wanted = {(r._h, r._n) for r in chosen}
+    labelled = labelled_pages(sorted(r.html for r in found.collect() if (r._h, r._n) in wanted))
     return fit_field(labelled) if labelled else Field({"bias": 1.0})
 
 
