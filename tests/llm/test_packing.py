@@ -100,3 +100,11 @@ def test_empty_table_repeated_rows_and_clashing_names(spark):
     )
     rows = packing.pack(docs).toPandas()
     assert len(rows) == 3 and rows.sequence_id.nunique() == 1
+
+
+def test_dominated_fillings_take_up_no_branch():
+    left = {3: 1, 4: 1, 5: 1, 7: 1, 12: 1}
+    found = packing.completions(sorted(left), left, 13, 14, 4000)
+    assert found[0] == [12]  # every other filling fits into the single length
+    assert found == [[12]]
+    assert packing.dominates([7, 5], [4, 3, 5]) and not packing.dominates([4, 3, 5], [7, 5])

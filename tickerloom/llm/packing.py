@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,13 +169,30 @@ def _best_fit(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
     return out
 
 
+def dominates(one: list[int], other: list[int]) -> bool:
+    """The lengths of ``other`` fit into those of ``one``, one or several into each.
+
+    Common lengths stand for themselves; the rest are placed first-fit, largest first, so a
+    yes is always right.
+    """
+    rest = Counter(other) - Counter(one)
+    rooms = sorted((Counter(one) - Counter(other)).elements())
+    for n in sorted(rest.elements(), reverse=True):
+        at = next((k for k, room in enumerate(rooms) if n <= room), -1)
+        if at < 0:
+            return False
+        rooms[at] -= n
+    return True
+
+
 def completions(
-    lengths: list[int], left: dict[int, int], room: int, waste: int, nodes: int
+    lengths: list[int], left: dict[int, int], room: int, waste: int, nodes: int, most: int | None = None
 ) -> list[list[int]]:
-    """Undominated fillings of ``room`` of waste below ``waste``, least waste first.
+    """Undominated fillings of ``room`` of waste below ``waste``, least waste first, ``most`` of them.
 
-    A filling is dominated if a single length fits where several of its own stand, or if a
-    length outside fits in its waste: such fillings never beat the one that dominates them.
+    A filling is dominated if its lengths fit into those of another found one, one or several
+    into each, or if a length outside fits in its waste: such fillings never beat the one that
+    dominates them. At most ``nodes`` steps are made, with 24 lengths in each.
     """
     found: list[tuple[int, list[int]]] = []
     budget = [nodes]
@@ -209,8 +227,10 @@ def completions(
     for spare, chosen in sorted(found, key=lambda x: (x[0], len(x[1]), [-n for n in x[1]])):
         at = bisect_right(lengths, spare) - 1
         fits = next((lengths[i] for i in range(at, -1, -1) if left[lengths[i]] > chosen.count(lengths[i])), 0)
-        if not fits and chosen not in (x[1] for x in kept):
+        if not fits and not any(dominates(x[1], chosen) for x in kept):
             kept.append((spare, chosen))
+            if len(kept) == most:
+                break
     return [x[1] for x in kept]
 
 
@@ -269,7 +289,7 @@ def bin_completion(
             lengths = sorted(left)
             top = lengths[-1]
             left[top] -= 1
-            options = completions(lengths, left, capacity - top, capacity - top + 1, nodes) or [[]]
+            options = completions(lengths, left, capacity - top, capacity - top + 1, nodes, branches) or [[]]
             left[top] += 1
             for other in options[1:branches]:
                 if budget[0] <= 0 or fewest <= bound:
