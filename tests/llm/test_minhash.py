@@ -86,3 +86,15 @@ def test_filter_nulls_repeats_and_empty(spark):
     assert kept.columns == docs.columns
     assert sorted(r.key for r in kept.collect()) == [1, 3, 5]
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_of_null_keys_link_others(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = [(1, words), (None, words[:54]), (2, words[:48]), (None, ["x", *words[40:]]), (None, ["x", *words[40:], "y"])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, shingle=1, similar=85).collect()
+    # 1 and 2 are 48/60 alike, but both are like the text without a key between them
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.n_shingles >= 48) == [
+        (48, 1, False), (54, 1, False), (60, 1, True)
+    ]
+    assert [(r.component_id, r.kept) for r in got if r.n_shingles < 48] == [(None, True)] * 2

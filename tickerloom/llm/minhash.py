@@ -108,8 +108,9 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
             sets = shingle_sets(*byte_slices(batch.column("text")), shingle)
             k1, k2, sketch, bands = [], [], [], []
             for s in sets:
-                k1.append(int(np.add.reduce(s, dtype=np.uint64).view(np.int64)))
-                k2.append(int(np.bitwise_xor.reduce(grams.mix(s + np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0)
+                one, two = set_key(s)
+                k1.append(one)
+                k2.append(two)
                 least = minima(s) if len(s) else None
                 sketch.append(packed(least) if len(s) else None)
                 bands.append(band_keys(least) if len(s) else None)
@@ -132,7 +133,8 @@ SET_KEY = ["n_shingles", "k1", "k2"]
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """vid and set (sorted hashes as bytes) of the wanted classes, from one text of each."""
-    rows = ids_and_texts(docs, id_col, text_col).join(
+    texts = ids_and_texts(docs, id_col, text_col)
+    rows = texts.join(
         wanted.select(F.col("first_id").alias("doc_id"), "vid", *SET_KEY), "doc_id"
     )
 
@@ -153,9 +155,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text
             )
 
     found = rows.select("vid", "n_shingles", "k1", "text").mapInArrow(cut, "vid long, set binary")
+    unnamed = wanted.where("first_id IS NULL").select("vid", *SET_KEY)
+    if not unnamed.isEmpty():  # classes of null keys only have no key to join by: their sets do
+        own = texts.where("doc_id IS NULL").select("text").mapInArrow(
+            lambda batches: _keyed_sets(batches, shingle), "n_shingles long, k1 long, k2 long, set binary"
+        )
+        found = found.unionByName(own.dropDuplicates(SET_KEY).join(unnamed, SET_KEY).select("vid", "set"))
     return found.dropDuplicates(["vid"])
 
 
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Sum and mixed exclusive or of a set of hashes."""
+    k1 = int(np.add.reduce(s, dtype=np.uint64).view(np.int64))
+    return k1, int(np.bitwise_xor.reduce(grams.mix(s + np.uint64(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0
+
+
+def _keyed_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in sub_batches(batches):
+        sets = shingle_sets(*byte_slices(batch.column("text")), shingle)
+        keys = [set_key(s) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()),
+             pa.array([k for _, k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+            names=[*SET_KEY, "set"],
+        )
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
@@ -227,13 +252,12 @@ def near_duplicates(
         F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
     )
     classes = materialised(classes.withColumn("vid", F.monotonically_increasing_id()), "mh-classes")
-    linkable = classes.where("first_id IS NOT NULL")
-    rows = linkable.select("vid", F.explode("bands").alias("key"))
+    rows = classes.select("vid", F.explode("bands").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = rows.join(crowded, "key")
     buckets = materialised(buckets, "mh-buckets")
     full = buckets.groupBy("vid").agg(F.sum("n").alias("fullness"))
-    wanted = materialised(linkable.drop("bands").join(full, "vid"), "mh-wanted")
+    wanted = materialised(classes.drop("bands").join(full, "vid"), "mh-wanted")
     sets = materialised(_sets_of(docs, wanted, shingle, id_col, text_col), "mh-sets")
 
     labels: DataFrame | None = None
