@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickerloom.llm import (
-    decontaminate, exact_dedup, html_text, language_id, minhash, packing, personal_data,
-    pseudo_likelihood, token_counts, toxicity,
+    decontaminate, exact_dedup, html_text, language_id, license_scan, minhash, packing,
+    periodic_runs, personal_data, pseudo_likelihood, spelling, token_counts, toxicity,
 )
 from tickerloom.llm.frames import docs_of
 
@@ -51,12 +54,42 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data(docs_of(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(docs_of(spark, sf_dir))
+
+
+def without_a_letter(doc_id: Column, run: Column) -> Column:
+    """``run``, in one of 31 (document, run) pairs without one of its code points."""
+    h = F.crc32(F.concat(doc_id.cast("string"), F.lit(":"), run))
+    at = (h % F.char_length(run)).cast("int")
+    cut = F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))
+    return F.when(h % 31 == 0, cut).otherwise(run)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(docs_of(spark, sf_dir), change=without_a_letter)
+
+
+def with_repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """``words``, in one of ten documents with a tail that repeats a stretch of them."""
+    n, h = len(words), zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(docs_of(spark, sf_dir), prepare=with_repeated_tail)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_token_counts, op4_pseudo_likelihood,
         op5_toxicity, op6_near_dedup, op7_decontamination, op8_html_text, op9_exact_dedup,
-        op10_personal_data,
+        op10_personal_data, op11_license_scan, op12_spelling_variants, op13_periodic_runs,
     )
 }
 
