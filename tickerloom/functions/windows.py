@@ -36,26 +36,6 @@ def pct_change(x, n: int = 1, w: WindowSpec | None = None) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w or series())) - F.lit(1.0)
 
 
-def when_full(n: int, x, value: Column, w: WindowSpec | None = None) -> Column:
-    """``value`` only where the trailing ``n`` rows all hold a non-null ``x``."""
-    return F.when(F.count(as_col(x)).over(trailing(n, w)) == n, value)
-
-
-def rolling_mean(x, n: int, w: WindowSpec | None = None) -> Column:
-    return when_full(n, x, F.avg(as_col(x)).over(trailing(n, w)), w)
-
-
-def rolling_std(x, n: int, w: WindowSpec | None = None) -> Column:
-    return when_full(n, x, F.stddev_samp(as_col(x)).over(trailing(n, w)), w)
-
-
-def rolling_corr(x, y, n: int, w: WindowSpec | None = None) -> Column:
-    """Correlation of the trailing rows; NULL instead of an error for constant series."""
-    x, y, f = as_col(x), as_col(y), trailing(n, w)
-    spread = F.stddev_samp(x).over(f) * F.stddev_samp(y).over(f)
-    return F.try_divide(F.covar_samp(x, y).over(f), spread)
-
-
 def forward_fill(x, w: WindowSpec | None = None) -> Column:
     return F.last(as_col(x), ignorenulls=True).over(running(w))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import beta_label, finite
-from tickerloom.functions.windows import trailing
 from tickerloom.operators.joins import keep_latest
+from tickerloom.operators.moments import Rolling, with_moments
 
 BETA_WINDOWS = (60, 120, 252)
 LONG = 252
@@ -19,7 +19,8 @@ def rolling_betas(pairs: DataFrame, keys=("ticker", "index_code"), windows=BETA_
     """Betas over (date, keys, close_Price, index_close) rows of common dates.
 
     Returns are taken between consecutive common dates; NaN and infinite closes count as
-    missing. Moments come from sliding frames, which hold only their own rows.
+    missing. Windows are merged from shorter ones (``moments``); one extreme return is forgotten
+    when it leaves them.
     """
     w = Window.partitionBy(*keys).orderBy("date")
     c, m = finite("close_Price"), finite("index_close")
@@ -31,22 +32,15 @@ def rolling_betas(pairs: DataFrame, keys=("ticker", "index_code"), windows=BETA_
     )
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     df = df.withColumns({"_x": F.when(both, F.col("_x")), "_y": F.when(both, F.col("_y"))})
-    x, y = F.col("_x"), F.col("_y")
-    sums: dict[str, Column] = {}
-    for n in windows:
-        f = trailing(n, w)
-        sums[f"_n{n}"] = F.count(x).over(f)
-        sums[f"_xy{n}"] = F.covar_samp(x, y).over(f) * F.lit(float(n - 1))
-        sums[f"_yy{n}"] = F.var_samp(y).over(f) * F.lit(float(n - 1))
-    sums[f"_xx{LONG}"] = F.var_samp(x).over(trailing(LONG, w)) * F.lit(float(LONG - 1))
-    df = df.withColumns(sums)
+    pair = Rolling("_m", "_x", tuple(windows), "pair", "_y")
+    df = with_moments(df, w, [pair])
+    xx, yy, xy = (lambda n, f=f: pair.figure(f, n) for f in ("xx", "yy", "xy"))
 
     out: dict[str, Column] = {}
     for n in windows:
-        ok = (F.col(f"_n{n}") == n) & (F.col(f"_yy{n}") > F.lit(1e-18))
-        out[f"beta_{n}d"] = F.when(ok, F.try_divide(F.col(f"_xy{n}"), F.col(f"_yy{n}")))
-    ok = (F.col(f"_n{LONG}") == LONG) & (F.col(f"_yy{LONG}") > 1e-18) & (F.col(f"_xx{LONG}") > 1e-18)
-    corr = F.when(ok, F.col(f"_xy{LONG}") / (F.sqrt(f"_xx{LONG}") * F.sqrt(f"_yy{LONG}")))
+        out[f"beta_{n}d"] = F.when(yy(n) > F.lit(1e-18), F.try_divide(xy(n), yy(n)))
+    ok = (yy(LONG) > F.lit(1e-18)) & (xx(LONG) > F.lit(1e-18))
+    corr = F.when(ok, xy(LONG) / (F.sqrt(xx(LONG)) * F.sqrt(yy(LONG))))
     out["correlation_252d"] = corr
     out["r_squared_252d"] = corr * corr
     df = df.withColumns(out)

@@ -7,8 +7,9 @@ shuffle by ticker and one sort. All values are lagged one row by default (no loo
 Conventions where the literature varies: exponential means start at the first value and
 are shown from row ``n``; RSI averages 14 simple changes (``rsi_method="wilder"`` smooths
 with 1/14 instead); ATR is Wilder-smoothed. NaN and infinite prices count as NULL. Windows
-holding a NULL give NULL; exponential means carry the last close over a NULL. Means and deviations come from sliding frames, which hold only their
-own rows: one extreme value is forgotten as soon as it leaves the window.
+holding a NULL give NULL; exponential means carry the last close over a NULL. Means and
+deviations merge the windows of earlier rows (``moments``), which hold only their own rows: one
+extreme value is forgotten as soon as it leaves the window.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import finite
-from tickerloom.functions.windows import rolling_mean, rolling_std, running
+from tickerloom.functions.windows import running
+from tickerloom.operators.moments import Rolling, with_moments
 from tickerloom.operators.recurrence import Decay, Series
 
 # Column names and their row counts.
@@ -96,6 +98,23 @@ def _strength(up: Column, down: Column) -> Column:
     )
 
 
+def _rolling(families: set[str], rsi_method: str) -> dict[str, Rolling]:
+    """The rolling windows that the families need, by the series they run over."""
+    close = tuple(MA_WINDOWS)
+    out = {}
+    if families & {"std", "bands"}:
+        out["close"] = Rolling("_close", "close_Price", close, "spread")
+    elif "sma" in families:
+        out["close"] = Rolling("_close", "close_Price", close)
+    if "volume" in families:
+        out["volume"] = Rolling("_volume", "trade_Volume", (VOLUME_ROWS,))
+    if "rsi" in families and rsi_method == "mean":
+        out |= {side: Rolling(f"_mean{side}", side, (RSI_ROWS,)) for side in ("_up", "_down")}
+    if "volatility" in families:
+        out["return"] = Rolling("_return", "_ret", tuple(VOLATILITY_WINDOWS.values()), "spread")
+    return out
+
+
 def indicators(
     bars: DataFrame,
     families=FAMILIES,
@@ -136,34 +155,38 @@ def indicators(
     df, w = blocked.df, blocked.window
     keep = list(bars.columns)
 
-    # stage 1: neighbours of the row, running values of stored columns
+    # stage 1: neighbours of the row, then windows while rows are still narrow
     first = {"_prev": F.lag(c).over(w)}
     if families & {"ema", "macd"}:
         first["_filled"] = F.last(c, ignorenulls=True).over(running(w))
-    if "returns" in families:
-        first |= {k: F.try_divide(c, F.lag(c, n).over(w)) - F.lit(1.0) for k, n in RETURN_PERIODS.items()}
     if "momentum" in families:
         first["_prev2"] = F.lag(c, 2).over(w)
-    if "vwap" in families:
-        volume = F.sum(F.col("trade_Volume").cast("double")).over(running(w))
-        first["vwap"] = F.try_divide(F.sum(c * F.col("trade_Volume")).over(running(w)), volume)
+    df = df.withColumns(first)
+    df = df.withColumns(_steps(c, F.col("_prev")))
+    rolling = _rolling(families, rsi_method)
+    df = with_moments(df, w, list(rolling.values()))
+    means: dict[str, Column] = {}
     if families & {"std", "bands"}:
-        first |= {f"std_Div_{n}": rolling_std(c, n, w) for n in MA_WINDOWS}
+        means |= {f"std_Div_{n}": rolling["close"].std(n) for n in MA_WINDOWS}
     if "sma" in families:
-        first |= {f"sma_{n}": rolling_mean(c, n, w) for n in MA_WINDOWS}
+        means |= {f"sma_{n}": rolling["close"].mean(n) for n in MA_WINDOWS}
     if "volume" in families:
-        first["volume_sma_20"] = rolling_mean(F.col("trade_Volume").cast("double"), VOLUME_ROWS, w)
-    df = df.withColumns(first)
-    df = df.withColumns(_steps(c, F.col("_prev")))
-
-    # stage 2: rolling values of the steps, block-local sums
-    second = blocked.local_sums(decays)
+        means["volume_sma_20"] = rolling["volume"].mean(VOLUME_ROWS)
     if "rsi" in families and rsi_method == "mean":
-        second |= {f"_rsi{s}": rolling_mean(s, RSI_ROWS, w) for s in ("_up", "_down")}
+        means |= {f"_rsi{s}": rolling[s].mean(RSI_ROWS) for s in ("_up", "_down")}
     if "volatility" in families:
         for name, n in VOLATILITY_WINDOWS.items():
-            value = rolling_std("_ret", n, w)
-            second[name] = F.when(~index_flag, value) if index_flag is not None else value
+            value = rolling["return"].std(n)
+            means[name] = F.when(~index_flag, value) if index_flag is not None else value
+    df = df.withColumns(means) if means else df
+
+    # stage 2: running values, block-local sums
+    second = blocked.local_sums(decays)
+    if "returns" in families:
+        second |= {k: F.try_divide(c, F.lag(c, n).over(w)) - F.lit(1.0) for k, n in RETURN_PERIODS.items()}
+    if "vwap" in families:
+        volume = F.sum(F.col("trade_Volume").cast("double")).over(running(w))
+        second["vwap"] = F.try_divide(F.sum(c * F.col("trade_Volume")).over(running(w)), volume)
     if "obv" in families:
         second["obv"] = F.sum("_flow").over(running(w))
     if "momentum" in families:

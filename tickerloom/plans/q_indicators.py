@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.operators import indicator_state
 from tickerloom.operators import indicators as ind
 from tickerloom.operators.recurrence import Decay, exponential_means
 from tickerloom.plans.domain_sql import register
 from tickerloom.plans.registry import query
+from tickerloom.session import materialised
 
 KEYS = ("date", "ticker")
 _W = "(PARTITION BY ticker ORDER BY date)"
@@ -239,6 +241,42 @@ def _(d):
     )
 
 
+def _fresh_and_state(d):
+    """The bars of the last 60 days, and the stored state of all before them."""
+    cut = F.date_sub(d.last_bar_date, 60)
+    state = d.stored("indicator_state", lambda: indicator_state.initial_state(d.bars.where(F.col("date") < cut)))
+    return d.bars.where(F.col("date") >= cut), state
+
+
+@query("T20_state_advance", """
+SELECT * FROM suite
+WHERE date >= (SELECT as_of FROM as_of) - 60""", f"{OHLC} {' '.join(_ALL)}")
+def _(d):
+    fresh, state = _fresh_and_state(d)
+    return indicator_state.new_rows(indicator_state.advance(state, fresh))
+
+
+@query("T20_state_batches", """
+SELECT ticker, max(date) AS version, count(*) AS n, arg_max(close_Price, date) AS last_close,
+       min(date) FILTER (date >= (SELECT as_of FROM as_of) - 60) AS first_new,
+       count(*) FILTER (date >= (SELECT as_of FROM as_of) - 60) AS n_new, 0 AS n_replayed
+FROM bars GROUP BY ticker""", "last_close")
+def _(d):
+    """The state after the same days in two batches, the second of which comes twice."""
+    fresh, state = _fresh_and_state(d)
+    half = F.date_sub(d.last_bar_date, 30)
+    first = materialised(indicator_state.advance(state, fresh.where(F.col("date") < half)), "advanced")
+    state = materialised(indicator_state.next_state(state, first), "state")
+    second = materialised(indicator_state.advance(state, fresh), "advanced")
+    state = materialised(indicator_state.next_state(state, second), "state")
+    again = indicator_state.new_rows(indicator_state.advance(state, fresh)).groupBy("ticker").agg(F.count("*").alias("r"))
+    rows = indicator_state.new_rows(first).unionByName(indicator_state.new_rows(second)).groupBy("ticker").agg(
+        F.min("date").alias("first_new"), F.count("*").alias("n_new"))
+    return state.join(rows, "ticker", "left").join(again, "ticker", "left").select(
+        "ticker", "version", F.col("carry.n").alias("n"), F.element_at("closes", -1).alias("last_close"), "first_new",
+        F.coalesce("n_new", F.lit(0)).alias("n_new"), F.coalesce("r", F.lit(0)).alias("n_replayed"))
+
+
 @query("W11_exponential_mean", "SELECT date, ticker, ema_20, ema_200 FROM raw_ema", "ema_20 ema_200")
 def _(d):
     decays = {f"ema_{n}": Decay.span("close_Price", n) for n in (20, 200)}

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tickerloom.functions import scalar as sc
 from tickerloom.functions import windows as win
-from tickerloom.operators import joins, merges, tables
+from tickerloom.operators import joins, merges, moments, tables
 from tickerloom.operators.percentiles import exact_percentiles
 from tickerloom.plans.domain_sql import register
 from tickerloom.plans.registry import query
@@ -601,10 +601,19 @@ _per_bar("W02_date_gap", f"date - lag(date) OVER {_W} AS gap_days", "",
          gap_days=lambda: F.datediff("date", F.lag("date").over(win.series())))
 _per_bar("W03_pct_change", f"close_Price / nullif(lag(close_Price, 5) OVER {_W}, 0) - 1 AS r5", "r5",
          r5=lambda: win.pct_change("close_Price", 5))
-_per_bar("W05_rolling_mean", f"CASE WHEN count(close_Price) OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING) = 10 THEN avg(close_Price) OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING) END AS m10", "m10",
-         m10=lambda: win.rolling_mean("close_Price", 10))
-_per_bar("W06_rolling_std", f"CASE WHEN count(close_Price) OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING) = 10 THEN stddev_samp(close_Price) OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING) END AS s10", "s10",
-         s10=lambda: win.rolling_std("close_Price", 10))
+_TEN = "OVER (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING)"
+
+
+@query("W05_rolling_mean", f"SELECT date, ticker, CASE WHEN count(close_Price) {_TEN} = 10 THEN avg(close_Price) {_TEN} END AS m10 FROM bars_dirty", "m10")
+def _(d):
+    return moments.rolling_means(d.bars_dirty.select("date", "ticker", "close_Price"), "close_Price", {"m10": 10}).drop("close_Price")
+
+
+@query("W06_rolling_std", f"SELECT date, ticker, CASE WHEN count(close_Price) {_TEN} = 10 THEN stddev_samp(close_Price) {_TEN} END AS s10 FROM bars_dirty", "s10")
+def _(d):
+    return moments.rolling_stds(d.bars_dirty.select("date", "ticker", "close_Price"), "close_Price", {"s10": 10}).drop("close_Price")
+
+
 _per_bar("W10_cumulative_sum", f"sum(trade_Volume) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS total", "",
          total=lambda: F.sum("trade_Volume").over(win.running()))
 _per_bar("W15_forward_fill", f"last_value(close_Price IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS filled", "filled",
@@ -643,13 +652,9 @@ SELECT b.date, b.ticker, covar_samp(b.close_Price, b.trade_Volume) OVER w AS cov
 FROM bars b WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date) >= 20""", "cov corr var")
 def _(d):
-    w = win.trailing(20)
-    c, v = F.col("close_Price"), F.col("trade_Volume").cast("double")
-    return (
-        d.bars.select("date", "ticker", F.covar_samp(c, v).over(w).alias("cov"), win.rolling_corr(c, v, 20).alias("corr"),
-                      F.var_samp(c).over(w).alias("var"), F.row_number().over(win.series()).alias("_rn"))
-        .where("_rn >= 20").drop("_rn")
-    )
+    bars = d.bars.select("date", "ticker", "close_Price", "trade_Volume")
+    rows = moments.rolling_pairs(bars, "close_Price", "trade_Volume", 20)
+    return rows.where("var IS NOT NULL").drop("close_Price", "trade_Volume")
 
 
 @query("W12_latest_row", "SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1", OHLC)

@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no look at the Python stack for every column expression; wide plans have thousands
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
