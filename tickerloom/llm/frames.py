@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from tickerloom.session import materialised
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 __all__ = [
-    "byte_slices", "docs_of", "fold", "ids_and_texts", "materialised", "sub_batches", "texts_of",
+    "byte_slices", "docs_of", "fold", "ids_and_texts", "materialised", "release", "sub_batches", "texts_of",
 ]
 
 
@@ -49,7 +50,16 @@ def sub_batches(
                 start, held = i, 0
             held += size
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # workers live on; what this task held need not
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back; workers live on, what a task has held need not."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def byte_slices(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

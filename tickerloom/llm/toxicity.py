@@ -371,7 +371,11 @@ def without_toxic(
     id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
     most: tuple[int, int] = (MOST_CLEAN, MOST_TOXIC),
 ) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; columns stay."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; columns stay.
+
+    Nulls, repeated rows, ties and empty tables as for :func:`toxicity`; a null or empty text
+    stays unless texts without features are rejected. Columns may have any names.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = train(labelled_sample(rows, labels, folds, held_out, most))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -379,7 +383,7 @@ def without_toxic(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
-        for batch in batches:
+        for batch in sub_batches(batches, column=f"_c{at}"):
             stay = [score(t) < threshold for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
