@@ -35,8 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in the sequences."""
-    return packing.pack(docs)
+    """Token pieces with their places in the sequences; workers have served other stages before."""
+    return packing.pack(docs, kept_words=100_000)
 
 
 STAGES = [
