@@ -259,13 +259,15 @@ def dominates(one: list[int], other: list[int]) -> bool:
 
 
 def completions(
-    lengths: list[int], left: dict[int, int], room: int, waste: int, nodes: int, most: int | None = None
+    lengths: list[int], left: dict[int, int], room: int, waste: int, nodes: int, most: int | None = None,
+    spent: list[int] | None = None,
 ) -> list[list[int]]:
     """Undominated fillings of ``room`` of waste below ``waste``, least waste first, ``most`` of them.
 
     A filling is dominated if its lengths fit into those of another found one, one or several
     into each, or if a length outside fits in its waste: such fillings never beat the one that
-    dominates them. At most ``nodes`` steps are made, with 24 lengths in each.
+    dominates them. At most ``nodes`` steps are made, with 24 lengths in each; ``spent`` (one
+    number) is raised by those made.
     """
     found: list[tuple[int, list[int]]] = []
     budget = [nodes]
@@ -296,6 +298,8 @@ def completions(
             at -= 1
 
     extend(len(lengths) - 1, room, [])
+    if spent is not None:
+        spent[0] += nodes - budget[0]
     kept: list[tuple[int, list[int]]] = []
     for spare, chosen in sorted(found, key=lambda x: (x[0], len(x[1]), [-n for n in x[1]])):
         at = bisect_right(lengths, spare) - 1
@@ -336,13 +340,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
 
 def bin_completion(
     counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, branches: int = 3,
-    searches: int = 200,
+    searches: int = 200, effort: int = 100_000,
 ) -> list[tuple[Pattern, int]]:
     """Patterns with multiplicities that hold every piece in as few bins as the search finds.
 
     ``counts`` maps lengths (1..capacity) to numbers of pieces. ``nodes`` bounds a single
-    enumeration and ``searches`` the completions tried after the first descent; when they run
-    out, the incumbent (never worse than best fit) is returned.
+    enumeration, ``searches`` the completions tried after the first descent and ``effort`` the steps
+    of all enumerations together (a bin costs one more for each 50 lengths left), which are what
+    takes time. When the effort is used up, what is left is filled by best fit, and the
+    incumbent (never worse than best fit) is returned.
     """
     bound = lower_bound(counts, capacity)
     incumbent = best_fit(counts, capacity)
@@ -351,6 +357,7 @@ def bin_completion(
         return incumbent
     spare_most = fewest * capacity - sum(n * c for n, c in counts.items())
     budget = [searches]
+    spent = [0]
 
     def descend(left: dict[int, int], bins: int, spare: int, done: list) -> None:
         nonlocal incumbent, fewest, spare_most
@@ -359,10 +366,16 @@ def bin_completion(
             # every finished bin's waste counts; beyond the incumbent's less one bin it is lost
             if spare > spare_most - capacity:
                 return
+            if spent[0] >= effort:
+                rest = best_fit(left, capacity)
+                bins += sum(m for _, m in rest)
+                done += rest
+                break
             lengths = sorted(left)
             top = lengths[-1]
             left[top] -= 1
-            options = completions(lengths, left, capacity - top, capacity - top + 1, nodes, branches) or [[]]
+            options = completions(lengths, left, capacity - top, capacity - top + 1, nodes, branches, spent) or [[]]
+            spent[0] += 1 + len(lengths) // 50
             left[top] += 1
             for other in options[1:branches]:
                 if budget[0] <= 0 or fewest <= bound:
@@ -373,6 +386,8 @@ def bin_completion(
                 times = _apply(trial, pattern)
                 descend(trial, bins + times, spare + times * (capacity - sum(pattern)),
                         [*done, (tuple(pattern), times)])
+                if spent[0] >= effort:
+                    return  # the branch below has been completed; there is none left for this one
             pattern = [top, *options[0]]
             times = _apply(left, pattern)
             bins += times
