@@ -21,7 +21,7 @@ HEADLINE = (
     "J05_as_of_backward", "A07_percentiles", "K03_ranked_top", "K06_portfolio_performance",
     "R03_yearly_bands", "E03_horizon_metrics", "Q08_price_spikes", "S10_replace_range",
     "W12_latest_row", "M02_chronological_split", "M03_minmax_scaled", "M05_k_best_signed", "V06_ratio_refresh",
-    "Q15_severity_counts", "T16_beta_table",
+    "Q15_severity_counts", "T16_beta_table", "T20_state_advance",
 )
 
 
