@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from tickerloom.llm import language_id, pseudo_likelihood, toxicity
+from tickerloom.llm import language_id, pseudo_likelihood, sampling, toxicity
 
 SYLLABLES = {"en": ["the", "ing", "er", "and", "tion"], "de": ["der", "sch", "ung", "ein", "ü"], "fr": ["le", "eau", "oi", "é", "que"]}
 
@@ -29,6 +29,34 @@ def test_language_of_held_out_documents(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_languages_with_long_texts_only_are_learnt(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "de", 20), "de") for i in range(40)]
+    rows += [(100 + i, (text(rng, "fr", 300) + " ") * 40, "fr") for i in range(40)]
+    assert min(len(t) for i, t, _ in rows if i >= 100) > language_id.LONGEST
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (rows, rows[40:]):
+        ids = {i for i, *_ in some}
+        got = language_id.identify(docs.where(docs.doc_id.isin(*ids))).collect()
+        assert {(r.lang_pred, r.doc_id >= 100) for r in got} == {(lang, i >= 100) for i, _, lang in some}
+
+
+def test_letters_of_every_plane():
+    for letter in ("a", "\u00e9", "\U00020000", "\U00032010"):
+        assert len(language_id.grams_of(letter))
+    assert not len(language_id.grams_of("12 \U000E0041 \U000F0000"))
+
+
+def test_sample_takes_short_texts_first_and_some_of_every_label(spark):
+    rows = [("a", "x" * n) for n in (3, 5, 9, 12, 20)] * 2 + [("b", "y" * 400), ("b", "y" * 500), ("c", None), (None, "z")]
+    docs = spark.createDataFrame(rows, "k string, text string")
+    taken = lambda most, room: sorted(
+        (r.k, len(r.text)) for r in sampling.sample_per_label(docs, "k", most, 10, room).collect()
+    )
+    assert taken(3, 1000) == [("a", 3), ("a", 5), ("a", 9), ("b", 400), ("b", 500)]
+    assert taken(9, 35) == [("a", 3), ("a", 5), ("a", 9), ("a", 12), ("b", 400)]
+
+
 def test_temperature_lowers_the_log_loss():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 3, 500)
@@ -160,3 +188,14 @@ def test_every_token_of_short_texts_is_a_training_target(spark):
     context = np.array([[edge, edge, down, edge], [edge, up, edge, edge], [edge, edge, edge, edge]])
     label = lexicon.classes[[up, down, lexicon.number["left"]]]
     assert all(net.log_class(context, label) > start.log_class(context, label) + 0.1)
+
+
+def test_toxicity_learns_from_long_texts_only(spark):
+    rows, labels = toxic_rows(random.Random(6), 240)
+    plain = text(random.Random(7), "en", 400)
+    long = [(i, f"{t} " + (plain + " ") * 40) for i, t in rows]
+    assert min(len(t) for _, t in long) > toxicity.LONGEST
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(long, "doc_id long, text string"), marks).collect()
+    true = dict(labels)
+    assert sum(r.predicted == true[r.doc_id] for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)

@@ -32,11 +32,10 @@ def letter_table() -> np.ndarray:
     """Code point -> lower-case letter, or a blank for whatever is no letter."""
     if not _letters:
         table = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x40000):  # no plane above the third holds letters
             if chr(c).isalpha():
                 low = chr(c).lower()
                 table[c] = ord(low[0])
-        table[0x30000:0x32000] = np.arange(0x30000, 0x32000)
         _letters.append(table)
     return _letters[0]
 
@@ -175,7 +174,7 @@ def train(
 ) -> LanguageModel:
     """Fits on columns text and lang; rows without either are not used.
 
-    ``most`` texts of each language (of at most ``longest`` characters) train the weights;
+    ``most`` texts of each language (those over ``longest`` characters last) train the weights;
     document frequencies come from all rows. Every fifth sampled text calibrates.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())

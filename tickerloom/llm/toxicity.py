@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.frames import sub_batches, texts_of
-from tickerloom.llm.sampling import fold_of
+from tickerloom.llm.sampling import fold_of, ranked_sample
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
 LONGEST = 50_000
@@ -333,17 +333,20 @@ def labelled_sample(
     """text, toxic of at most ``most[label]`` distinct texts of each label outside the held-out fold.
 
     Only keys and hashes meet the labels; the chosen keys are a broadcast of bounded size that
-    fetches the texts, so no text is shuffled but those of the sample.
+    fetches the texts, so no text is shuffled but those of the sample. Texts over ``longest``
+    characters come last, the shortest first (``sampling.ranked_sample``).
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(F.col("text").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    rows = rows.where(F.char_length("text") <= longest).withColumn("_h", F.xxhash64("text"))
-    hashes = rows.select("doc_id", "_h").join(known, "doc_id").groupBy("toxic", "_h").agg(F.min("doc_id").alias("doc_id"))
-    order = Window.partitionBy("toxic").orderBy("_h")
+    rows = rows.withColumns({"_h": F.xxhash64("text"), "_n": F.char_length("text")})
+    hashes = rows.select("doc_id", "_h", "_n").join(known, "doc_id").groupBy("toxic", "_h").agg(
+        F.min("doc_id").alias("doc_id"), F.max("_n").alias("_n")
+    )
     limit = F.when(F.col("toxic") == 1, most[1]).otherwise(most[0])
-    chosen = hashes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= max(most)).where(F.col("_r") <= limit)
-    found = rows.join(F.broadcast(chosen.drop("_r")), ["doc_id", "_h"])
+    chosen = ranked_sample(hashes, "toxic", limit, longest)
+    rows = rows.drop("_n")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "_h"])
     return found.groupBy("toxic", "_h").agg(F.first("text").alias("text")).select("text", "toxic")
 
 
