@@ -58,3 +58,12 @@ def test_trusted_context_finds_unseen_identifiers(spark):
     assert rows[30].spans == "card:22:38" and rows[30].n_card == 0
     assert rows[31].spans == "" and all(rows[i].spans == "" for i in range(32, len(texts)))
     assert all(rows[i].spans == "card:22:38" for i in range(30))
+
+
+def test_many_matches_in_one_text(spark):
+    log = " ".join(f"10.{i % 256}.{i // 256 % 256}.{i % 7} a{i}@b.c" for i in range(4000))
+    docs = spark.createDataFrame([(1, log)], "doc_id long, text string")
+    row = personal_data(docs).collect()[0]
+    want = base(log)
+    assert (row.n_email, row.n_ip) == (4000, 4000)
+    assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()

@@ -48,6 +48,7 @@ LOOSE_HINT = {
     "phone": lambda t: t.rlike(r"[0-9)][ .-]?[0-9]{3,4}[ .-][0-9]{3}"),
 }
 CONTEXT = 48
+RUN = 256
 CONFIDENCE = 0.9
 SUPPORT = 5
 ROUNDS = 3
@@ -64,18 +65,24 @@ def _parts(text: Column, kind: str, patterns: dict, hints: dict) -> tuple[Column
 
 def _located(found: str, around: str) -> Column:
     """structs (at, to, value, left) of the matches; positions in code points, end exclusive."""
+    kind = "array<struct<at:int,to:int,value:string,left:string>>"
+    # a list is appended to within runs of RUN matches only, and the runs are joined at the end
+    run = f"""aggregate(
+        sequence(r * {RUN}, least(size({found}), (r + 1) * {RUN}) - 1),
+        named_struct('at', acc.at, 'out', CAST(array() AS {kind})),
+        (s, i) -> named_struct(
+          'at', s.at + char_length({around}[i]) + char_length({found}[i]),
+          'out', concat(s.out, array(named_struct(
+            'at', s.at + char_length({around}[i]),
+            'to', s.at + char_length({around}[i]) + char_length({found}[i]),
+            'value', {found}[i], 'left', right({around}[i], {CONTEXT}))))))"""
     return F.expr(f"""
       CASE WHEN size({found}) = 0 THEN array() ELSE aggregate(
-        sequence(0, size({found}) - 1),
-        named_struct('at', 0, 'out', CAST(array() AS
-          array<struct<at:int,to:int,value:string,left:string>>)),
-        (acc, i) -> named_struct(
-          'at', acc.at + char_length({around}[i]) + char_length({found}[i]),
-          'out', concat(acc.out, array(named_struct(
-            'at', acc.at + char_length({around}[i]),
-            'to', acc.at + char_length({around}[i]) + char_length({found}[i]),
-            'value', {found}[i], 'left', right({around}[i], {CONTEXT}))))),
-        acc -> acc.out) END""").cast("array<struct<at:int,to:int,value:string,left:string>>")
+        sequence(0, CAST((size({found}) - 1) / {RUN} AS INT)),
+        named_struct('at', 0, 'out', CAST(array() AS array<{kind}>)),
+        (acc, r) -> transform(array({run}),
+          x -> named_struct('at', x.at, 'out', concat(acc.out, array(x.out))))[0],
+        acc -> flatten(acc.out)) END""").cast(kind)
 
 
 _DIGITS = "regexp_replace(x.value, '[^0-9]', '')"
