@@ -43,3 +43,12 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], ROWS)
     assert duplicate_groups(docs).count() == 0
     assert exact_dedup(docs).count() == 0
+
+
+def test_filter_with_clashing_names(spark):
+    rows = [(1, "a", 10, 11, 12, 13), (2, "A", 20, 21, 22, 23), (2, "b", 30, 31, 32, 33), (2, "b", 30, 31, 32, 33)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha long, _drop long, _twice long, _keep long")
+    kept = exact_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[1], rows[2]]
+    assert sorted(map(tuple, exact_dedup(docs.where("_sha < 30")).collect())) == [rows[1]]

@@ -85,16 +85,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that repeat one doc_id with one text, a single row stays; of rows that share a
     doc_id but not the text, each stays or goes with its own group. Null doc_ids are compared
-    null-safely.
+    null-safely. Columns may have any names.
     """
+    names = docs.columns
     groups = materialised(duplicate_groups(docs, id_col, text_col), "dedup-groups")
+    docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    id_col, text_col = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     same = F.col(id_col).eqNullSafe
     dropped = groups.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
     twice = materialised(twice.select(F.col("doc_id").alias("_twice")), "dedup-twice")
     unique = docs.join(dropped, same(F.col("_drop")), "left_anti")
     if twice.isEmpty():
-        return unique
+        return unique.toDF(*names)
     # rows that repeat a doc_id are settled by their texts
     unique = unique.join(twice, same(F.col("_twice")), "left_anti")
     again = docs.join(twice, same(F.col("_twice")), "left_semi").withColumn(
@@ -108,4 +111,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("_sha").agg(F.max("doc_id").alias("_keep"))
     )
     again = again.join(keep, "_sha").where(same(F.col("_keep"))).dropDuplicates(["_sha"])
-    return unique.unionByName(again.select(*docs.columns))
+    return unique.unionByName(again.select(*docs.columns)).toDF(*names)
