@@ -98,3 +98,23 @@ def test_texts_of_null_keys_link_others(spark):
         (48, 1, False), (54, 1, False), (60, 1, True)
     ]
     assert [(r.component_id, r.kept) for r in got if r.n_shingles < 48] == [(None, True)] * 2
+
+
+def test_group_around_the_threshold_equals_brute_force(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    docs = []
+    for i in range(160):  # similarities of pairs lie between 0.7 and 0.95
+        own = base[:]
+        for at in rng.sample(range(200), rng.randint(8, 20)):
+            own[at] = f"v{rng.randrange(40)}"
+        docs.append((i, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = minhash.near_duplicates(frame, 1).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == brute(docs, 1)
+
+
+def test_filter_with_clashing_names(spark):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, text, 1, 2), (7, text + " za", 3, 4)], "doc_id long, text string, _gone long, key long")
+    assert [tuple(r) for r in minhash.near_dedup(docs, 2).collect()] == [(5, text, 1, 2)]

@@ -10,7 +10,7 @@ bucket first links its members to its most central class, the one whose buckets
 confirmed links are contracted to components. In two more rounds what still lies outside a
 bucket's largest component is held against one of its members, another one in each bucket.
 Only classes of one bucket that are in different components after that are paired with each
-other: all pairs that sizes and signatures do not rule out. So no link is lost, and a group of
+other: all pairs that sizes and signatures do not rule out, each of them once. So no link is lost, and a group of
 many copies costs a multiple of its size.
 """
 
@@ -286,14 +286,17 @@ def near_duplicates(
             ).distinct()
             pairs = _promising(pairs, wanted, similar)
         else:
-            placed = placed.join(wanted.select("vid", "n_shingles", "sketch"), "vid")
-            one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"),
+            own = placed.groupBy("vid").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+            own = own.join(wanted.select("vid", "n_shingles", "sketch"), "vid")
+            placed = placed.join(own, "vid")
+            one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("keys").alias("ka"),
                                 F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-            two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"),
+            two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"), F.col("keys").alias("kb"),
                                 F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-            # only what the components leave open, from each open pair of one bucket
-            pairs = one.join(two, "key").where((F.col("ca") < F.col("cb")) & _not_ruled_out(similar))
-            pairs = pairs.select("a", "b").distinct()
+            # only what the components leave open, each pair from the least bucket that both share
+            leads = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+            open_pair = (F.col("ca") < F.col("cb")) & _not_ruled_out(similar) & leads
+            pairs = one.join(two, "key").where(open_pair).select("a", "b")
         pairs = materialised(pairs, "mh-pairs")
         found = materialised(_confirmed(pairs, sets, similar), "mh-links")
         if labels is not None and found.isEmpty():
@@ -321,7 +324,10 @@ def near_dedup(
 
     Rows without words and rows with a null doc_id stay unless a group names another row; of
     rows that repeat the kept doc_id with one text, all stay (exact dedup comes before).
+    Columns may have any names.
     """
     found = near_duplicates(docs, shingle, similar, id_col, text_col)
     gone = materialised(found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "mh-gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    own = F.col(f"_c{docs.columns.index(id_col)}")
+    return plain.join(gone, own == F.col("_gone"), "left_anti").toDF(*docs.columns)
