@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tickerloom.functions.windows import pct_change
 from tickerloom.operators import indicators as ind
 from tickerloom.operators import joins, ml, tables
-from tickerloom.plans.domain_sql import register
+from tickerloom.operators import ticker_models as tm
+from tickerloom.plans.domain_sql import CTES, register
 from tickerloom.plans.q_quality import split_returns
-from tickerloom.plans.registry import query
+from tickerloom.plans.registry import CASES, query
+from tickerloom.session import materialised
 
 FEATURES = ["sma_5", "sma_20", "volatility_5d", "volatility_20d", "momentum", "volume_ratio"]
 _F = ", ".join(FEATURES)
@@ -198,6 +202,97 @@ SELECT ticker, sum(u * mean) / sum(u) AS ensemble_mean, sqrt(sum(u * u * std * s
 FROM (SELECT m.*, {_u} AS u FROM members m LEFT JOIN model_weights w ON m.ticker = w.ticker AND m.model = w.model) GROUP BY 1""", "ensemble_mean ensemble_std")(
         lambda d, how=_how: ml.combine(members(d), how, ml.ensemble_weights(ml.split_metrics(outputs(d))) if how == "custom" else None))
 
+# ---- one model per ticker; stored predictions as inputs of M12-M15 ---------------------------
+RIDGES = {"trend": ("sma_5", "sma_20"), "risk": ("volatility_5d", "volatility_20d"), "flow": ("momentum", "volume_ratio")}
+
+
+def _ridge_sql(model: str, a: str, b: str) -> str:
+    """Closed form for two features: of both strengths the one with the least validation error."""
+    fitted = f"""
+SELECT ticker, n, strength, my - wa * ma - wb * mb AS intercept, wa, wb FROM (
+  SELECT *, ((1 + strength) * ra - r * rb) / ((1 + strength) * (1 + strength) - r * r) / sa AS wa,
+            ((1 + strength) * rb - r * ra) / ((1 + strength) * (1 + strength) - r * r) / sb AS wb
+  FROM (SELECT *, cab / (sa * sb) AS r, cay / sa AS ra, cby / sb AS rb
+        FROM (SELECT ticker, count(*) AS n, avg(y) AS my, avg({a}) AS ma, avg({b}) AS mb,
+                     CASE WHEN stddev_pop({a}) = 0 THEN 1e0 ELSE stddev_pop({a}) END AS sa,
+                     CASE WHEN stddev_pop({b}) = 0 THEN 1e0 ELSE stddev_pop({b}) END AS sb,
+                     covar_pop({a}, {b}) AS cab, covar_pop({a}, y) AS cay, covar_pop({b}, y) AS cby
+              FROM dataset WHERE split = 'train' GROUP BY 1)), (VALUES (0.01e0), (0.1e0)) AS v(strength))"""
+    return f"""
+SELECT '{model}' AS model, f.ticker, any_value(n) AS n, strength, any_value(intercept) AS intercept, any_value(wa) AS wa, any_value(wb) AS wb
+FROM ({fitted}) f LEFT JOIN (SELECT * FROM dataset WHERE split = 'val') v ON f.ticker = v.ticker
+GROUP BY f.ticker, strength
+QUALIFY row_number() OVER (PARTITION BY f.ticker ORDER BY avg((y - intercept - wa * {a} - wb * {b}) * (y - intercept - wa * {a} - wb * {b})) NULLS LAST, strength) = 1"""
+
+
+register("ridge_models", " UNION ALL ".join(f"SELECT * FROM ({_ridge_sql(m, a, b)})" for m, (a, b) in RIDGES.items()))
+register("ridge_outputs", " UNION ALL ".join(f"""
+SELECT d.date, d.ticker, d.split, d.y, m.model, intercept + wa * {a} + wb * {b} AS p
+FROM dataset d JOIN ridge_models m ON d.ticker = m.ticker AND m.model = '{m}' WHERE d.split <> 'predict'""" for m, (a, b) in RIDGES.items()))
+
+
+def ridge_outputs(d):
+    rows = materialised(dataset(d), "model-dataset")
+    parts = [tm.ticker_predictions(tm.ticker_ridge(rows, f), rows.where("split <> 'predict'"), f, m) for m, f in RIDGES.items()]
+    return materialised(parts[0].unionByName(parts[1]).unionByName(parts[2]), "model-outputs")
+
+
+@query("M11_ticker_ridge_models", "SELECT * FROM ridge_models", "strength intercept wa wb")
+def _(d):
+    rows = materialised(dataset(d), "model-dataset")
+    found = [tm.ticker_ridge(rows, f).select(F.lit(m).alias("model"), "*") for m, f in RIDGES.items()]
+    found = found[0].unionByName(found[1]).unionByName(found[2])
+    return found.select("model", "ticker", "n", "strength", "intercept",
+                        F.col("coefficients")[0].alias("wa"), F.col("coefficients")[1].alias("wb"))
+
+
+@query("M11_ticker_ridge_optimal", "SELECT ticker, count(*) AS n, 0e0 AS gap FROM dataset WHERE split = 'train' GROUP BY 1", "gap")
+def _(d):
+    """The model of all features is optimal: the gradient of its loss is 0 for every feature."""
+    rows = materialised(dataset(d), "model-dataset")
+    models = tm.ticker_ridge(rows, FEATURES)
+    train = rows.where(_TRAIN())
+    fitted = tm.ticker_predictions(models, train, FEATURES, "ridge").select("date", "ticker", "p")
+    strong = models.select("ticker", "strength", "coefficients")
+    left = F.col("y") - F.col("p")
+    slopes = [
+        (F.covar_pop(c, left) / F.when(F.stddev_pop(c) == 0, F.lit(1.0)).otherwise(F.stddev_pop(c))
+         - F.first("strength") * F.first("coefficients")[i] * F.stddev_pop(c)) for i, c in enumerate(FEATURES)
+    ]
+    together = train.join(fitted, ["date", "ticker"]).join(strong, "ticker")
+    return together.groupBy("ticker").agg(F.count("*").alias("n"), F.greatest(*[F.abs(x) for x in slopes]).alias("gap"))
+
+
+def _on_ridges(name: str) -> str:
+    """The twin of a query of the fixed rules, over the predictions of the models."""
+    sql = CASES[name].sql
+    for table in ("outputs", "metrics", "model_weights", "members"):
+        sql = re.sub(rf"\b{table}\b", f"ridge_{table}", sql)
+    return sql
+
+
+for _table in ("metrics", "model_weights", "members"):
+    register(f"ridge_{_table}", re.sub(r"\b(outputs|metrics)\b", r"ridge_\1", CTES[_table]))
+
+
+def _ridge_members(p):
+    return p.where("split = 'test'").groupBy("ticker", "model").agg(
+        F.avg("p").alias("mean"), F.stddev_pop(F.col("y") - F.col("p")).alias("std"))
+
+
+_RIDGE_QUERIES = {
+    "M12_split_metrics": lambda p: ml.split_metrics(p),
+    "A13_regression_metrics": lambda p: ml.split_metrics(p, ["model", "split"]),
+    "M13_overfitting": lambda p: ml.overfitting(ml.split_metrics(p)),
+    "M14_ensemble_weights": lambda p: ml.ensemble_weights(ml.split_metrics(p)),
+    "M15_combine_equal": lambda p: ml.combine(_ridge_members(p), "equal"),
+    "M15_combine_uncertainty": lambda p: ml.combine(_ridge_members(p), "uncertainty"),
+    "M15_combine_custom": lambda p: ml.combine(_ridge_members(p), "custom", ml.ensemble_weights(ml.split_metrics(p))),
+}
+for _name, _fn in _RIDGE_QUERIES.items():
+    query(f"{_name}_of_models", _on_ridges(_name), " ".join(CASES[_name].doubles))(lambda d, fn=_fn: fn(ridge_outputs(d)))
+
+
 _DRAWS = "mean std min max percentile_5 percentile_25 median percentile_75 percentile_95"
 
 
