@@ -117,3 +117,24 @@ def test_daily_bars_and_newest_over_batches(spark):
     inc.run_available(stream(), inc.deduplicating_sink(path, ["ticker"], ["event_id"]), shared_folder(spark, "cp"))
     got = inc.newest_per_key(log_of(spark, path, schema), ["ticker"], ["event_id"])
     assert sorted(r["event_id"] for r in got.collect()) == [87, 88, 89]
+
+
+def test_state_of_first_deliveries_stays_bounded(spark):
+    import datetime as dt
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.TimestampType()), T.StructField("n", T.LongType())])
+    folder, path, checkpoint = (shared_folder(spark, x) for x in ("sent", "first", "cp"))
+    row = lambda i, n: (i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), n)
+    sizes = []
+    for batch in range(20):  # an hour each; again what came up to three hours before
+        new = [row(i, 0) for i in range(60 * batch, 60 * batch + 60)]
+        old = [row(i, 1) for i in range(max(0, 60 * batch - 180), 60 * batch, 7)]
+        none = [(None, row(0, 2)[1], 2), (-1, None, 2)]
+        spark.createDataFrame(new + new[::9] + old + none, schema).coalesce(1).write.mode("append").parquet(folder)
+        if batch in (6, 19):  # a restart between
+            stream = inc.stream_table(spark, folder, schema, files_per_batch=1)
+            query = inc.run_available(inc.first_deliveries(stream, ["k"], "t", "2 hours"), inc.log_sink(path), checkpoint)
+            sizes += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = sorted((r.k, r.n) for r in log_of(spark, path, schema).collect())
+    assert got == [(i, 0) for i in range(1200)]
+    assert len(sizes) >= 20 and max(sizes) <= 5 * 60

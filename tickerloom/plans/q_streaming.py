@@ -79,6 +79,27 @@ def _(d):
     return inc.newest_per_key(inc.read_log(d.spark, path, schema), keys, ["event_id"])
 
 
+@query("X02_first_deliveries", "SELECT event_id, user_id, event_type, value FROM events", "value")
+def _(d):
+    """Every fifth event is delivered again, in its own file and in the next one."""
+    path = shared_folder(d.spark, "first")
+    names = ["event_id", "user_id", "event_type", "value"]
+    e = d.raw("events").select(*names, F.col("ts").cast("timestamp").alias("ts"))
+    span = e.agg(F.min("ts"), F.max("ts")).first()
+    width = (span[1] - span[0]) / PARTS
+    part = sum((F.when(F.col("ts") >= F.lit(span[0] + width * k), 1).otherwise(0) for k in range(1, PARTS)), F.lit(0))
+    again = F.sequence(F.lit(0), F.when(F.col("event_id") % 5 == 0, 2).otherwise(0))
+    sent = e.withColumn("part", part).withColumn("_k", F.explode(again))
+    sent = sent.withColumn("part", F.least(F.col("part") + (F.col("_k") == 2).cast("int"), F.lit(PARTS - 1)))
+    schema = T.StructType([*e.schema.fields, T.StructField(inc.BATCH, T.LongType())])
+
+    def run(stream, checkpoint):
+        inc.run_available(inc.first_deliveries(stream, ["event_id"], "ts", "1 day"), inc.log_sink(path), checkpoint)
+
+    _in_parts(d, sent, F.col("part"), run, e.schema)
+    return inc.read_log(d.spark, path, schema).select(*names)
+
+
 @query("X03_upsert", "SELECT * FROM bars", OHLC)
 def _(d):
     """Bars out of order, every third one first in a wrong older version."""

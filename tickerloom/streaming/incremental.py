@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom.operators.joins import keep_latest
@@ -37,8 +38,8 @@ def stream_table(spark: SparkSession, folder: str, schema: T.StructType, pattern
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> None:
-    """Process everything new since the last run with this ``checkpoint``."""
+                  mode: str = "append") -> StreamingQuery:
+    """Process everything new since the last run with this ``checkpoint``; the ended query tells its progress."""
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -47,6 +48,7 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
         .start()
     )
     query.awaitTermination()
+    return query
 
 
 def log_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -120,6 +122,18 @@ def deduplicating_sink(path: str, keys, precedence: list[str]) -> Callable[[Data
     return dedupe
 
 
+def first_deliveries(stream: DataFrame, keys, event_time: str, lateness: str) -> DataFrame:
+    """Each key once, in the row that came first; deliveries of it that follow are dropped.
+
+    The state holds a key until the watermark is ``lateness`` past its event time, so its size
+    follows the rows of that span, not those of the stream. A repeat with the same event time
+    that comes later still is behind the watermark and dropped for that reason. Rows whose first
+    delivery is later than ``lateness``, and rows without an event time or key, are left out.
+    """
+    known = stream.na.drop(subset=[*keys, event_time])
+    return known.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(keys))
+
+
 def newest_per_key(log: DataFrame, keys, precedence: list[str]) -> DataFrame:
     return keep_latest(log, list(keys), [*[F.col(c) for c in precedence], F.col(BATCH)]).drop(BATCH)
 
