@@ -35,21 +35,24 @@ KEPT_WORDS = 400_000
 LONGEST_KEPT = 48
 #: Stands between chunks that are tokenized together; chunks that hold it go alone.
 BETWEEN = "~"
+#: Most words and about the most letters of one call.
 TOGETHER = 2000
+LETTERS = 50_000
 
 Pattern = tuple[int, ...]
 
 
 # ---------------------------------------------------------------- tokens
 
-MARKS = ",.;:!?"
+#: ASCII marks without the apostrophe, with which contractions begin.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def parted(chunk: str) -> tuple[str, str]:
-    """A chunk as its lower-cased word and a mark behind it, which together have the same ids.
+    """A chunk as its lower-cased word and the marks behind it, which together have the same ids.
 
     The tokenizer lower-cases and parts words from marks. Only what is Latin-1 is lower-cased
-    here, where Python's rules are the tokenizer's, and only a mark alone behind a letter is
+    here, where Python's rules are the tokenizer's, and only marks behind a letter are
     parted. Special strings are left to the tokenizer as they are.
     """
     try:
@@ -59,7 +62,8 @@ def parted(chunk: str) -> tuple[str, str]:
     if "<|" in chunk:
         return chunk, ""
     low = chunk.lower()
-    return (low[:-1], low[-1]) if low[-1:] in MARKS and low[-2:-1].isalpha() else (low, "")
+    word = low.rstrip(MARKS)
+    return (word, low[len(word):]) if word[-1:].isalpha() else (low, "")
 
 
 class WordIds(dict):
@@ -86,10 +90,10 @@ class WordIds(dict):
         # whether this vocabulary lower-cases and parts marks at all
         self.parts = all(
             np.array_equal(self._encode(a), self._encode(b))
-            for m in MARKS for a, b in ((f"AbÉ{m} Cd", f"abé {m} cd"), (f"Xy{m}", f"xy {m}"))
+            for m in [*MARKS, "!!", "***", ").", "$$$"]
+            for a, b in ((f"AbÉ{m} Cd", f"abé {m} cd"), (f"Xy{m}", f"xy {m}"))
         )
         self[""] = b""
-        self.update({m: self[m] for m in MARKS})
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -107,9 +111,13 @@ class WordIds(dict):
             ends.append(len(chunks))
         found = list(map(self.get, chunks))
         new = [i for i, ids in enumerate(found) if ids is None]
-        self._learn({w for w in map(chunks.__getitem__, new) if len(w) <= LONGEST_KEPT})
+        unknown = set(map(chunks.__getitem__, new))
+        long = {w for w in unknown if len(w) > LONGEST_KEPT}
+        self._learn(unknown - long)
+        passing = self._tokenize(long)
         for i in new:
-            found[i] = self[chunks[i]]
+            ids = self.get(chunks[i])
+            found[i] = passing[chunks[i]] if ids is None else ids
         for start, end in pairwise(ends):
             yield b"".join(found[start:end])
 
@@ -126,24 +134,34 @@ class WordIds(dict):
                     self[word] = aged[word]
                 else:
                     fresh.add(word)
+            if mark and mark not in self:
+                fresh.add(mark)
             if word != chunk:
                 made.append((chunk, word, mark))
-        self._tokenize(fresh)
+        self.update(self._tokenize(fresh))
         for chunk, word, mark in made:
             self[chunk] = self[word] + self[mark]
 
-    def _tokenize(self, words: set[str]) -> None:
+    def _tokenize(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word, many in one call; at most TOGETHER words or LETTERS letters a call."""
         alone = [w for w in words if self.mark is None or BETWEEN in w]
-        self.update({w: self[w] for w in alone})
+        out = {w: self[w] for w in alone}
         rest = list(words.difference(alone))
-        for k in range(0, len(rest), TOGETHER):
-            some = rest[k : k + TOGETHER]
+        k = 0
+        while k < len(rest):
+            end, letters = k, 0
+            while end < len(rest) and end - k < TOGETHER and (end == k or letters < LETTERS):
+                letters += len(rest[end])
+                end += 1
+            some = rest[k:end]
             ids = self._encode(f" {BETWEEN} ".join(some))
             ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
             data, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                self[w] = data[4 * start : 4 * end]
-                start = end + 1
+            for w, stop in zip(some, ends, strict=True):
+                out[w] = data[4 * start : 4 * stop]
+                start = stop + 1
+            k = end
+        return out
 
     def __missing__(self, chunk: str) -> bytes:
         return self._encode(chunk).tobytes()
