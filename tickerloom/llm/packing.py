@@ -66,6 +66,17 @@ def parted(chunk: str) -> tuple[str, str]:
     return (word, low[len(word):]) if word[-1:].isalpha() else (low, "")
 
 
+def _groups(words: list[str]) -> Iterator[list[str]]:
+    """Lists of at most TOGETHER words, which end with the word that makes LETTERS letters."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    k = 0
+    while k < len(words):
+        full = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + LETTERS))
+        end = min(full + 1, k + TOGETHER)
+        yield words[k:end]
+        k = end
+
+
 class WordIds(dict):
     """Bytes of the ids (little-endian, 32 bits) of blank-free chunks of text.
 
@@ -91,7 +102,7 @@ class WordIds(dict):
         self.parts = all(
             np.array_equal(self._encode(a), self._encode(b))
             for m in [*MARKS, "!!", "***", ").", "$$$"]
-            for a, b in ((f"AbÉ{m} Cd", f"abé {m} cd"), (f"Xy{m}", f"xy {m}"))
+            for a, b in ((f"AbÉ{m} Cd", f"abé {m} cd"), (f"Xy{m}", f"xy {m}"), (f"Xy{m}ßa", f"xy {m} ßa"))
         )
         self[""] = b""
 
@@ -122,7 +133,8 @@ class WordIds(dict):
             yield b"".join(found[start:end])
 
     def _learn(self, chunks: set[str]) -> None:
-        aged, made, fresh = self.aged, [], set()
+        aged, fresh = self.aged, set()
+        chunked, words, marks = [], [], []  # no tuples: many would call for garbage collections
         for chunk in chunks:
             ids = aged.get(chunk)
             if ids is not None:
@@ -137,30 +149,28 @@ class WordIds(dict):
             if mark and mark not in self:
                 fresh.add(mark)
             if word != chunk:
-                made.append((chunk, word, mark))
+                chunked.append(chunk)
+                words.append(word)
+                marks.append(mark)
         self.update(self._tokenize(fresh))
-        for chunk, word, mark in made:
-            self[chunk] = self[word] + self[mark]
+        for i, chunk in enumerate(chunked):
+            self[chunk] = self[words[i]] + self[marks[i]]
 
     def _tokenize(self, words: set[str]) -> dict[str, bytes]:
         """Ids of each word, many in one call; at most TOGETHER words or LETTERS letters a call."""
         alone = [w for w in words if self.mark is None or BETWEEN in w]
         out = {w: self[w] for w in alone}
-        rest = list(words.difference(alone))
-        k = 0
-        while k < len(rest):
-            end, letters = k, 0
-            while end < len(rest) and end - k < TOGETHER and (end == k or letters < LETTERS):
-                letters += len(rest[end])
-                end += 1
-            some = rest[k:end]
-            ids = self._encode(f" {BETWEEN} ".join(some))
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(some, ends, strict=True):
-                out[w] = data[4 * start : 4 * stop]
-                start = stop + 1
-            k = end
+        rest = words.difference(alone)
+        # between words of letters alone the mark needs no blanks around it
+        plain = list(filter(str.isalpha, rest))
+        for some, between in ((plain, BETWEEN), (list(rest.difference(plain)), f" {BETWEEN} ")):
+            for together in _groups(some):
+                ids = self._encode(between.join(together))
+                ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+                data, start = ids.tobytes(), 0
+                for w, end in zip(together, ends, strict=True):
+                    out[w] = data[4 * start : 4 * end]
+                    start = end + 1
         return out
 
     def __missing__(self, chunk: str) -> bytes:
