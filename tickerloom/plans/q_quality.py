@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators import indicators as ind
 from tickerloom.operators import joins, quality as dq, tables
+from tickerloom.operators.rule_pass import Rule, Source, findings, measure
 from tickerloom.operators import statements as st
 from tickerloom.plans import q_fundamentals as fu
 from tickerloom.plans.domain_sql import register
@@ -153,16 +156,108 @@ register("all_issues", " UNION ALL ".join(f"SELECT * FROM issues_{n}" for n in C
 
 
 def all_issues(d):
+    """The union of the single checks; each reads its tables anew."""
     return dq.union([build(d) for build in CHECKS.values()])
 
 
+def _nulls_of(columns: dict[str, str]) -> list[Rule]:
+    return [Rule(f"null_{c}", s, F.col(c), F.col(c) > 0) for c, s in columns.items()]
+
+
+def sources(d) -> list[Source]:
+    """The rules of Q01 to Q13 by the table that they read."""
+    n, rows = F.col("n"), F.count(F.lit(1))
+    prices = ("open_Price", "high_Price", "low_Price", "close_Price")
+    given = {c: F.col(f"given_{c}") for c in prices}  # as stored; the indicators replace what is not finite
+    bars = d.bars_dirty.withColumns({f"given_{c}": F.col(c) for c in prices}).withColumn("as_of", d.last_bar_date)
+    close, move = given["close_Price"], F.abs(F.col("given_close_Price") - F.col("_prev")) / F.col("_prev")
+    gap, volume = F.datediff("date", "_prev_date"), F.col("trade_Volume")
+    days = F.datediff("as_of", "last")
+    excess = {c: F.col(f"null_{c}") - F.least(F.lit(k), n) for c, k in dq.WARM_UP.items()}
+    income = {"revenue": "HIGH", "eps": "MEDIUM", "average_shares": "MEDIUM"}
+    balance = {"total_Assets": "HIGH", "book_Value_Per_Share": "MEDIUM"}
+    cash = {"free_Cash_Flow": "MEDIUM", "free_Cash_Flow_Per_Share": "MEDIUM"}
+    every = reduce(lambda a, b: a & b, [F.col(f"n_{r}") == n for r in RATIOS])
+    share = {r: F.col(f"n_{r}") * F.lit(100.0) / n for r in RATIOS}
+    by_quarter = Window.partitionBy("ticker").orderBy(Q)
+    kept = (_number() % 7 != 2) | (F.col("_r") <= 3)
+    quarters = st.ttm_tolerant(d.income_quarterly).withColumn("_r", F.row_number().over(by_quarter))
+    lost = F.count_if(kept & ((_number() % 7 == 4) | F.col("revenue_ttm").isNull()))
+    lost_more = F.greatest(F.lit(0), F.col("lost") - F.least(F.lit(3), F.col("kept")))
+    few = Rule("few_quarters", "MEDIUM", F.col("kept"), (F.col("kept") > 0) & (F.col("kept") < 4))
+    periods = F.size(F.collect_set(Q))  # quarters of a ticker: bounded by the calendar
+    listed = tables.split_by_membership(fu.stock_ratio_data(d), d.blacklist, "ticker", "_b")
+    followed = ~F.col("_b") | (F.col("date") < F.date_sub(d.last_bar_date, 90))
+    blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    return [
+        Source("info", "stock_info_data", d.stock_info, {"stocks": F.count_if(F.col("industry") != "Index")}, row_rules=[
+            Rule("missing_company_name", "LOW", F.lit(1.0), blank("company_Name")),
+            Rule("missing_industry", "LOW", F.lit(1.0), blank("industry"))]),
+        Source("bars", dq.PRICES, ind.indicators(bars, ["sma", "rsi"]), {
+            "n": rows, "last": F.max("date"), "as_of": F.max("as_of"), "low": F.min(close), "ohlc": sum(F.count_if(c.isNull()) for c in given.values()),
+            "inverted": F.count_if(given["high_Price"] < given["low_Price"]),
+            "silent": F.count_if(volume.isNull() | (volume == 0)) / rows,
+            **{f"null_{c}": dq.nulls(c) for c in dq.WARM_UP},
+        }, [
+            Rule("stale_price", "HIGH", days, days > dq.STALE_DAYS), Rule("few_rows", "MEDIUM", n, n < dq.MIN_ROWS),
+            Rule("close_not_positive", "CRITICAL", F.col("low"), F.col("low") <= 0),
+            Rule("null_ohlc", "HIGH", F.col("ohlc"), F.col("ohlc") > 0),
+            Rule("high_below_low", "CRITICAL", F.col("inverted"), F.col("inverted") > 0),
+            Rule("zero_volume", "MEDIUM", F.col("silent") * 100, F.col("silent") > dq.ZERO_VOLUME),
+            *[Rule(f"excess_null_{c}", "MEDIUM", x, x > dq.WARM_UP_SLACK) for c, x in excess.items()],
+        ], [
+            Rule("price_spike", "CRITICAL", move * 100, (F.col("_prev") > 0) & (move > dq.SPIKE)),
+            Rule("date_gap", "MEDIUM", gap, gap > dq.GAP_DAYS),
+        ], {"_prev": "given_close_Price", "_prev_date": "date"}, "date"),
+        Source("income", dq.INCOME, fu.income_metrics(d), {"n": rows, **{c: dq.nulls(c) for c in income}},
+               [*_nulls_of(income), Rule("few_records", "LOW", n, n < 3)]),
+        Source("balance", dq.BALANCE, fu.balance_metrics(d), {"n": rows, **{c: dq.nulls(c) for c in balance}}, _nulls_of(balance)),
+        Source("cash", dq.CASH, fu.cash_metrics(d), {"n": rows, **{c: dq.nulls(c) for c in cash}}, _nulls_of(cash)),
+        Source("all_ratios", dq.RATIO, fu.stored_ratio_ttm(d), {
+            "n": rows, "undated": dq.nulls("financial_date_used"), **{f"n_{r}": dq.nulls(r) for r in RATIOS},
+            **{f"lo_{r}": F.min(r) for r in RATIOS}, **{f"hi_{r}": F.max(r) for r in RATIOS},
+        }, [
+            Rule("all_ratios_null", "CRITICAL", n, every),
+            *[Rule(f"mostly_null_{r}", "HIGH", p, ~every & (p > 50)) for r, p in share.items()],
+            *[Rule(f"extreme_high_{r}", "MEDIUM", F.col(f"hi_{r}"), F.col(f"hi_{r}") > dq.EXTREME_HIGH) for r in RATIOS],
+            *[Rule(f"extreme_low_{r}", "MEDIUM", F.col(f"lo_{r}"), F.col(f"lo_{r}") < dq.EXTREME_LOW) for r in RATIOS],
+            Rule("null_financial_date", "MEDIUM", F.col("undated"), F.col("undated") > 0),
+        ]),
+        Source("ratios", dq.RATIO, listed, {"n": rows, "last": F.max(F.when(followed, F.col("date")))}),
+        Source("income_q", dq.INCOME_Q, quarters, {"n": rows, "periods": periods, "kept": F.count_if(kept), "lost": lost},
+               [few, Rule("unexpected_null_revenue_ttm", "HIGH", lost_more, lost_more > 0)]),
+        Source("balance_q", dq.BALANCE_Q, d.balance_quarterly, {"n": rows, "periods": periods}),
+        Source("cash_q", dq.CASH_Q, d.cashflow_quarterly.withColumn("_r", F.row_number().over(by_quarter)),
+               {"n": rows, "periods": periods, "kept": F.count_if(kept)}, [few]),
+    ]
+
+
+def compiled_issues(d):
+    """The same issues as ``all_issues`` in one pass over each source."""
+    named = {"bars": dq.PRICES, "income": dq.INCOME, "balance": dq.BALANCE, "cash": dq.CASH, "ratios": dq.RATIO,
+             "income_q": dq.INCOME_Q, "balance_q": dq.BALANCE_Q, "cash_q": dq.CASH_Q}
+    absent = [
+        Rule("no_data", dq.PRESENCE_SEVERITY[t], F.lit(1.0), (measure("info", "stocks") > 0) & measure(s, "n").isNull(), t)
+        for s, t in named.items()
+    ]
+    lag = F.datediff(measure("bars", "last"), measure("ratios", "last"))
+    i = measure("income_q", "periods")
+    b, c = (F.coalesce(measure(s, "periods"), F.lit(0)) for s in ("balance_q", "cash_q"))
+    return findings(sources(d), [
+        *absent,
+        Rule("ratios_lag_prices", "HIGH", lag, lag > dq.LAG_DAYS, "cross-table"),
+        Rule("period_mismatch", "MEDIUM", i, i.isNotNull() & ((i != b) | (b != c)), "cross-table"),
+    ])
+
+
+query("Q15_all_issues", "SELECT * FROM all_issues", "value")(compiled_issues)
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END"
 query("Q15_severity_counts", "SELECT severity, count(*) AS n, count(DISTINCT ticker) AS tickers FROM all_issues GROUP BY 1")(
-    lambda d: dq.severity_counts(all_issues(d)))
+    lambda d: dq.severity_counts(compiled_issues(d)))
 query("Q15_category_counts", "SELECT severity, \"table\", issue, count(*) AS n FROM all_issues GROUP BY 1, 2, 3")(
-    lambda d: dq.category_counts(all_issues(d)))
+    lambda d: dq.category_counts(compiled_issues(d)))
 query("A11_worst_by_ticker", f"SELECT ticker, count(*) AS n, list_extract(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], min({_RANK}) + 1) AS worst FROM all_issues GROUP BY 1")(
-    lambda d: dq.worst_by_ticker(all_issues(d)))
+    lambda d: dq.worst_by_ticker(compiled_issues(d)))
 
 
 @query("Q16_dashboard_summary", """
