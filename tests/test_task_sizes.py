@@ -51,3 +51,15 @@ def test_forecast_plan_does_not_repeat_the_features(spark, small_tasks, tmp_path
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 0
     assert out.count() == 6
+
+
+def test_weights_are_drawn_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    from tickerloom.operators import portfolio as pf
+
+    monkeypatch.setattr(pf, "WEIGHTS_A_TASK", 20)
+    stats = spark.createDataFrame([("A", 0, 0.1, [0.2, 0.01]), ("B", 1, 0.2, [0.01, 0.3])],
+                                  "ticker string, pos int, mu double, cov array<double>")
+    drawn = pf.random_weights(spark.range(100).withColumnRenamed("id", "portfolio_id"), stats)
+    assert "md5" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert len(drawn.inputFiles()) == 5
+    assert drawn.count() == 100 and drawn.where("abs(w[0] + w[1] - 1) > 1e-12").count() == 0

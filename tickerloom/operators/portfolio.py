@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import clip
 from tickerloom.operators.joins import complete_dates, keep_latest
+from tickerloom.session import dealt, materialised
 
 # Fixed values
 TRADING_DAYS = 252
@@ -22,6 +23,9 @@ SCORE_BLEND = (0.7, 0.3)
 #: Names per covariance block (columns of one aggregate).
 BLOCK = 32
 
+#: Candidates of a task that draws their weights; tables of ids are small files, read by one task.
+WEIGHTS_A_TASK = 10_000
+
 
 # ---- scores ----------------------------------------------------------------------------
 def _components() -> dict[str, list[Column]]:
@@ -229,7 +233,11 @@ def unit_uniform(seed: Column, position: Column) -> Column:
 
 
 def random_weights(ids: DataFrame, stats: DataFrame, id_col: str = "portfolio_id") -> DataFrame:
-    """One candidate per id: a random weight per name, normalised to sum 1."""
+    """One candidate per id: a random weight per name, normalised to sum 1.
+
+    Written once: what reads the weights several times (filters, lambdas over the rows of a
+    matrix) would draw them anew each time.
+    """
     count = stats.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
     slots = F.sequence(F.lit(0), F.col("_n") - 1)
     raw = F.transform(slots, lambda i: unit_uniform(F.col(id_col), i))
@@ -238,12 +246,13 @@ def random_weights(ids: DataFrame, stats: DataFrame, id_col: str = "portfolio_id
         total = F.aggregate(r, F.lit(0.0), lambda acc, x: acc + x)
         return bound(total, lambda t: F.transform(r, lambda x: x / t))
 
-    return (
-        ids.select(id_col)
+    drawn = (
+        dealt(ids.select(id_col), each=WEIGHTS_A_TASK)
         .withColumn("_n", count)
         .where(F.col("_n") > 0)  # an empty selection has no portfolios
         .select(id_col, bound(raw, share).alias("w"))
     )
+    return materialised(drawn, "weights")
 
 
 def weight_cap(k: Column) -> Column:

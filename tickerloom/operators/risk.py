@@ -93,10 +93,9 @@ def portfolio_bands(portfolios: DataFrame, stats: DataFrame, years: int = 5, run
     market = Market(stats)
     base = portfolios.select(run, "w").withColumns({"_mu": market.mu, "_cov": market.cov})
     spread = F.transform("_cov", lambda row: dot(row, F.col("w")))
-    base = base.select(
-        run, dot(F.col("w"), F.col("_mu")).alias("m"), dot(F.col("w"), spread).alias("v"),
-        F.explode(F.sequence(F.lit(0), F.lit(years))).alias("simulation_year"),
-    )
+    # a run's moments once, then its years
+    base = base.select(run, dot(F.col("w"), F.col("_mu")).alias("m"), dot(F.col("w"), spread).alias("v"))
+    base = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(years))).alias("simulation_year"))
     t = F.col("simulation_year").cast("double")
     mu = F.col("m") + F.col("v") / F.lit(2.0)
     bands = _bands(F.lit(1.0), mu, F.sqrt("v"), t)

@@ -69,13 +69,13 @@ def materialised(df, name: str = "table"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df, *keys, rows: int | None = None):
-    """``df`` by the hash of ``keys`` (in turn, without any) in tasks of about ``ROWS_A_TASK`` rows.
+def dealt(df, *keys, rows: int | None = None, each: int | None = None):
+    """``df`` by the hash of ``keys`` (in turn, without any) in tasks of about ``each`` rows.
 
     Adaptive execution merges partitions up to a number of compressed bytes, which sorts and
     windows blow up many times; a given number of partitions stays and grows with the rows, so a
     task's memory does not. ``df`` should be a stored table, whose rows are counted from its
     footers, or come with their number. What fits one task is left as it is.
     """
-    parts = math.ceil((df.count() if rows is None else rows) / ROWS_A_TASK)
+    parts = math.ceil((df.count() if rows is None else rows) / (each or ROWS_A_TASK))
     return df.repartition(parts, *keys) if parts > 1 else df
