@@ -63,3 +63,17 @@ def test_weights_are_drawn_once_in_tasks_of_bounded_size(spark, monkeypatch):
     assert "md5" not in drawn._jdf.queryExecution().optimizedPlan().toString()
     assert len(drawn.inputFiles()) == 5
     assert drawn.count() == 100 and drawn.where("abs(w[0] + w[1] - 1) > 1e-12").count() == 0
+
+
+def test_upsert_sorts_in_tasks_of_bounded_size(spark, small_tasks, tmp_path):
+    from tickerloom.streaming import incremental as inc
+
+    d = Rows(spark, str(tmp_path / "bars"))
+    right = d.bars.withColumn("version", F.lit(2))
+    wrong = right.withColumns({"version": F.lit(1), "close_Price": F.lit(-1.0)})
+    merge = inc.upserting_sink(str(tmp_path / "table"), "version")
+    for batch in (right.where("ticker < 'S3'"), wrong, right.where("ticker >= 'S3'")):
+        merge(batch, 0)
+    out = spark.read.parquet(str(tmp_path / "table")).select(*d.bars.columns)
+    assert out.exceptAll(d.bars).count() == 0 and d.bars.exceptAll(out).count() == 0
+    assert len(out.inputFiles()) > 1

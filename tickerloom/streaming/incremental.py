@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickerloom.operators.joins import keep_latest
-from tickerloom.session import materialised
+from tickerloom.session import dealt, materialised
 from tickerloom.sources.readers import has_files
 from tickerloom.sources.writers import write_partitions
 
@@ -150,15 +150,17 @@ def upserting_sink(path: str, version: str, partition: str = "year",
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = keep_latest(batch, list(keys), [F.col(version)])
+        rows = batch.count()
+        fresh = keep_latest(dealt(batch, *keys, rows=rows), list(keys), [F.col(version)])
         years = [r[0] for r in fresh.select(F.year("date")).distinct().collect()]  # calendar years
         if not years:
             return
         merged = fresh.withColumn("_new", F.lit(1))
         if has_files(spark, path):
             old = spark.read.parquet(path).where(F.col(partition).isin(*years)).drop(partition)
+            rows += old.count()
             merged = old.withColumn("_new", F.lit(0)).unionByName(merged)
-        merged = keep_latest(merged, list(keys), [F.col(version), F.col("_new")]).drop("_new")
+        merged = keep_latest(dealt(merged, *keys, rows=rows), list(keys), [F.col(version), F.col("_new")]).drop("_new")
         write_partitions(merged.withColumn(partition, F.year("date")), path, partition)
 
     return merge
