@@ -77,3 +77,17 @@ def test_upsert_sorts_in_tasks_of_bounded_size(spark, small_tasks, tmp_path):
     out = spark.read.parquet(str(tmp_path / "table")).select(*d.bars.columns)
     assert out.exceptAll(d.bars).count() == 0 and d.bars.exceptAll(out).count() == 0
     assert len(out.inputFiles()) > 1
+
+
+def test_ratios_keep_the_partitions_they_are_given(spark, small_tasks, tmp_path):
+    from tickerloom.operators import ratios
+
+    d = Rows(spark, str(tmp_path / "bars"))
+    quarter = F.lit(dt.date(2020, 3, 31)).alias("fiscal_quarter_end")
+    values = ("eps_ttm", "book_value_per_share", "revenue_ttm", "fcf_per_share", "shares_diluted")
+    reports = d.bars.select("ticker").distinct().select(
+        "ticker", quarter, *[F.lit(float(i + 1)).alias(c) for i, c in enumerate(values)])
+    rows = d.bars.count()
+    given, free = (ratios.ratios_from_ttm(d.bars, reports, rows=n) for n in (rows, None))
+    assert given.rdd.getNumPartitions() == 5
+    assert given.exceptAll(free).count() == 0 and given.count() == free.count() == rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.session import materialised
+from tickerloom.session import dealt, materialised
 
 
 def keep_latest(df: DataFrame, keys, precedence) -> DataFrame:
@@ -40,12 +40,14 @@ def as_of(
     key: str = "ticker",
     values: list[str] | None = None,
     matched: str | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Attach to each left row the newest right row with ``right_on <= on``.
 
     Both sides are stacked and a running ``last`` carries the right row as one struct, so
     NULL fields of the newest report are kept instead of older values showing through.
     One shuffle by key, no range join. ``matched`` names a column for the matched date.
+    ``rows``, where known, is the number of rows of both sides and bounds the tasks' memory.
     """
     values = [c for c in right.columns if c not in (key, right_on)] if values is None else values
     payload = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in values])
@@ -59,6 +61,7 @@ def as_of(
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
     )
     stacked = bars.unionByName(marks, allowMissingColumns=True)
+    stacked = stacked if rows is None else dealt(stacked, key, rows=rows)
     w = (
         Window.partitionBy(key)
         .orderBy("_t", "_side")
@@ -67,7 +70,8 @@ def as_of(
     filled = stacked.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where(
         F.col("_side") == 1
     )
-    cols = [F.col(f"_left.`{c}`").alias(c) for c in left.columns]
+    # the key itself, so that what follows by key needs no other shuffle
+    cols = [F.col(c) if c == key else F.col(f"_left.`{c}`").alias(c) for c in left.columns]
     cols += [F.col(f"_hit.`{c}`").alias(c) for c in values]
     if matched:
         cols.append(F.col("_hit._at").alias(matched))

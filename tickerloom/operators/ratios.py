@@ -9,6 +9,7 @@ from tickerloom.functions.scalar import safe_divide, safe_ratio
 from tickerloom.functions.windows import backward_fill
 from tickerloom.operators.joins import as_of, keep_first
 from tickerloom.operators.statements import QUARTER, YEAR
+from tickerloom.session import dealt
 
 RATIOS = ("p_s", "p_e", "p_b", "p_fcf")
 
@@ -21,11 +22,11 @@ def _shifted(df: DataFrame, lag: int) -> DataFrame:
 
 
 def ratios_from_ttm(bars: DataFrame, ratios_ttm: DataFrame, lag: int = 1,
-                    latest_shares: bool = False) -> DataFrame:
+                    latest_shares: bool = False, rows: int | None = None) -> DataFrame:
     """P/S, P/E, P/B, P/FCF against the newest quarter ended on or before the bar.
 
     Sales per share use the share count of that quarter; ``latest_shares`` uses the newest
-    count of the whole history instead.
+    count of the whole history instead. ``rows``, where known, is the number of bars.
     """
     reports = ratios_ttm.select(
         "ticker", QUARTER, "eps_ttm", "book_value_per_share", "revenue_ttm", "fcf_per_share",
@@ -36,7 +37,7 @@ def ratios_from_ttm(bars: DataFrame, ratios_ttm: DataFrame, lag: int = 1,
         newest = F.max_by("shares_diluted", F.when(F.col("shares_diluted").isNotNull(), F.col(QUARTER)))
         reports = reports.withColumn("shares_diluted", newest.over(whole))
     j = as_of(bars.select("ticker", "date", "close_Price"), reports, right_on=QUARTER,
-              matched="financial_date_used")
+              matched="financial_date_used", rows=rows)
     c = F.col("close_Price")
     per_share = F.try_divide(F.col("revenue_ttm"), F.col("shares_diluted"))
     out = j.select(
@@ -52,10 +53,10 @@ def ratios_from_ttm(bars: DataFrame, ratios_ttm: DataFrame, lag: int = 1,
 
 
 def ratios_from_annual(bars: DataFrame, per_share: DataFrame, lag: int = 1,
-                       guarded: bool = True) -> DataFrame:
+                       guarded: bool = True, rows: int | None = None) -> DataFrame:
     """The same ratios from annual per-share values; ``guarded=False`` only avoids x/0."""
     j = as_of(bars.select("ticker", "date", "close_Price"), per_share, right_on=YEAR,
-              matched="financial_date_used")
+              matched="financial_date_used", rows=rows)
     divide = safe_ratio if guarded else lambda a, b: F.try_divide(a, F.col(b))
     c = F.col("close_Price")
     out = j.select(
@@ -70,11 +71,16 @@ def ratios_from_annual(bars: DataFrame, per_share: DataFrame, lag: int = 1,
     return _shifted(out, lag)
 
 
-def with_annual_fallback(ttm: DataFrame, annual: DataFrame) -> DataFrame:
-    """Replace a ratio that is NULL on every row of a ticker by the annual one."""
+def with_annual_fallback(ttm: DataFrame, annual: DataFrame, rows: int | None = None) -> DataFrame:
+    """Replace a ratio that is NULL on every row of a ticker by the annual one.
+
+    ``rows``, where known, is the number of rows of each side and bounds the tasks' memory.
+    """
     other = annual.select("date", "ticker", *[F.col(r).alias(f"_a_{r}") for r in RATIOS])
     whole = Window.partitionBy("ticker")
     counted = ttm.withColumns({f"_n_{r}": F.count(r).over(whole) for r in RATIOS})
+    if rows is not None:
+        counted, other = (dealt(x, "date", "ticker", rows=rows) for x in (counted, other))
     j = counted.join(other, ["date", "ticker"], "left")
     cols = [
         F.when(F.col(f"_n_{r}") == 0, F.col(f"_a_{r}")).otherwise(F.col(r)).alias(r)

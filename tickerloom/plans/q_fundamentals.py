@@ -299,7 +299,8 @@ register("ratio_annual", _annual_sql(sratio))
 
 def ratio_ttm(d, bars=None, ratios_q=None):
     return ratios.ratios_from_ttm(d.bars if bars is None else bars,
-                                  quarter_ratios(d) if ratios_q is None else ratios_q)
+                                  quarter_ratios(d) if ratios_q is None else ratios_q,
+                                  rows=d.bars.count() if bars is None else None)
 
 
 def per_share(d):
@@ -341,7 +342,9 @@ SELECT * FROM ratio_data WHERE {' OR '.join(f'{r} IS NOT NULL' for r in ratios.R
 
 
 def ratio_data(d):
-    return ratios.with_annual_fallback(ratio_ttm(d), ratios.ratios_from_annual(d.bars, per_share(d)))
+    rows = d.bars.count()  # from the footers of the stored table
+    annual = ratios.ratios_from_annual(d.bars, per_share(d), rows=rows)
+    return ratios.with_annual_fallback(ratio_ttm(d), annual, rows)
 
 
 def stock_ratio_data(d):

@@ -14,6 +14,7 @@ from tickerloom.operators import statements as st
 from tickerloom.plans import q_fundamentals as fu
 from tickerloom.plans.domain_sql import register
 from tickerloom.plans.registry import query
+from tickerloom.session import dealt
 
 Q, Y = st.QUARTER, st.YEAR
 RATIOS = ("p_s", "p_e", "p_b", "p_fcf")
@@ -169,7 +170,7 @@ def sources(d) -> list[Source]:
     n, rows = F.col("n"), F.count(F.lit(1))
     prices = ("open_Price", "high_Price", "low_Price", "close_Price")
     given = {c: F.col(f"given_{c}") for c in prices}  # as stored; the indicators replace what is not finite
-    bars = d.bars_dirty.withColumns({f"given_{c}": F.col(c) for c in prices}).withColumn("as_of", d.last_bar_date)
+    bars = dealt(d.bars_dirty, "ticker").withColumns({f"given_{c}": F.col(c) for c in prices}).withColumn("as_of", d.last_bar_date)
     close, move = given["close_Price"], F.abs(F.col("given_close_Price") - F.col("_prev")) / F.col("_prev")
     gap, volume = F.datediff("date", "_prev_date"), F.col("trade_Volume")
     days = F.datediff("as_of", "last")
