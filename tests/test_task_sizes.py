@@ -91,3 +91,31 @@ def test_ratios_keep_the_partitions_they_are_given(spark, small_tasks, tmp_path)
     given, free = (ratios.ratios_from_ttm(d.bars, reports, rows=n) for n in (rows, None))
     assert given.rdd.getNumPartitions() == 5
     assert given.exceptAll(free).count() == 0 and given.count() == free.count() == rows
+
+
+def test_full_suite_is_derived_in_tasks_of_bounded_size(spark, small_tasks, monkeypatch, tmp_path):
+    from tickerloom.operators import indicators as ind
+    from tickerloom.plans.registry import CASES
+
+    monkeypatch.setattr(ind, "ROWS_A_TASK", 400)
+    out = CASES["T14_full_suite"].build(Rows(spark, str(tmp_path / "bars")))
+    assert out.rdd.getNumPartitions() == 5
+    assert out.count() == 1920
+
+
+def test_incremental_rows_meet_no_join_and_tasks_are_bounded(spark, monkeypatch, tmp_path):
+    from tickerloom.operators import indicators as ind
+
+    monkeypatch.setattr(ind, "ROWS_A_TASK", 400)
+    bars = Rows(spark, str(tmp_path / "bars")).bars
+    cut = F.lit(dt.date(2020, 11, 1))
+    history, fresh = bars.where(F.col("date") < cut), bars.where((F.col("date") >= cut) & (F.col("ticker") != "S3"))
+    out = ind.incremental_indicators(history, fresh, ["sma", "obv"], rows=1920)
+    assert out.rdd.getNumPartitions() == 5
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert min(k for k, line in enumerate(plan) if "Join" in line) > max(
+        k for k, line in enumerate(plan) if "Window" in line)
+    whole = ind.indicators(bars, ["sma", "obv"]).where((F.col("date") >= cut) & (F.col("ticker") != "S3"))
+    got = out.select(*whole.columns)
+    assert out.count() == whole.count() > 0
+    assert got.exceptAll(whole).count() == 0

@@ -21,6 +21,7 @@ from tickerloom.functions.scalar import finite
 from tickerloom.functions.windows import running
 from tickerloom.operators.moments import Rolling, with_moments
 from tickerloom.operators.recurrence import Decay, Series
+from tickerloom.session import dealt
 
 # Column names and their row counts.
 RETURN_PERIODS = {
@@ -32,6 +33,8 @@ VOLATILITY_WINDOWS = {"volatility_5d": 5, "volatility_20d": 20, "volatility_60d"
 RSI_ROWS = ATR_ROWS = 14
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 VOLUME_ROWS = 20
+#: Bars of a task of the full suite, whose generated code takes seconds of every task to get going.
+ROWS_A_TASK = 1_000_000
 
 FAMILIES = (
     "returns", "sma", "ema", "std", "bands", "rsi", "macd", "atr",
@@ -320,24 +323,20 @@ def price_momentum(bars: DataFrame, rows: int = 252) -> DataFrame:
     )
 
 
-def incremental_indicators(history: DataFrame, fresh: DataFrame, families=FAMILIES) -> DataFrame:
+def incremental_indicators(history: DataFrame, fresh: DataFrame, families=FAMILIES, rows: int | None = None) -> DataFrame:
     """Indicator rows of newly arrived bars only, equal to a full recompute.
 
     New bars win over stored bars of the same key. Cumulative and recursive indicators
-    need the whole history of the tickers that changed, and only of those.
+    need the whole history of the tickers that changed, and only of those. The day from which
+    a ticker's rows are new travels with the narrow bars, so the wide rows meet no join.
+    ``rows``, where known, is the number of bars of both sides and bounds the tasks' memory.
     """
     from tickerloom.operators.joins import keep_latest
 
     touched = fresh.groupBy("ticker").agg(F.min("date").alias("_from"))
-    stored = history.join(touched.select("ticker"), "ticker", "left_semi")
-    merged = keep_latest(
-        stored.withColumn("_src", F.lit(0)).unionByName(fresh.withColumn("_src", F.lit(1))),
-        ["ticker", "date"],
-        [F.col("_src")],
-    ).drop("_src")
-    return (
-        indicators(merged, families)
-        .join(touched, "ticker")
-        .where(F.col("date") >= F.col("_from"))
-        .drop("_from")
-    )
+    stored = history.join(touched, "ticker").withColumn("_src", F.lit(0))
+    arrived = fresh.join(touched, "ticker").withColumn("_src", F.lit(1))
+    merged = keep_latest(stored.unionByName(arrived), ["ticker", "date"], [F.col("_src")]).drop("_src")
+    if rows is not None:
+        merged = dealt(merged, "ticker", rows=rows, each=ROWS_A_TASK)
+    return indicators(merged, families).where(F.col("date") >= F.col("_from")).drop("_from")

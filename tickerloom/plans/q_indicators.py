@@ -9,7 +9,7 @@ from tickerloom.operators import indicators as ind
 from tickerloom.operators.recurrence import Decay, exponential_means
 from tickerloom.plans.domain_sql import register
 from tickerloom.plans.registry import query
-from tickerloom.session import materialised
+from tickerloom.session import dealt, materialised
 
 KEYS = ("date", "ticker")
 _W = "(PARTITION BY ticker ORDER BY date)"
@@ -189,7 +189,7 @@ def _suite_sql() -> str:
 register("suite", _suite_sql())
 OHLC = "open_Price high_Price low_Price close_Price"
 query("T14_full_suite", "SELECT * FROM suite", f"{OHLC} {' '.join(_ALL)}")(
-    lambda d: ind.add_all_indicators(d.bars, F.col("ticker").startswith("^"))
+    lambda d: ind.add_all_indicators(dealt(d.bars, "ticker", each=ind.ROWS_A_TASK), F.col("ticker").startswith("^"))
 )
 
 _ROWS = {"1W": 5, "1M": 21, "3M": 63, "6M": 126, "1Y": 252}
@@ -237,7 +237,7 @@ WHERE date >= (SELECT as_of FROM as_of) - 60""", f"{OHLC} {' '.join(_ALL)}")
 def _(d):
     cut = F.date_sub(d.last_bar_date, 60)
     return ind.incremental_indicators(
-        d.bars.where(F.col("date") < cut), d.bars.where(F.col("date") >= cut)
+        d.bars.where(F.col("date") < cut), d.bars.where(F.col("date") >= cut), rows=d.bars.count()
     )
 
 
