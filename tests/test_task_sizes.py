@@ -119,3 +119,40 @@ def test_incremental_rows_meet_no_join_and_tasks_are_bounded(spark, monkeypatch,
     got = out.select(*whole.columns)
     assert out.count() == whole.count() > 0
     assert got.exceptAll(whole).count() == 0
+
+
+def test_arriving_parts_are_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    from tickerloom.plans import q_streaming
+
+    monkeypatch.setattr(q_streaming, "ROWS_A_FILE", 100)
+    d = Rows(spark, str(tmp_path / "bars"))
+    taken, opened = [], []
+
+    def run(stream, checkpoint):
+        def keep(batch, batch_id):
+            opened.append(batch.select(F.input_file_name()).distinct().count())
+            taken.append((batch_id, {r[0] for r in batch.select(F.year("date") * 100 + F.month("date")).distinct().collect()}))
+
+        q_streaming.inc.run_available(stream, keep, checkpoint)
+
+    months = F.floor((F.month("date") - 1) / 3)
+    q_streaming._in_parts(d, d.bars.where("ticker < 'S3'"), months, run)
+    assert [k for k, _ in taken] == [0, 1, 2, 3]
+    assert [sorted(m) for _, m in taken] == [[202001, 202002, 202003], [202004, 202005, 202006],
+                                             [202007, 202008, 202009], [202010, 202011]]
+    assert max(opened) == 3  # 960 rows; the parts' 240 rows are written by three tasks
+
+
+def test_parts_without_rows_take_a_batch_of_their_own(spark, monkeypatch, tmp_path):
+    from tickerloom.plans import q_streaming
+
+    monkeypatch.setattr(q_streaming, "ROWS_A_FILE", 1)
+    d = Rows(spark, str(tmp_path / "bars"), days=4, tickers=5)
+    sizes = []
+
+    def run(stream, checkpoint):
+        q_streaming.inc.run_available(stream, lambda batch, batch_id: sizes.append(batch.count()), checkpoint)
+
+    few = F.when(F.col("date") < F.lit(dt.date(2020, 1, 4)), 0).otherwise(2)
+    q_streaming._in_parts(d, d.bars, few, run)
+    assert sizes == [15, 0, 5, 0]

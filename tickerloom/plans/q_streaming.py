@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,20 +16,28 @@ OHLC = "open_Price high_Price low_Price close_Price"
 
 
 PARTS = 4
+#: Rows of an arriving file; larger parts arrive in several files, written by as many tasks.
+ROWS_A_FILE = 1_000_000
 
 
 def _in_parts(d, rows, part, run, schema=None):
-    """Feeds ``rows`` to a stream in PARTS files, one micro-batch each, in two runs.
+    """Feeds ``rows`` to a stream in PARTS parts, one micro-batch each, in two runs.
 
-    ``part`` numbers the file of each row. ``run(stream, checkpoint)`` is called when half of
-    the files are there and again, with the same checkpoint, when all are.
+    ``part`` numbers the part of each row. Every part has the same number of files, so that a
+    micro-batch takes exactly one. ``run(stream, checkpoint)`` is called when half of the parts
+    are there and again, with the same checkpoint, when all are.
     """
     folder, checkpoint = shared_folder(d.spark, "arriving"), shared_folder(d.spark, "checkpoint")
     schema = schema or rows.schema
+    files = math.ceil(rows.count() / PARTS / ROWS_A_FILE) or 1
     for k in range(PARTS):
-        rows.where(part == k).select(*schema.names).coalesce(1).write.mode("append").parquet(folder)
+        share = rows.where(part == k).select(*schema.names)
+        share = share.coalesce(1) if files == 1 else share.repartition(files, *schema.names)
+        share.write.mode("append").parquet(folder)
+        for _ in range(files * (k + 1) - len(d.spark.read.schema(schema).parquet(folder).inputFiles())):
+            share.limit(0).coalesce(1).write.mode("append").parquet(folder)  # for a task without rows
         if k in (PARTS // 2 - 1, PARTS - 1):
-            run(inc.stream_table(d.spark, folder, schema, files_per_batch=1), checkpoint)
+            run(inc.stream_table(d.spark, folder, schema, files_per_batch=files), checkpoint)
 
 
 def _mixed(*cols):

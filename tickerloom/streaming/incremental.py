@@ -193,7 +193,8 @@ def running_indicators(bars: DataFrame, span: int = 20) -> DataFrame:
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, streak, obv, ema, rows = state.get if state.exists else (None, 0, 0.0, None, 0)
-        new = pd.concat(list(frames)).sort_values("date")
+        held = list(frames)
+        new = (held[0] if len(held) == 1 else pd.concat(held)).sort_values("date")
         close = new["close_Price"].to_numpy(np.float64)
         n = len(close)
         before = np.concatenate([[close[0] if rows == 0 else last], close[:-1]])
@@ -215,11 +216,11 @@ def running_indicators(bars: DataFrame, span: int = 20) -> DataFrame:
         shown = np.where(rows + at + 1 >= span, smooth, np.nan)
         state.update((float(close[-1]), int(streaks[-1]), float(volume[-1]), float(smooth[-1]), int(rows + n)))
         out = pd.DataFrame({"date": new["date"].to_numpy(), "ticker": key[0], "momentum": streaks.astype(np.float64),
-                            "obv": volume})
-        out["ema"] = pd.Series(shown).astype(object).where(~np.isnan(shown), None)
+                            "obv": volume, "ema": np.where(np.isnan(shown), None, shown)})
         yield out
 
-    return bars.groupBy("ticker").applyInPandasWithState(
+    # every column of every group is converted on its own
+    return bars.select("ticker", "date", "close_Price", "trade_Volume").groupBy("ticker").applyInPandasWithState(
         advance, RUNNING_OUTPUT, RUNNING_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
