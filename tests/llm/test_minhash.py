@@ -118,3 +118,59 @@ def test_filter_with_clashing_names(spark):
     text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
     docs = spark.createDataFrame([(5, text, 1, 2), (7, text + " za", 3, 4)], "doc_id long, text string, _gone long, key long")
     assert [tuple(r) for r in minhash.near_dedup(docs, 2).collect()] == [(5, text, 1, 2)]
+
+
+def crowd(seed, size, least, most, words=200):
+    """Texts whose words are those of one of two bases but for some; most are linked with a base only."""
+    rng = random.Random(seed)
+    bases = [[f"w{k}" for k in range(words)], [f"w{k}" if k % 8 else f"u{k}" for k in range(words)]]
+    out = [" ".join(b) for b in bases]
+    for i in range(size):
+        own = bases[i % 2][: words - rng.choice([0, 0, 3, 9])]
+        for at in rng.sample(range(len(own)), rng.randint(least, most)):
+            own[at] = f"v{rng.randrange(1 << 30)}"
+        out.append(" ".join(own))
+    return list(enumerate(out))
+
+
+def test_crowd_of_near_copies_is_not_paired(spark, monkeypatch):
+    docs = crowd(3, 400, 8, 40)
+    counts = []
+    kept = minhash.materialised
+
+    def counted(df, name="table"):
+        out = kept(df, name)
+        if name == "mh-pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialised", counted)
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 1).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == brute(docs, 1)
+    assert counts[-1] < 5 * len(docs)  # of about 80,000 pairs
+
+
+@pytest.mark.parametrize("similar", [80, 85, 50])
+def test_pairs_of_crowded_buckets_hold_every_link(spark, similar):
+    rng = np.random.default_rng(similar)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = []
+    for _ in range(120):
+        own = rng.choice(base, rng.integers(60, 121), replace=False)
+        more = rng.integers(0, 40, rng.integers(0, 12)).astype(np.uint64)  # few values, so some are shared
+        sets.append(np.unique(np.concatenate([own, more])))
+    held = spark.createDataFrame([(v, bytearray(s.tobytes())) for v, s in enumerate(sets)], "vid long, set binary")
+    comp = [int(c) for c in rng.integers(0, 50, len(sets))]
+    placed = spark.createDataFrame(
+        [(key, v, 1000 + comp[v], 100 + v, len(sets[v])) for key in (7, 8) for v in range(key == 8, len(sets))],
+        "key long, vid long, comp long, fullness long, n long",
+    )
+    found = [tuple(r) for r in minhash._pairs_of_many(placed, held, similar).collect()]
+    linked = set()
+    for a, b in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if comp[a] != comp[b] and 100 * both >= similar * (len(sets[a]) + len(sets[b]) - both):
+            linked.add((a, b))
+    assert linked and linked <= set(found)
+    assert len(set(found)) == len(found)
+    assert all(a < b and comp[a] != comp[b] for a, b in found)

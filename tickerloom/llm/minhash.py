@@ -10,8 +10,11 @@ bucket first links its members to its most central class, the one whose buckets
 confirmed links are contracted to components. In two more rounds what still lies outside a
 bucket's largest component is held against one of its members, another one in each bucket.
 Only classes of one bucket that are in different components after that are paired with each
-other: all pairs that sizes and signatures do not rule out, each of them once. So no link is lost, and a group of
-many copies costs a multiple of its size.
+other. In a bucket of at most FEW classes these are all pairs that sizes and signatures do not
+rule out, each of them once. Fuller buckets are searched by an exact prefix filter: two sets
+that share t elements share one of their n - t + 1 rarest, and what a crowd of near copies has
+in common is never rare. So no link is lost, and a group of many copies costs a multiple of
+its size.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm import grams
@@ -38,6 +41,10 @@ SIMILAR = 80  # per cent
 MARGIN = 0.1
 STAR_ROUNDS = 3
 SALT = 512
+#: Classes of a bucket up to which its pairs are looked at one by one.
+FEW = 16
+#: Set sizes of one band differ by one in BAND at most.
+BAND = 50
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -235,6 +242,106 @@ def _promising(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_not_ruled_out(similar)).select("a", "b")
 
 
+def _open_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b) of one bucket and different components that nothing rules out."""
+    members = placed.groupBy("key").agg(F.count("*").alias("members"))
+    placed = placed.select("key", "vid", "comp", "fullness").join(members, "key")
+    placed = placed.join(wanted.select("vid", "n_shingles"), "vid")
+    placed = materialised(placed.withColumnRenamed("n_shingles", "n"), "mh-open")
+    few = _pairs_of_few(placed.where(F.col("members") <= FEW), wanted, similar)
+    many = placed.where(F.col("members") > FEW)
+    if many.isEmpty():
+        return few
+    found = materialised(_pairs_of_many(many, sets, similar), "mh-rare")
+    return few.unionByName(_promising(found, wanted, similar)).distinct()
+
+
+def _pairs_of_few(placed: DataFrame, wanted: DataFrame, similar: int) -> DataFrame:
+    """All open pairs of buckets of few classes, each from the least bucket that both share."""
+    own = placed.groupBy("vid").agg(F.collect_set("key").alias("keys"))  # BANDS at most
+    placed = placed.join(own.join(wanted.select("vid", "sketch"), "vid"), "vid")
+    one, two = (
+        placed.select("key", F.col("vid").alias(x), F.col("comp").alias(f"c{x}"), F.col("keys").alias(f"k{x}"),
+                      F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        for x in "ab"
+    )
+    leads = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+    pairs = one.join(two, "key").where((F.col("ca") < F.col("cb")) & _not_ruled_out(similar) & leads)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _pairs_of_many(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Open pairs of crowded buckets that share an element rare enough; a superset of the links.
+
+    Sets of na and nb elements are linked if they share t = similar * (na + nb) / (100 + similar)
+    of them or more. In any order of all elements the first one shared is then among the first
+    na - t + 1 of the one set and nb - t + 1 of the other. The order is by how many sets of the
+    group hold an element, so the beginning of a set is what it shares with few. Buckets with a
+    common full member are one group. Sets meet by element and by the bands of both sizes,
+    since t follows from the sizes; what lies in the largest component of a list of sets with
+    one element meets only the others of the list, not its own kind.
+    """
+    top = placed.groupBy("key").agg(F.max(F.struct("fullness", "vid")).alias("top"))
+    near = placed.join(top, "key").groupBy("vid").agg(F.max("top").alias("top"))
+    named = placed.select("key", "vid").join(near, "vid").groupBy("key").agg(F.max("top").alias("top"))
+    member = placed.join(named, "key").select(
+        F.col("top.vid").alias("grp"), "vid", "comp", "n", F.floor(F.log("n") * BAND).alias("own")
+    ).distinct()
+    bands = member.groupBy("grp", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    bands = bands.groupBy("grp").agg(F.collect_list(F.struct("own", "low", "high")).alias("bands"))
+    # for each band: how many of a set's first elements matter among the sets of that band
+    fits = f"filter(bands, b -> 100 * b.high >= {similar} * n AND 100 * n >= {similar} * b.low)"
+    least = f"({similar} * (n + greatest(b.low, ({similar} * n + 99) div 100)) + {99 + similar}) div {100 + similar}"
+    reach = f"transform({fits}, b -> struct(b.own AS other, n - {least} + 1 AS most))"
+    member = materialised(member.join(bands, "grp").withColumn("reach", F.expr(reach)).drop("bands"), "mh-members")
+
+    wide = sets.join(member.select("vid").distinct(), "vid", "left_semi").mapInArrow(_elements, "vid long, item long")
+    wide = wide.join(member.select("grp", "vid", "comp", "n", "own", F.expr("array_max(reach.most)").alias("most")), "vid")
+    often = wide.groupBy("grp", "item").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("grp", "vid").orderBy("often", "item"))
+    first = wide.join(often, ["grp", "item"]).withColumn("pos", rank).where("pos <= most AND often > 1")
+    first = materialised(first.drop("most", "often"), "mh-first")
+
+    kinds = first.groupBy("grp", "item", "comp").agg(F.count("*").alias("c")).groupBy("grp", "item").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds")
+    )
+    lists = first.join(kinds.where("kinds > 1").drop("kinds"), ["grp", "item"])
+    lists = lists.join(member.select("grp", "vid", "reach"), ["grp", "vid"]).withColumn(
+        "other", F.explode(F.expr("filter(reach, r -> r.most >= pos).other"))
+    )
+    one = lists.where("comp != main").select(
+        "grp", "item", F.col("own").alias("o1"), F.col("other").alias("o2"), "main",
+        F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"),
+    )
+    two = lists.select(
+        "grp", "item", F.col("other").alias("o1"), F.col("own").alias("o2"),
+        F.col("vid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
+    )
+    shared = f"({similar} * (na + nb) + {99 + similar}) div {100 + similar}"
+    pairs = one.join(two, ["grp", "item", "o1", "o2"]).where(
+        "ca != cb AND (cb = main OR ca < cb)"
+        f" AND {shared} <= least(na - pa, nb - pb) + 1 AND 100 * least(na, nb) >= {similar} * greatest(na, nb)"
+    )
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vid and item: one row for each element of a set."""
+    for batch in batches:
+        found, held = [], 0
+        for v, data in [*zip(batch.column("vid").to_pylist(), batch.column("set"), strict=True), (None, None)]:
+            if found and (data is None or held > 100_000):
+                vid = np.repeat(np.array([x for x, _ in found]), [len(s) for _, s in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(vid, pa.int64()), pa.array(np.concatenate([s for _, s in found]), pa.int64())],
+                    names=["vid", "item"],
+                )
+                found, held = [], 0
+            if data is not None:
+                found.append((v, np.frombuffer(data.as_buffer(), np.int64)))
+                held += len(found[-1][1])
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -286,17 +393,7 @@ def near_duplicates(
             ).distinct()
             pairs = _promising(pairs, wanted, similar)
         else:
-            own = placed.groupBy("vid").agg(F.collect_set("key").alias("keys"))  # BANDS at most
-            own = own.join(wanted.select("vid", "n_shingles", "sketch"), "vid")
-            placed = placed.join(own, "vid")
-            one = placed.select("key", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("keys").alias("ka"),
-                                F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-            two = placed.select("key", F.col("vid").alias("b"), F.col("comp").alias("cb"), F.col("keys").alias("kb"),
-                                F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-            # only what the components leave open, each pair from the least bucket that both share
-            leads = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-            open_pair = (F.col("ca") < F.col("cb")) & _not_ruled_out(similar) & leads
-            pairs = one.join(two, "key").where(open_pair).select("a", "b")
+            pairs = _open_pairs(placed, wanted, sets, similar)
         pairs = materialised(pairs, "mh-pairs")
         found = materialised(_confirmed(pairs, sets, similar), "mh-links")
         if labels is not None and found.isEmpty():
