@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -199,3 +200,25 @@ def test_toxicity_learns_from_long_texts_only(spark):
     got = toxicity.toxicity(spark.createDataFrame(long, "doc_id long, text string"), marks).collect()
     true = dict(labels)
     assert sum(r.predicted == true[r.doc_id] for r in got if r.held_out) >= 0.95 * sum(r.held_out for r in got)
+
+
+def test_tokens_are_those_of_the_pattern():
+    find = pseudo_likelihood.TOKEN.findall
+    texts = ["", " ", "a,b  c_d.\x1ce\u3000f", "ΑΣ. ΑΣ İI \u0301x ²½ 中文。", "\x00\x7f\ud800-€🙂🙂", "".join(map(chr, range(0x300)))]
+    texts += [" a".join(map(chr, range(k, k + 16))) for k in range(0, 0x110000, 16)]
+    for text in texts:
+        assert pseudo_likelihood.tokens(text) == find(text.lower())
+
+
+def test_entries_and_rare_words_of_a_batch(spark):
+    texts = ["the cat, the DOG", "", "   ", "dog dog the. zebra dog", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(docs)
+    found = {t: pseudo_likelihood.TOKEN.findall(t.lower()) for t in texts}
+    assert {r.word: r.n for r in counts.collect()} == Counter(w for words in found.values() for w in words)
+    lexicon = pseudo_likelihood.build_lexicon(counts, 2)
+    read = lexicon.reader()
+    for r in pseudo_likelihood.encoded(docs, lexicon).collect():
+        words = found[texts[r.doc_id]]
+        assert np.frombuffer(r.entries, np.int32).tolist() == [read[w] for w in words]
+        assert dict(zip(r.rare, r.times, strict=True)) == Counter(w for w in words if w not in lexicon.number)

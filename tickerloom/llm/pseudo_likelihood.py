@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +50,25 @@ GROUPS = 256
 UNIT = 1 << 30
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+MARK = re.compile(r"[^\w\s]")
+#: ASCII that is no mark.
+PLAIN = bytes(k for k in range(128) if not MARK.match(chr(k)))
+#: Kinds of marks that a text may hold to be split by its blanks.
+MARKS = 32
+#: Tokens that a task counts at a time.
+COUNTED = 1 << 21
+
+
+def tokens(text: str) -> list[str]:
+    """All tokens of the lower-cased text, as TOKEN finds them: blanks around each mark, then a split."""
+    low = text.lower()
+    rest = low.encode("utf-8", "surrogatepass").translate(None, PLAIN).decode("utf-8", "surrogatepass")
+    marks = MARK.findall("".join(set(rest)))
+    if len(marks) > MARKS:
+        return TOKEN.findall(low)
+    for mark in marks:
+        low = low.replace(mark, f" {mark} ")
+    return low.split()
 
 
 def ending(word: str) -> int:
@@ -84,42 +102,33 @@ class Lexicon:
 
 
 class Entries(dict):
-    """Entries of words; those outside the vocabulary are found by ending and remembered."""
+    """Entries of words; those outside the vocabulary are found by ending."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         super().__init__(lexicon.number)
-        self.size, self.most = len(lexicon.number), len(lexicon.number) + 200_000
+        self.size = len(lexicon.number)
 
     def __missing__(self, word: str) -> int:
-        k = self.size + ending(word)
-        if len(self) < self.most:
-            self[word] = k
-        return k
-
-    def of(self, text: str) -> tuple[np.ndarray, Counter]:
-        """Entries of all tokens of the whole text; its words without an embedding, counted."""
-        words = TOKEN.findall(text.lower())
-        entries = np.array(list(map(self.__getitem__, words)), np.int32)
-        return entries, Counter(words[k] for k in np.flatnonzero(entries >= self.size).tolist())
+        return self.size + ending(word)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all documents; words are counted in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
-            )
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays(found.flatten(), names=["word", "n"])
 
         for batch in sub_batches(batches):
-            for text in texts_of(batch.column("text")):
-                held.update(TOKEN.findall(text.lower()))
-            if len(held) > 200_000:
+            words = [w for t in texts_of(batch.column("text")) for w in tokens(t)]
+            held.append(pa.array(words, pa.string()))
+            size += len(words)
+            if size >= COUNTED:
                 yield out()
-                held.clear()
+                held, size = [], 0
         yield out()
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -166,26 +175,49 @@ def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = known.value.reader()
+        lexicon = known.value
         row = TaskContext.get().partitionId() << 33
         for batch in sub_batches(batches, 1 << 20):
-            found = [read.of(t) for t in texts_of(batch.column("text"))]
+            rows = np.arange(row, row + len(batch))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + len(found)), pa.int64()), batch.column("doc_id"),
-                    pa.array([e.tobytes() for e, _ in found], pa.binary()),
-                    pa.array([list(r) for _, r in found], pa.list_(pa.string())),
-                    pa.array([list(r.values()) for _, r in found], pa.list_(pa.int64())),
-                ],
+                [pa.array(rows, pa.int64()), batch.column("doc_id"), *entries_and_rare(lexicon, texts_of(batch.column("text")))],
                 names=["row", "doc_id", "entries", "rare", "times"],
             )
-            row += len(found)
+            row += len(batch)
 
     return docs.mapInArrow(
         encode, f"row long, doc_id {kind}, entries binary, rare array<string>, times array<long>"
     )
 
 
+def entries_and_rare(lexicon: Lexicon, texts: list[str]) -> list[pa.Array]:
+    """Entries of all tokens of each text, as bytes; its words without an embedding; how often each comes."""
+    words, ends = [], [0]
+    for text in texts:
+        words += tokens(text)
+        ends.append(len(words))
+    ends = np.array(ends)
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    size, endings = len(lexicon.number), {w[-3:]: 0 for w in distinct}
+    for w in endings:
+        endings[w] = size + ending(w)
+    entry = np.array([lexicon.number.get(w, -1) for w in distinct], np.int32)
+    rare = entry < 0
+    entry[rare] = [endings[distinct[k][-3:]] for k in np.flatnonzero(rare).tolist()]
+    data = pa.py_buffer(entry.take(code))
+    entries = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * ends).astype(np.int32)), data])
+    at = np.flatnonzero(rare.take(code))
+    doc = np.searchsorted(ends, at, side="right") - 1
+    met, times = np.unique(doc * max(1, len(distinct)) + code[at], return_counts=True)
+    doc, which = np.divmod(met, max(1, len(distinct)))
+    cut = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+    return [
+        entries, pa.ListArray.from_arrays(cut, coded.dictionary.take(pa.array(which, pa.int64()))),
+        pa.ListArray.from_arrays(cut, pa.array(times, pa.int64())),
+    ]
+
+
 def entries_of(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int32) for x in column]
 
@@ -216,9 +248,13 @@ class Network:
         return [self.e, self.w1, self.b1, self.w2, self.b2]
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = self.e[context].reshape(len(context), -1)
-        h = np.tanh(x @ self.w1 + self.b1)
-        return x, h, h @ self.w2 + self.b2
+        x = self.e.take(context.ravel(), axis=0).reshape(len(context), -1)
+        h = x @ self.w1
+        h += self.b1
+        np.tanh(h, out=h)
+        z = h @ self.w2
+        z += self.b2
+        return x, h, z
 
     def log_class(self, context: np.ndarray, label: np.ndarray) -> np.ndarray:
         """log p(label | window) of each window."""
@@ -240,9 +276,10 @@ def windows(entries: np.ndarray, edge: int, step: int = 1, start: int = 0) -> np
 
 def train_pass(net: Network, squares: list[np.ndarray], context: np.ndarray, label: np.ndarray, rate: float) -> float:
     """One AdaGrad step on a batch of windows; returns the summed loss."""
-    x, h, z = net.forward(context)
+    x, h, d = net.forward(context)
     n = len(label)
-    d = np.exp(z - z.max(axis=1, keepdims=True))
+    d -= d.max(axis=1, keepdims=True)
+    np.exp(d, out=d)
     d /= d.sum(axis=1, keepdims=True)
     loss = -float(np.log(d[np.arange(n), label] + 1e-30).sum())
     d[np.arange(n), label] -= 1.0
@@ -252,10 +289,11 @@ def train_pass(net: Network, squares: list[np.ndarray], context: np.ndarray, lab
     gw1, gb1 = x.T @ dh, dh.sum(axis=0)
     dx = (dh @ net.w1.T).reshape(-1, DIM)
     flat = context.ravel()
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
+    # sixteen bits are sorted by their digits
+    order = np.argsort(flat.astype(np.uint16) if len(net.e) <= 1 << 16 else flat, kind="stable")
+    ranked = flat.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    met, ge = ranked[first], np.add.reduceat(dx[order], first, axis=0)
+    met, ge = ranked[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)
     # only the embeddings met move, however many there are
     square = squares[0][met] + ge * ge
     squares[0][met] = square
@@ -320,7 +358,7 @@ def train(texts: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float
                 mixed = rng.permutation(len(label))
                 for at in range(0, len(mixed), batch_size):
                     some = mixed[at : at + batch_size]
-                    train_pass(own, squares, context[some], label[some], step)
+                    train_pass(own, squares, context.take(some, axis=0), label.take(some), step)
 
             for batch in batches:
                 for entries in entries_of(batch.column("entries")):
