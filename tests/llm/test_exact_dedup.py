@@ -52,3 +52,17 @@ def test_filter_with_clashing_names(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [rows[1], rows[2]]
     assert sorted(map(tuple, exact_dedup(docs.where("_sha < 30")).collect())) == [rows[1]]
+
+
+def test_few_dropped_keys_do_not_shuffle_the_texts(spark):
+    rows = [(k * 7919 % 20_011, f"text {min(k, 19_990)}") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")
+    try:
+        kept = exact_dedup(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert kept.count() == 19_991
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

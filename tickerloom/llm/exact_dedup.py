@@ -92,7 +92,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     id_col, text_col = f"_c{names.index(id_col)}", f"_c{names.index(text_col)}"
     same = F.col(id_col).eqNullSafe
+    # written, so that their own size decides the join: few keys do not shuffle the texts
     dropped = groups.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct()
+    dropped = materialised(dropped, "dedup-dropped")
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
     twice = materialised(twice.select(F.col("doc_id").alias("_twice")), "dedup-twice")
     unique = docs.join(dropped, same(F.col("_drop")), "left_anti")
