@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from tickerloom.llm.decontaminate import clean_documents, contamination, without_spans
+from tickerloom.llm.decontaminate import clean_documents, contamination, hit_rows, without_spans
+from tickerloom.llm.frames import BATCH_BYTES, ids_and_texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -69,6 +71,25 @@ def test_clean_documents_and_spans(spark):
             assert len(words(cut[i])) == want[i][0] - want[i][1]
 
 
+def test_texts_go_to_python_once_and_in_small_batches(spark):
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('x y ', 1000) AS text")
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    found = ids_and_texts(docs).mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in found) == 4000 and max(r.bytes for r in found) < 5_000_000
+    assert hit_rows(docs, bench, keep=["doc_id", "text"]).columns == ["doc_id", "text", "_words", "_ranges", "_items"]
+    assert hit_rows(docs, bench).columns == ["doc_id", "_words", "_ranges", "_items"]
+    spark.conf.set(BATCH_BYTES[0], "1m")
+    try:  # the session's own size stays
+        assert max(r.bytes for r in ids_and_texts(docs).mapInArrow(sizes, "n long, bytes long").collect()) < 1_200_000
+    finally:
+        spark.conf.unset(BATCH_BYTES[0])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

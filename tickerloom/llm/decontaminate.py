@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.llm import grams
-from tickerloom.llm.frames import byte_slices, ids_and_texts, materialised, sub_batches
+from tickerloom.llm.frames import byte_slices, ids_and_texts, in_parts, materialised, sub_batches
 
 WINDOW = 10
 BLOCK_WINDOWS = 500_000
@@ -98,22 +99,21 @@ class WindowSet:
         return near[table[at] == hashes[near]]
 
 
-def _scan(rows: DataFrame, block, n_words: bool) -> DataFrame:
-    """Adds to each row the hit ranges (word begin, word end) and items of one block."""
+def _scan(rows: DataFrame, block, n_words: bool, text_col: str, wanted: list[str]) -> DataFrame:
+    """Columns ``wanted`` of each row and the hit ranges (word begin, word end) and items of one block."""
     schema = T.StructType(
-        [f for f in rows.schema.fields if f.name not in ("_words", "_ranges", "_items")]
+        [rows.schema[name] for name in wanted]
         + [
             T.StructField("_words", T.LongType()),
             T.StructField("_ranges", T.ArrayType(T.IntegerType())),
             T.StructField("_items", T.ArrayType(T.StringType())),
         ]
     )
-    own = [f.name for f in schema.fields[:-3]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: WindowSet = block.value
-        for batch in sub_batches(batches, column="_text"):
-            raw, offsets = byte_slices(batch.column("_text"))
+        for batch in sub_batches(batches, column=text_col):
+            raw, offsets = byte_slices(pc.fill_null(batch.column(text_col), ""))
             w = grams.words(raw, offsets, grams.ALPHANUMERIC)
             n = batch.num_rows
             ranges: list[list[int]] = [[] for _ in range(n)]
@@ -137,12 +137,12 @@ def _scan(rows: DataFrame, block, n_words: bool) -> DataFrame:
                             items[d].update(named)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(name) for name in own],
+                    *[batch.column(name) for name in wanted],
                     pa.array(np.diff(w.first), pa.int64()),
                     pa.array(ranges, pa.list_(pa.int32())),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 ],
-                names=[*own, "_words", "_ranges", "_items"],
+                names=[*wanted, "_words", "_ranges", "_items"],
             )
 
     return rows.mapInArrow(scan, schema)
@@ -167,12 +167,16 @@ def hit_rows(
     text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Columns ``keep`` of each row plus _text, _words, _ranges and _items."""
-    kept = [F.col(c) for c in (keep if keep is not None else [id_col])]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    """Columns ``keep`` of each row plus _words, _ranges and _items; the text goes to Python once,
+    and comes back only if it is kept or another block is to read it."""
+    kept = keep if keep is not None else [id_col]
+    text = text_col if text_col in kept else "_text"
+    rows = in_parts(docs).select(*kept, *([] if text in kept else [F.col(text_col).alias(text)]))
     windows = benchmark_windows(benchmark, n, item_col, item_text)
-    for k, block in enumerate(_blocks(windows, block_windows)):
-        rows = _scan(rows, block, k == 0)
+    blocks = _blocks(windows, block_windows)
+    for k, block in enumerate(blocks):
+        wanted = kept if text in kept or k == len(blocks) - 1 else [*kept, text]
+        rows = _scan(rows, block, k == 0, text, wanted)
     return rows
 
 

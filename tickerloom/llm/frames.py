@@ -14,8 +14,11 @@ from tickerloom.session import materialised
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: The setting for the most bytes of a batch of rows sent to Python, and its value here.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 __all__ = [
-    "byte_slices", "docs_of", "fold", "ids_and_texts", "materialised", "release", "sub_batches", "texts_of",
+    "byte_slices", "docs_of", "fold", "ids_and_texts", "in_parts", "materialised", "release", "sub_batches", "texts_of",
 ]
 
 
@@ -25,11 +28,23 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
 
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the key and the text (null counts as empty), whatever else ``docs`` holds."""
-    return docs.select(
+    return in_parts(docs).select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
 
 
+def in_parts(rows: DataFrame) -> DataFrame:
+    """``rows``, which go to Python in batches of BATCH_BYTES unless the session has a size of its own.
+
+    The JVM holds a batch several times (vectors that grow by doubling, the message, the buffer of
+    the socket) and Python once more; by Spark's default a batch may be a whole split of texts.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_BYTES[0], None) is None:
+        conf.set(*BATCH_BYTES)
+    return rows
+
+
 def fold(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.frames import sub_batches, texts_of
+from tickerloom.llm.frames import in_parts, sub_batches, texts_of
 from tickerloom.llm.sampling import fold_of, ranked_sample
 
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
@@ -310,7 +310,7 @@ def classifier(
 def scores(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every whole text."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = in_parts(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the sample only
 
@@ -390,5 +390,5 @@ def without_toxic(
             stay = [score(t) < threshold for t in texts_of(batch.column(at))]
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    plain = in_parts(docs).toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
