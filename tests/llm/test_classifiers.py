@@ -133,6 +133,24 @@ def test_gradient_of_the_window_network():
     assert loss() < 0.5 * first
 
 
+def test_large_logits_of_the_window_network_stay_finite():
+    net = pseudo_likelihood.Network.start(20)
+    context, label = np.arange(40).reshape(10, 4) % 20, np.arange(10)
+    for scale in (1.0, 1e4):
+        net.w2 = (net.w2 / np.abs(net.w2).max() * scale).astype(np.float32)
+        x, h, z = net.forward(context)
+        assert (np.abs(z).max() <= pseudo_likelihood.LOGITS) if scale == 1.0 else (z.max() == 0.0)
+        exact = h.astype(float) @ net.w2
+        top = exact.max(axis=1)
+        want = exact[label, label] - top - np.log(np.exp(exact - top[:, None]).sum(axis=1))
+        got = net.log_class(context, label)
+        possible = want > -80  # less is the logarithm of a vanished chance
+        assert np.isfinite(got).all() and np.allclose(got[possible], want[possible], rtol=1e-3, atol=0.05)
+        squares = [np.full(p.shape, 1e-4, np.float32) for p in net.parts()]
+        pseudo_likelihood.train_pass(net, squares, context, label, 0.05)
+        assert all(np.isfinite(p).all() for p in net.parts())
+
+
 def test_pseudo_likelihood_prefers_the_order_it_has_seen(spark):
     rng = random.Random(3)
     chain = {"a": "b", "b": "c", "c": "d", "d": "e", "e": "a"}
@@ -210,6 +228,14 @@ def test_tokens_are_those_of_the_pattern():
         assert pseudo_likelihood.tokens(text) == find(text.lower())
 
 
+def test_words_of_a_batch_are_split_without_a_list_of_strings():
+    texts = ["", " ", "a,b  c_d.\x1ce\u3000f\x85g\xa0h", "\x1d", "\n x\r\ny\x0b.\x0c", "".join(map(chr, range(0x300)))]
+    words, sizes = pseudo_likelihood.words_of(texts)
+    want = [pseudo_likelihood.TOKEN.findall(t.lower()) for t in texts]
+    assert words.to_pylist() == [w for found in want for w in found] and sizes.tolist() == [len(found) for found in want]
+    assert len(pseudo_likelihood.words_of([])[0]) == 0
+
+
 def test_entries_and_rare_words_of_a_batch(spark):
     texts = ["the cat, the DOG", "", "   ", "dog dog the. zebra dog", "the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

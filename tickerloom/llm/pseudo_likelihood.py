@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,24 +52,41 @@ UNIT = 1 << 30
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 MARK = re.compile(r"[^\w\s]")
-#: ASCII that is no mark.
-PLAIN = bytes(k for k in range(128) if not MARK.match(chr(k)))
+#: ASCII that is neither a mark nor a blank outside ASCII_BLANKS.
+ASCII_BLANKS = " \t\n\r\v\f"
+PLAIN = bytes(k for k in range(128) if not MARK.match(chr(k)) and not "\x1c" <= chr(k) <= "\x1f")
 #: Kinds of marks that a text may hold to be split by its blanks.
 MARKS = 32
 #: Tokens that a task counts at a time.
 COUNTED = 1 << 21
+#: Logits of at most this size need no maximum taken off: sums of their exponentials stay finite.
+LOGITS = 64.0
 
 
-def tokens(text: str) -> list[str]:
-    """All tokens of the lower-cased text, as TOKEN finds them: blanks around each mark, then a split."""
+def spaced(text: str) -> str:
+    """The lower-cased text with ASCII blanks between all tokens, as TOKEN finds them, and no others."""
     low = text.lower()
     rest = low.encode("utf-8", "surrogatepass").translate(None, PLAIN).decode("utf-8", "surrogatepass")
-    marks = MARK.findall("".join(set(rest)))
+    found = "".join(set(rest))
+    marks = MARK.findall(found)
     if len(marks) > MARKS:
-        return TOKEN.findall(low)
+        return " ".join(TOKEN.findall(low))
     for mark in marks:
         low = low.replace(mark, f" {mark} ")
-    return low.split()
+    for blank in filter(str.isspace, found):
+        low = low.replace(blank, " ")
+    return low.strip(ASCII_BLANKS)
+
+
+def tokens(text: str) -> list[str]:
+    """All tokens of the lower-cased text, as TOKEN finds them: blanks around each mark, then a split."""
+    return spaced(text).split()
+
+
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts in a row, split by Arrow, and the number of tokens of each text."""
+    split = pc.ascii_split_whitespace(pa.array([spaced(t) or None for t in texts], pa.string()))
+    return split.flatten(), pc.fill_null(pc.list_value_length(split), 0).to_numpy()
 
 
 def ending(word: str) -> int:
@@ -123,8 +141,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays(found.flatten(), names=["word", "n"])
 
         for batch in sub_batches(batches):
-            words = [w for t in texts_of(batch.column("text")) for w in tokens(t)]
-            held.append(pa.array(words, pa.string()))
+            words = words_of(texts_of(batch.column("text")))[0]
+            held.append(words)
             size += len(words)
             if size >= COUNTED:
                 yield out()
@@ -192,12 +210,9 @@ def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def entries_and_rare(lexicon: Lexicon, texts: list[str]) -> list[pa.Array]:
     """Entries of all tokens of each text, as bytes; its words without an embedding; how often each comes."""
-    words, ends = [], [0]
-    for text in texts:
-        words += tokens(text)
-        ends.append(len(words))
-    ends = np.array(ends)
-    coded = pa.array(words, pa.string()).dictionary_encode()
+    words, sizes = words_of(texts)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    coded = words.dictionary_encode()
     distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
     size, endings = len(lexicon.number), {w[-3:]: 0 for w in distinct}
     for w in endings:
@@ -248,22 +263,23 @@ class Network:
         return [self.e, self.w1, self.b1, self.w2, self.b2]
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings, hidden layer and logits of each window."""
         x = self.e.take(context.ravel(), axis=0).reshape(len(context), -1)
         h = x @ self.w1
         h += self.b1
         np.tanh(h, out=h)
         z = h @ self.w2
         z += self.b2
+        if np.abs(self.w2).sum(axis=0).max() + np.abs(self.b2).max() > LOGITS:  # no |h| is over 1
+            z -= z.max(axis=1, keepdims=True)
         return x, h, z
 
     def log_class(self, context: np.ndarray, label: np.ndarray) -> np.ndarray:
         """log p(label | window) of each window."""
         z = self.forward(context)[2]
-        own = z[np.arange(len(label)), label]
-        top = z.max(axis=1)
-        z -= top[:, None]
+        own = z.ravel().take(np.arange(len(label)) * CLASSES + label)
         np.exp(z, out=z)
-        return own - top - np.log(z.sum(axis=1))
+        return own - np.log(z @ np.ones(CLASSES, np.float32))
 
 
 def windows(entries: np.ndarray, edge: int, step: int = 1, start: int = 0) -> np.ndarray:
@@ -274,34 +290,33 @@ def windows(entries: np.ndarray, edge: int, step: int = 1, start: int = 0) -> np
     return np.stack([padded[k : k + len(entries)][start::step] for k in shifts], axis=1)
 
 
-def train_pass(net: Network, squares: list[np.ndarray], context: np.ndarray, label: np.ndarray, rate: float) -> float:
-    """One AdaGrad step on a batch of windows; returns the summed loss."""
+def train_pass(net: Network, squares: list[np.ndarray], context: np.ndarray, label: np.ndarray, rate: float) -> None:
+    """One AdaGrad step on a batch of windows."""
     x, h, d = net.forward(context)
     n = len(label)
-    d -= d.max(axis=1, keepdims=True)
     np.exp(d, out=d)
-    d /= d.sum(axis=1, keepdims=True)
-    loss = -float(np.log(d[np.arange(n), label] + 1e-30).sum())
-    d[np.arange(n), label] -= 1.0
-    d /= n
-    gw2, gb2 = h.T @ d, d.sum(axis=0)
+    ones = np.ones(max(n, CLASSES), np.float32)  # sums as products: numpy's along short rows are slow
+    d *= (1 / (d @ ones[:CLASSES] * n))[:, None]
+    d.ravel()[np.arange(n) * CLASSES + label] -= np.float32(1 / n)
+    gw2, gb2 = h.T @ d, ones[:n] @ d
     dh = (d @ net.w2.T) * (1 - h * h)
-    gw1, gb1 = x.T @ dh, dh.sum(axis=0)
+    gw1, gb1 = x.T @ dh, ones[:n] @ dh
     dx = (dh @ net.w1.T).reshape(-1, DIM)
     flat = context.ravel()
     # sixteen bits are sorted by their digits
     order = np.argsort(flat.astype(np.uint16) if len(net.e) <= 1 << 16 else flat, kind="stable")
     ranked = flat.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    met, ge = ranked[first], np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+    # complex numbers only to add two floats at a time
+    pairs = dx.take(order, axis=0).view(np.complex64)
+    met, ge = ranked[first], np.add.reduceat(pairs, first, axis=0).view(np.float32)
     # only the embeddings met move, however many there are
-    square = squares[0][met] + ge * ge
+    square = squares[0].take(met, axis=0) + ge * ge
     squares[0][met] = square
-    net.e[met] -= rate * ge / (np.sqrt(square) + 1e-6)
+    net.e[met] = net.e.take(met, axis=0) - rate * ge / (np.sqrt(square) + 1e-6)
     for part, square, g in zip(net.parts()[1:], squares[1:], (gw1, gb1, gw2, gb2), strict=True):
         square += g * g
         part -= rate * g / (np.sqrt(square) + 1e-6)
-    return loss
 
 
 def summed(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
