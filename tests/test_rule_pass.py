@@ -1,8 +1,12 @@
 """The compiled rule pass: findings of rows, tickers and across sources, in one exchange a source."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tickerloom.operators.rule_pass import Rule, Source, findings, measure
+from tickerloom.plans import all_queries, q_quality
+from tickerloom.plans.domain import Domain
 
 
 def sources(spark):
@@ -50,3 +54,32 @@ def test_one_exchange_a_source(spark, tmp_path):
     assert plan.count("FileScan") == 2
     # one a source, and one for the aggregate across them where the union loses their partitioning
     assert 2 <= full.count("Exchange hashpartitioning") <= 3
+
+
+def test_value_is_computed_only_where_the_rule_hits(spark):
+    bars = spark.createDataFrame([("A", 1, 0.0), ("A", 2, 4.0), ("A", 3, 9.0)], "ticker string, day int, close double")
+    jump = Rule("jump", "LOW", F.col("close") / F.col("prev"), F.col("prev") > 0)
+    source = Source("bars", "prices", bars, {"n": F.count(F.lit(1))}, (), [jump], {"prev": "close"}, "day")
+    assert [tuple(r) for r in findings([source]).collect()] == [("A", "prices", "jump", "LOW", 2.25)]
+
+
+def _falling_to_zero(spark, path):
+    """Base tables of one supplier whose close walks from 500 to 0 and then up by one."""
+    steps = [0] * 166 + [1, 4]  # quantities that make steps of -3, -2 and 1 for key 7
+    spark.createDataFrame(
+        [(7, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), 7.0 + q, 100.0, 0.1, "N") for i, q in enumerate(steps)],
+        "l_suppkey bigint, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string",
+    ).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(7, "s", 1)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(1, "n", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{path}/nation.parquet")
+    spark.createDataFrame([(1, "r")], "r_regionkey int, r_name string").write.parquet(f"{path}/region.parquet")
+    return Domain(spark, path)
+
+
+def test_prices_of_zero_do_not_end_the_pass(spark, tmp_path):
+    all_queries.load()
+    d = _falling_to_zero(spark, str(tmp_path))
+    assert [r[0] for r in d.bars.orderBy("date").select("close_Price").tail(3)] == [2.0, 0.0, 1.0]
+    compiled, single = (f(d) for f in (q_quality.compiled_issues, q_quality.all_issues))
+    assert {tuple(r) for r in compiled.collect()} == {tuple(r) for r in single.collect()}
+    assert compiled.where("issue = 'close_not_positive'").count() == 1

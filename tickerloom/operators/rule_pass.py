@@ -8,7 +8,8 @@ more aggregate of a row per (ticker, source). All findings leave by a single ``i
 
 A ticker's row findings are gathered in one array: no more than its rows, which the look-back
 window holds in one task anyway (the calendar bounds them once bars are one a day).
-NULL tickers form a group like any other. A rule whose condition is NULL does not hit.
+NULL tickers form a group like any other. A rule whose condition is NULL does not hit, and a value
+is computed only where its rule hits (a quotient may have no divisor elsewhere).
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def _hits(rules: Sequence[Rule], table: str | None) -> Column:
     cells = [
         F.struct(
             F.lit(r.table or table).alias("table"), F.lit(r.issue).alias("issue"), F.lit(r.severity).alias("severity"),
-            r.value.cast("double").alias("value"), F.coalesce(r.hit, F.lit(False)).alias("hit"),
+            F.when(r.hit, r.value.cast("double")).alias("value"), F.coalesce(r.hit, F.lit(False)).alias("hit"),
         )
         for r in rules
     ]

@@ -171,7 +171,7 @@ def sources(d) -> list[Source]:
     prices = ("open_Price", "high_Price", "low_Price", "close_Price")
     given = {c: F.col(f"given_{c}") for c in prices}  # as stored; the indicators replace what is not finite
     bars = dealt(d.bars_dirty, "ticker").withColumns({f"given_{c}": F.col(c) for c in prices}).withColumn("as_of", d.last_bar_date)
-    close, move = given["close_Price"], F.abs(F.col("given_close_Price") - F.col("_prev")) / F.col("_prev")
+    close, move = given["close_Price"], F.try_divide(F.abs(F.col("given_close_Price") - F.col("_prev")), F.col("_prev"))
     gap, volume = F.datediff("date", "_prev_date"), F.col("trade_Volume")
     days = F.datediff("as_of", "last")
     excess = {c: F.col(f"null_{c}") - F.least(F.lit(k), n) for c, k in dq.WARM_UP.items()}
