@@ -49,33 +49,42 @@ def as_of(
     One shuffle by key, no range join. ``matched`` names a column for the matched date.
     ``rows``, where known, is the number of rows of both sides and bounds the tasks' memory.
     """
-    values = [c for c in right.columns if c not in (key, right_on)] if values is None else values
-    payload = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in values])
-    marks = right.select(
-        F.col(key), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), payload.alias("_right")
-    )
-    bars = left.select(
+    return as_of_each(left, [(right, right_on, values, matched)], on, key, rows)
+
+
+def as_of_each(left: DataFrame, rights, on: str = "date", key: str = "ticker", rows: int | None = None) -> DataFrame:
+    """``as_of`` for several right tables ``(right, right_on, values, matched)`` in one shuffle by key and one sort.
+
+    ``values`` and ``matched`` may be None, as in ``as_of``. The values' names must differ.
+    """
+    stacked = left.select(
         F.col(key),
         F.col(on).alias("_t"),
         F.lit(1).alias("_side"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
     )
-    stacked = bars.unionByName(marks, allowMissingColumns=True)
+    taken = []
+    for i, (right, right_on, values, matched) in enumerate(rights):
+        values = [c for c in right.columns if c not in (key, right_on)] if values is None else values
+        payload = F.struct(F.col(right_on).alias("_at"), *[F.col(c) for c in values])
+        marks = right.select(
+            F.col(key), F.col(right_on).alias("_t"), F.lit(0).alias("_side"), payload.alias(f"_right{i}")
+        )
+        stacked = stacked.unionByName(marks, allowMissingColumns=True)
+        taken += [F.col(f"_hit{i}.`{c}`").alias(c) for c in values]
+        if matched:
+            taken.append(F.col(f"_hit{i}._at").alias(matched))
     stacked = stacked if rows is None else dealt(stacked, key, rows=rows)
     w = (
         Window.partitionBy(key)
         .orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    filled = stacked.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where(
-        F.col("_side") == 1
-    )
+    hits = {f"_hit{i}": F.last(f"_right{i}", ignorenulls=True).over(w) for i in range(len(rights))}
+    filled = stacked.withColumns(hits).where(F.col("_side") == 1)
     # the key itself, so that what follows by key needs no other shuffle
     cols = [F.col(c) if c == key else F.col(f"_left.`{c}`").alias(c) for c in left.columns]
-    cols += [F.col(f"_hit.`{c}`").alias(c) for c in values]
-    if matched:
-        cols.append(F.col("_hit._at").alias(matched))
-    return filled.select(*cols)
+    return filled.select(*cols, *taken)
 
 
 def patch_empty_columns(base: DataFrame, patch: DataFrame, keys, columns, group="ticker") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import safe_divide, safe_ratio
 from tickerloom.functions.windows import backward_fill
-from tickerloom.operators.joins import as_of, keep_first
+from tickerloom.operators.joins import as_of, as_of_each, keep_first
 from tickerloom.operators.statements import QUARTER, YEAR
 from tickerloom.session import dealt
 
@@ -21,6 +21,26 @@ def _shifted(df: DataFrame, lag: int) -> DataFrame:
     return df.withColumns({r: F.lag(r, lag).over(w) for r in RATIOS})
 
 
+#: Report columns that a bar's ratios are made of, by quarter and by year.
+QUARTER_VALUES = ("eps_ttm", "book_value_per_share", "revenue_ttm", "fcf_per_share", "shares_diluted")
+YEAR_VALUES = ("revenue_per_share", "eps", "book_value_per_share", "fcf_per_share")
+
+
+def _by_quarter() -> dict[str, Column]:
+    c = F.col("close_Price")
+    return {
+        "p_s": safe_ratio(c, F.try_divide(F.col("revenue_ttm"), F.col("shares_diluted"))),
+        "p_e": safe_ratio(c, "eps_ttm"),
+        "p_b": safe_ratio(c, "book_value_per_share"),
+        "p_fcf": safe_ratio(c, "fcf_per_share"),
+    }
+
+
+def _by_year(divide=safe_ratio, prefix: str = "") -> dict[str, Column]:
+    c = F.col("close_Price")
+    return {r: divide(c, prefix + v) for r, v in zip(RATIOS, YEAR_VALUES)}
+
+
 def ratios_from_ttm(bars: DataFrame, ratios_ttm: DataFrame, lag: int = 1,
                     latest_shares: bool = False, rows: int | None = None) -> DataFrame:
     """P/S, P/E, P/B, P/FCF against the newest quarter ended on or before the bar.
@@ -28,27 +48,14 @@ def ratios_from_ttm(bars: DataFrame, ratios_ttm: DataFrame, lag: int = 1,
     Sales per share use the share count of that quarter; ``latest_shares`` uses the newest
     count of the whole history instead. ``rows``, where known, is the number of bars.
     """
-    reports = ratios_ttm.select(
-        "ticker", QUARTER, "eps_ttm", "book_value_per_share", "revenue_ttm", "fcf_per_share",
-        "shares_diluted",
-    )
+    reports = ratios_ttm.select("ticker", QUARTER, *QUARTER_VALUES)
     if latest_shares:
         whole = Window.partitionBy("ticker")
         newest = F.max_by("shares_diluted", F.when(F.col("shares_diluted").isNotNull(), F.col(QUARTER)))
         reports = reports.withColumn("shares_diluted", newest.over(whole))
     j = as_of(bars.select("ticker", "date", "close_Price"), reports, right_on=QUARTER,
               matched="financial_date_used", rows=rows)
-    c = F.col("close_Price")
-    per_share = F.try_divide(F.col("revenue_ttm"), F.col("shares_diluted"))
-    out = j.select(
-        "date",
-        "ticker",
-        safe_ratio(c, per_share).alias("p_s"),
-        safe_ratio(c, "eps_ttm").alias("p_e"),
-        safe_ratio(c, "book_value_per_share").alias("p_b"),
-        safe_ratio(c, "fcf_per_share").alias("p_fcf"),
-        "financial_date_used",
-    )
+    out = j.select("date", "ticker", *[v.alias(r) for r, v in _by_quarter().items()], "financial_date_used")
     return _shifted(out, lag)
 
 
@@ -58,19 +65,54 @@ def ratios_from_annual(bars: DataFrame, per_share: DataFrame, lag: int = 1,
     j = as_of(bars.select("ticker", "date", "close_Price"), per_share, right_on=YEAR,
               matched="financial_date_used", rows=rows)
     divide = safe_ratio if guarded else lambda a, b: F.try_divide(a, F.col(b))
-    c = F.col("close_Price")
-    out = j.select(
-        "date",
-        "ticker",
-        divide(c, "revenue_per_share").alias("p_s"),
-        divide(c, "eps").alias("p_e"),
-        divide(c, "book_value_per_share").alias("p_b"),
-        divide(c, "fcf_per_share").alias("p_fcf"),
-        "financial_date_used",
-    )
+    out = j.select("date", "ticker", *[v.alias(r) for r, v in _by_year(divide).items()], "financial_date_used")
     return _shifted(out, lag)
 
 
+def _annual_for_empty(ttm: str, annual: str) -> dict[str, Column]:
+    """Each ratio of the struct ``ttm``; that of ``annual`` where the ticker has none (``_n_...``)."""
+    return {r: F.when(F.col(f"_n_{r}") == 0, F.col(f"{annual}.{r}")).otherwise(F.col(f"{ttm}.{r}")) for r in RATIOS}
+
+
+def _rights(ratios_ttm: DataFrame, per_share: DataFrame) -> list:
+    quarters = ratios_ttm.select("ticker", QUARTER, *QUARTER_VALUES)
+    years = per_share.select("ticker", YEAR, *[F.col(c).alias(f"_y_{c}") for c in YEAR_VALUES])
+    return [(quarters, QUARTER, None, "financial_date_used"), (years, YEAR, None, None)]
+
+
+def _both_kinds(j: DataFrame, lag: int) -> DataFrame:
+    """Structs ``_q`` and ``_y`` of the ratios by quarter and by year, as shown ``lag`` rows later, and the number
+    of the ticker's known ratios by quarter; ``j`` has the values of ``_rights`` beside its bars."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    whole = Window.partitionBy("ticker")
+    raw = {f"_{k}_{r}": v for k, kind in (("q", _by_quarter()), ("z", _by_year(prefix="_y_"))) for r, v in kind.items()}
+    j = j.withColumns(raw).drop(*QUARTER_VALUES, *[f"_y_{c}" for c in YEAR_VALUES])
+    if lag:
+        j = j.withColumns({c: F.lag(c, lag).over(w) for c in raw})
+    j = j.withColumns({f"_n_{r}": F.count(f"_q_{r}").over(whole) for r in RATIOS})
+    both = {f"_{n}": F.struct(*[F.col(f"_{k}_{r}").alias(r) for r in RATIOS]) for n, k in (("q", "q"), ("y", "z"))}
+    return j.withColumns(both).drop(*raw)
+
+
+def _of_the_day(*columns: str) -> Column:
+    """What a join by date and ticker finds among the table's own rows: usually the row itself."""
+    day = Window.partitionBy("ticker").orderBy("date").rangeBetween(Window.currentRow, Window.currentRow)
+    found = F.collect_list(F.struct(*columns)).over(day)
+    return F.when(F.col("date").isNotNull() & F.col("ticker").isNotNull(), found)
+
+
+def ratios_with_fallback(bars: DataFrame, ratios_ttm: DataFrame, per_share: DataFrame, lag: int = 1,
+                         rows: int | None = None) -> DataFrame:
+    """Ratios by quarter; a ratio that is NULL on every row of a ticker is the one by year.
+
+    The same rows as ``with_annual_fallback`` of both kinds, in one shuffle by ticker and without a join.
+    """
+    j = _both_kinds(as_of_each(bars.select("ticker", "date", "close_Price"), _rights(ratios_ttm, per_share), rows=rows), lag)
+    j = j.withColumn("_day", _of_the_day("_y")).withColumn("_same", F.explode_outer("_day"))
+    chosen = [v.alias(r) for r, v in _annual_for_empty("_q", "_same._y").items()]
+    return j.select("date", "ticker", *chosen, "financial_date_used")
+
+
 def with_annual_fallback(ttm: DataFrame, annual: DataFrame, rows: int | None = None) -> DataFrame:
     """Replace a ratio that is NULL on every row of a ticker by the annual one.
 
@@ -233,20 +275,30 @@ def extended_multiples(bars: DataFrame, income_ttm: DataFrame, balance: DataFram
     )
 
 
-def model_dataset(bars: DataFrame, market: DataFrame, reports: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Bars with the market series (filled forward), as-of reports and ratios.
+def model_dataset(bars: DataFrame, market: DataFrame, reports: DataFrame, ratios_ttm: DataFrame,
+                  per_share: DataFrame, rows: int | None = None) -> DataFrame:
+    """Bars with the market series (filled forward), as-of reports and ratios (those of
+    ``ratios_with_fallback`` that are not empty), in one shuffle by ticker.
 
-    Rows before a ticker's first report take that first report's values.
+    Rows before a ticker's first report take that first report's values. ``market`` should be a
+    stored table: it is small, and its size lets the bars stay where they are.
     """
     w = Window.partitionBy("ticker").orderBy("date")
     behind = w.rowsBetween(Window.unboundedPreceding, 0)
     values = [c for c in reports.columns if c not in ("ticker", YEAR)]
-    base = bars.join(market, "date", "left").withColumn(
-        "market_close", F.last("market_close", True).over(behind)
-    )
-    j = as_of(base, reports, right_on=YEAR, values=values)
-    j = j.withColumns({c: backward_fill(c) for c in values})
-    return j.join(ratios.select("date", "ticker", *RATIOS), ["date", "ticker"], "left")
+    base = bars.join(market, "date", "left")
+    found = reports.select("ticker", YEAR, *[F.col(c).alias(f"_r_{c}") for c in values])
+    j = as_of_each(base, [(found, YEAR, None, None), *_rights(ratios_ttm, per_share)], rows=rows)
+    j = _both_kinds(j.withColumn("market_close", F.last("market_close", True).over(behind)), 1)
+    j = j.withColumn("_day", _of_the_day("_q", "_y"))
+    j = j.withColumns({f"_r_{c}": backward_fill(f"_r_{c}") for c in values})
+    pairs = F.flatten(F.transform("_day", lambda q: F.transform("_day", lambda y: F.struct(*[
+        F.when(F.col(f"_n_{r}") == 0, y["_y"][r]).otherwise(q["_q"][r]).alias(r) for r in RATIOS]))))
+    known = F.filter(pairs, lambda p: F.coalesce(*[p[r] for r in RATIOS]).isNotNull())
+    j = j.withColumn("_found", known).withColumn("_ratio", F.explode_outer("_found"))
+    names = [c for c in base.columns if c not in ("date", "ticker")]
+    return j.select("date", "ticker", *names, *[F.col(f"_r_{c}").alias(c) for c in values],
+                    *[F.col(f"_ratio.{r}").alias(r) for r in RATIOS])
 
 
 def key_metrics(latest_quarter: DataFrame, latest_annual: DataFrame) -> DataFrame:

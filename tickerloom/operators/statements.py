@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.scalar import growth, growth_abs, safe_divide
 from tickerloom.functions.windows import forward_fill, series
+from tickerloom.operators.joins import keep_first
 
 QUARTER = "fiscal_quarter_end"
 YEAR = "financial_Statement_Date"
@@ -24,6 +25,11 @@ def by_period(period: str):
     return Window.partitionBy("ticker").orderBy(period)
 
 
+def one_a_period(statements: DataFrame, period: str) -> DataFrame:
+    """One statement of each ticker and period: where they repeat, an as-of join takes any one."""
+    return keep_first(statements, ["ticker", period], [F.col(period)])
+
+
 # ---- quarterly -------------------------------------------------------------------------
 def ttm_strict(quarters: DataFrame, flows=INCOME_FLOWS) -> DataFrame:
     """Sum of four rows from the fourth row on; a NULL quarter counts as zero."""
@@ -270,15 +276,25 @@ def annual_cash_flow(cash: DataFrame, income: DataFrame) -> DataFrame:
     return with_growth(base, CASH_GROWTH)
 
 
-def assemble_annual(income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
-    """Join the three statements and drop each ticker's oldest row (it has no growth)."""
+def assemble_annual(income: DataFrame, balance: DataFrame, cash: DataFrame, once: bool = False) -> DataFrame:
+    """Join the three statements and drop each ticker's oldest row (it has no growth).
+
+    ``once`` keeps one row of a ticker and period where statements repeat: the join pairs each
+    with each, and an as-of join takes any one of them.
+    """
     keys = ["ticker", YEAR]
+    if once:
+        w = Window.partitionBy(*keys)
+        income, balance, cash = (
+            one_a_period(t.withColumn(f"_n{i}", F.count(F.lit(1)).over(w)), YEAR)
+            for i, t in enumerate((income, balance, cash))
+        )
     joined = income.join(balance, keys).join(cash, keys)
-    return (
-        joined.withColumn("_rn", F.row_number().over(by_period(YEAR)))
-        .where(F.col("_rn") > 1)
-        .drop("_rn")
-    )
+    newer = F.col("_rn") > 1
+    if once:  # of an oldest period that repeats only one row is dropped
+        newer = newer | (F.greatest("_n0", "_n1", "_n2") > 1)
+    joined = joined.withColumn("_rn", F.row_number().over(by_period(YEAR))).where(newer)
+    return joined.drop("_rn", "_n0", "_n1", "_n2")
 
 
 def per_share_annual(income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
