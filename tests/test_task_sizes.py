@@ -156,3 +156,29 @@ def test_parts_without_rows_take_a_batch_of_their_own(spark, monkeypatch, tmp_pa
     few = F.when(F.col("date") < F.lit(dt.date(2020, 1, 4)), 0).otherwise(2)
     q_streaming._in_parts(d, d.bars, few, run)
     assert sizes == [15, 0, 5, 0]
+
+
+def test_labelled_rows_are_derived_once_for_all_horizons(spark, small_tasks, monkeypatch, tmp_path):
+    from tickerloom.operators import ml
+    from tickerloom.plans.registry import CASES
+
+    fitted = []
+    monkeypatch.setattr(ml, "tuned", lambda models, rows, features, tuned=ml.tuned: fitted.append(rows) or tuned(models, rows, features))
+    out = CASES["M18_direct_forecast"].build(Rows(spark, str(tmp_path / "bars")))
+    assert out.count() == 6 and len(fitted) == 4
+    for rows in fitted:  # read from storage: the moving windows of the features are not in the plan, nor a join
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and "Join" not in plan and "close_Price" not in plan
+
+
+def test_scaling_beside_the_rows_gives_the_joined_rows(spark):
+    from tickerloom.operators import ml
+
+    rows = spark.createDataFrame(
+        [("A", "train", 1.0, 5.0), ("A", "train", 3.0, 5.0), ("A", "val", 9.0, 6.0), ("B", "val", 1.0, 1.0), ("C", "train", None, 2.0),
+         ("C", None, 4.0, 3.0), (None, "train", 1.0, 1.0), ("A", "train", 3.0, 5.0)], "ticker string, split string, a double, b double")
+    train = F.col("split") == "train"
+    joined = ml.minmax_apply(rows, ml.minmax_fit(rows, ["a", "b"], train), ["a", "b"])
+    beside = ml.minmax_scaled(rows, ["a", "b"], train)
+    assert beside.count() == joined.count() == 6 and beside.columns == joined.columns
+    assert beside.exceptAll(joined).count() == 0
